@@ -1,0 +1,182 @@
+"""Adapter: the driver's star schema seen as settlement data.
+
+Suppliers stand for merchants, nations for DBAs, regions for corporations and peer
+groups, customers for cards, line items for transactions. Columns the star schema
+lacks (entry mode, response code, clock time, ...) are derived row by row from
+columns it has. ``SETTLEMENT_SQL`` and friends are plain SQL so that another engine
+can build the same views; ``{ts_plus}`` is the one dialect-specific expression.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "documents", "labels")
+
+SPARK_TS_PLUS = "timestampadd(SECOND, {seconds}, o.o_orderdate)"
+DUCKDB_TS_PLUS = "(o.o_orderdate + to_seconds({seconds}))"
+
+_SECONDS = (
+    "CAST(((o.o_orderkey * 5 + l.l_suppkey) % 24) * 3600 + l.l_linenumber * 600 "
+    "+ (l.l_partkey % 10) * 7 AS INT)"
+)
+
+SETTLEMENT_SQL = """
+SELECT merchant_id, transaction_datetime_utc, transaction_date, local_hour,
+       CASE WHEN refund_flag = 'Y' THEN -amt ELSE amt END AS settlement_amount_usd,
+       CASE WHEN fraud_flag = 'Y' THEN amt ELSE CAST(0 AS DOUBLE) END AS fraud_amount_usd,
+       CASE WHEN chargeback_flag = 'Y' THEN amt ELSE CAST(0 AS DOUBLE) END AS chargeback_amount_usd,
+       amt * fee_rate AS interchange_fee_usd, card_token_id, issuer_bin, issuer_country,
+       acquirer_bin, acquirer_country, card_acceptor_id, merchant_descriptor, sub_merchant_id,
+       split_group_id, channel, domestic_xborder_flag, pos_entry_mode, transaction_type_code,
+       auth_response_code, chargeback_reason_code, approved_flag, card_present_flag, token_flag,
+       refund_flag, reversal_flag, chargeback_flag, fraud_flag, three_ds_flag,
+       merchant_acquirer_country_mismatch
+FROM (
+  SELECT l.l_suppkey AS merchant_id,
+         {ts_plus} AS transaction_datetime_utc,
+         CAST(o.o_orderdate AS DATE) AS transaction_date,
+         CAST((o.o_orderkey * 5 + l.l_suppkey) % 24 AS INT) AS local_hour,
+         CASE l.l_linenumber
+              WHEN 2 THEN CAST(floor(l.l_extendedprice / 1000) AS DOUBLE) * CAST(10 AS DOUBLE)
+              WHEN 3 THEN CAST(floor(l.l_extendedprice / 10000) AS DOUBLE) * CAST(100 AS DOUBLE)
+              ELSE CAST(floor(l.l_extendedprice + 0.5) AS DOUBLE) / CAST(100 AS DOUBLE)
+              END AS amt,
+         l.l_tax / 4 AS fee_rate,
+         o.o_custkey AS card_token_id,
+         o.o_custkey % 50 AS issuer_bin,
+         cn.n_name AS issuer_country,
+         p.p_brand AS acquirer_bin,
+         CASE p.p_size % 7 WHEN 0 THEN 'MT' WHEN 1 THEN 'PA' ELSE 'US' END AS acquirer_country,
+         l.l_suppkey * 10 + l.l_linenumber % 3 AS card_acceptor_id,
+         CASE WHEN p.p_size % 11 = 0 THEN concat(upper(p.p_name), ' ONLINE')
+              WHEN p.p_size % 13 = 0 THEN concat('WWW.', upper(p.p_brand))
+              WHEN p.p_size % 17 = 0 THEN concat('SUPPLIER ', upper(p.p_type))
+              ELSE upper(p.p_name) END AS merchant_descriptor,
+         CASE WHEN p.p_size <= 2 THEN p.p_type END AS sub_merchant_id,
+         CASE WHEN l.l_quantity >= 40
+              THEN concat(CAST(l.l_suppkey AS STRING), '-', CAST(o.o_orderkey % 40 AS STRING))
+              END AS split_group_id,
+         CASE o.o_orderpriority WHEN '1-URGENT' THEN 'ECOMMERCE' WHEN '2-HIGH' THEN 'RECURRING'
+                                WHEN '3-MEDIUM' THEN 'MOTO' ELSE 'POS' END AS channel,
+         CASE WHEN c.c_nationkey % 4 = l.l_suppkey % 4 THEN 'DOMESTIC' ELSE 'CROSS_BORDER'
+              END AS domestic_xborder_flag,
+         CASE l.l_partkey % 5 WHEN 0 THEN '01' WHEN 1 THEN '05' WHEN 2 THEN '07' WHEN 3 THEN '91'
+                              ELSE '81' END AS pos_entry_mode,
+         CASE WHEN p.p_size = 3 THEN '01' WHEN p.p_size = 4 THEN '11' ELSE '00'
+              END AS transaction_type_code,
+         CASE WHEN o.o_orderstatus <> 'P' THEN '00'
+              ELSE CASE l.l_linenumber WHEN 1 THEN '05' WHEN 2 THEN '57' WHEN 3 THEN '59'
+                                       WHEN 4 THEN '61' ELSE '51' END END AS auth_response_code,
+         CASE WHEN l.l_returnflag = 'A' AND l.l_linenumber = 1
+              THEN CASE WHEN l.l_linestatus = 'F' THEN '10.4' ELSE '13.1' END
+              END AS chargeback_reason_code,
+         CASE WHEN o.o_orderstatus = 'P' THEN 'N' ELSE 'Y' END AS approved_flag,
+         CASE WHEN o.o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'N' ELSE 'Y'
+              END AS card_present_flag,
+         CASE WHEN l.l_discount > 0.05 THEN 'Y' ELSE 'N' END AS token_flag,
+         CASE WHEN l.l_returnflag = 'R' AND l.l_linestatus = 'F' THEN 'Y' ELSE 'N'
+              END AS refund_flag,
+         CASE WHEN l.l_returnflag = 'N' AND l.l_linenumber = 7 THEN 'Y' ELSE 'N'
+              END AS reversal_flag,
+         CASE WHEN l.l_returnflag = 'A' AND l.l_linenumber = 1 THEN 'Y' ELSE 'N'
+              END AS chargeback_flag,
+         CASE WHEN l.l_returnflag = 'A' AND l.l_linenumber = 2 THEN 'Y' ELSE 'N' END AS fraud_flag,
+         CASE WHEN l.l_discount < 0.02 THEN 'Y' ELSE 'N' END AS three_ds_flag,
+         CASE WHEN p.p_size % 7 <= 1 THEN 'Y' ELSE 'N' END AS merchant_acquirer_country_mismatch
+  FROM lineitem l
+  JOIN orders o ON l.l_orderkey = o.o_orderkey
+  JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN nation cn ON c.c_nationkey = cn.n_nationkey
+  JOIN part p ON l.l_partkey = p.p_partkey
+) AS derived
+"""
+
+MERCHANT_SQL = """
+SELECT s.s_suppkey AS merchant_id, s.s_name AS merchant_name, s.s_nationkey AS dba_id,
+       n.n_name AS dba_name, n.n_regionkey AS corp_id, r.r_name AS corp_name,
+       n.n_name AS merchant_country, concat(n.n_name, ' CITY') AS merchant_city,
+       CASE WHEN s.s_suppkey % 10 = 0 THEN '6051'
+            ELSE CAST(5000 + s.s_nationkey AS STRING) END AS declared_mcc
+FROM supplier s
+JOIN nation n ON s.s_nationkey = n.n_nationkey
+JOIN region r ON n.n_regionkey = r.r_regionkey
+"""
+
+#: Category reference derived from nations (one code each) plus one cash code.
+MCC_SQL = """
+SELECT CAST(5000 + n.n_nationkey AS STRING) AS mcc, n.n_name AS mcc_description,
+       r.r_name AS mcc_group, CAST(200 + 10 * n.n_nationkey AS DOUBLE) AS expected_avg_ticket,
+       CAST(30 + n.n_nationkey AS DOUBLE) / CAST(100 AS DOUBLE) AS expected_cnp_share,
+       CAST(10 + n.n_nationkey AS DOUBLE) / CAST(100 AS DOUBLE) AS expected_night_share, 'low' AS risk_class
+FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
+UNION ALL
+SELECT '6051', 'QUASI CASH', max(r_name), CAST(300 AS DOUBLE), CAST(0.8 AS DOUBLE), CAST(0.3 AS DOUBLE), 'high' FROM region
+"""
+
+BANDS_SQL = """
+SELECT r_name AS mcc_group, CAST(120 + 20 * r_regionkey AS DOUBLE) AS band_bps FROM region
+"""
+
+LABEL_SQL = """
+SELECT s_suppkey AS merchant_id, s_acctbal < 1000 AS is_integrity_violation,
+       s_acctbal > 9000 AS is_interchange_abuse
+FROM supplier
+"""
+
+EVENT_SQL = """
+SELECT event_id, user_id AS merchant_id, user_id AS card_token_id, ts AS transaction_datetime_utc,
+       CAST(ts AS DATE) AS transaction_date, CAST(hour(ts) AS INT) AS local_hour,
+       value AS settlement_amount_usd, event_type AS merchant_descriptor
+FROM events
+"""
+
+
+def settlement_sql(ts_plus: str) -> str:
+    return SETTLEMENT_SQL.format(ts_plus=ts_plus.format(seconds=_SECONDS))
+
+
+class StarFixture:
+    """Lazy views over one driver folder; nothing is read before an action."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.folder = folder.rstrip("/")
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+    def _sql(self, query: str, *tables: str) -> DataFrame:
+        return self.spark.sql(
+            _named(query, tables), **{t: self.table(t) for t in tables}
+        )
+
+    def settlement(self) -> DataFrame:
+        return self._sql(
+            settlement_sql(SPARK_TS_PLUS), "lineitem", "orders", "customer", "nation", "part"
+        )
+
+    def merchants(self) -> DataFrame:
+        return self._sql(MERCHANT_SQL, "supplier", "nation", "region")
+
+    def mcc_reference(self) -> DataFrame:
+        return self._sql(MCC_SQL, "nation", "region")
+
+    def bands(self) -> DataFrame:
+        return self._sql(BANDS_SQL, "region")
+
+    def labels(self) -> DataFrame:
+        return self._sql(LABEL_SQL, "supplier")
+
+    def events(self) -> DataFrame:
+        return self._sql(EVENT_SQL, "events")
+
+
+def _named(query: str, tables: tuple[str, ...]) -> str:
+    """Turn ``FROM t`` / ``JOIN t`` into DataFrame parameters of ``spark.sql``."""
+    for t in tables:
+        for word in ("FROM", "JOIN"):
+            query = query.replace(f"{word} {t} ", f"{word} {{{t}}} ")
+            query = query.replace(f"{word} {t}\n", f"{word} {{{t}}}\n")
+    return query
