@@ -121,10 +121,39 @@ SELECT r_name AS mcc_group, CAST(120 + 20 * r_regionkey AS DOUBLE) AS band_bps F
 
 LABEL_SQL = """
 SELECT s_suppkey AS merchant_id, s_acctbal < 1000 AS is_integrity_violation,
-       s_acctbal > 9000 AS is_interchange_abuse
+       s_acctbal > 9000 AS is_interchange_abuse,
+       CASE s_suppkey % 5 WHEN 0 THEN 'mcc_abuse' WHEN 1 THEN 'factoring' WHEN 2 THEN 'cash'
+                          WHEN 3 THEN 'split_ticketing' END AS true_family,
+       s_suppkey % 7 = 0 AS descriptor_churn, s_suppkey % 3 = 0 AS is_content_miscoded,
+       CASE s_suppkey % 4 WHEN 0 THEN 'gambling' WHEN 1 THEN 'pharma' WHEN 2 THEN 'crypto_cash'
+                          END AS integrity_category,
+       CASE s_suppkey % 4 WHEN 0 THEN 'P1' WHEN 1 THEN 'P1' WHEN 2 THEN 'P2' END AS integrity_tier
 FROM supplier
 """
 
+#: Labelled documents as scored records: two classes, a 0..100 score and a weight.
+RECORD_SQL = """
+SELECT d.doc_id AS record_id, d.lang AS grp, d.source AS predicted_class,
+       CASE WHEN l.toxic = 1 THEN d.source ELSE d.lang END AS actual_class,
+       CAST(d.n_chars % 1001 AS DOUBLE) / CAST(10 AS DOUBLE) AS score,
+       CAST(d.n_chars AS DOUBLE) AS exposure, l.quality = 1 AS actual
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+"""
+
+#: Surcharge inputs per merchant; every eleventh merchant lacks the disclosure.
+SURCHARGE_SQL = """
+SELECT s.s_suppkey AS merchant_id, s.s_nationkey AS acquirer_id,
+       CASE s.s_nationkey % 9 WHEN 0 THEN 'US' WHEN 1 THEN 'CA' WHEN 2 THEN 'AU' WHEN 3 THEN 'IN'
+            WHEN 4 THEN 'GB' WHEN 5 THEN 'DE' WHEN 6 THEN 'PA' WHEN 7 THEN 'ZZ' ELSE 'FR' END
+            AS merchant_country,
+       CAST(s.s_suppkey % 5 AS DOUBLE) * CAST(100 AS DOUBLE) AS surcharge_rate_bps,
+       CAST(s.s_suppkey % 4 AS DOUBLE) / CAST(4 AS DOUBLE) AS pct_txn_surcharged,
+       CASE WHEN s.s_suppkey % 11 <> 10 THEN s.s_suppkey % 3 <> 0 END AS surcharge_disclosed,
+       s.s_suppkey % 6 = 1 AS surcharges_debit_prepaid,
+       abs(s.s_acctbal) * CAST(100 AS DOUBLE) AS gross_sales_usd
+FROM supplier s
+"""
+
 EVENT_SQL = """
 SELECT event_id, user_id AS merchant_id, user_id AS card_token_id, ts AS transaction_datetime_utc,
        CAST(ts AS DATE) AS transaction_date, CAST(hour(ts) AS INT) AS local_hour,
@@ -169,6 +198,12 @@ class StarFixture:
     def labels(self) -> DataFrame:
         return self._sql(LABEL_SQL, "supplier")
 
+    def records(self) -> DataFrame:
+        return self._sql(RECORD_SQL, "documents", "labels")
+
+    def surcharging(self) -> DataFrame:
+        return self._sql(SURCHARGE_SQL, "supplier")
+
     def events(self) -> DataFrame:
         return self._sql(EVENT_SQL, "events")
 

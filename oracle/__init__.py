@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracle import batch
+    from oracle import batch, marts
 
-    return {**batch.ORACLE}
+    return {**batch.ORACLE, **marts.ORACLE}

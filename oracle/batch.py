@@ -47,7 +47,7 @@ SELECT merchant_id, txn_count_lookback, approved_count_lookback,
   round(sales_usd_lookback, 6) AS sales_usd_lookback, strftime(first_txn, '%Y-%m-%d') AS first_txn,
   strftime(last_txn, '%Y-%m-%d') AS last_txn,
   coalesce(date_diff('day', first_txn, last_txn) + 1, 0) AS active_days,
-  coalesce(date_diff('day', last_txn, asof), 999) AS days_since_last_txn,
+  coalesce(date_diff('day', last_txn, as_of), 999) AS days_since_last_txn,
   txn_count_lookback >= 95 AND approved_count_lookback > 0 AS passes_activity_filter,
   CASE WHEN txn_count_lookback < 95 THEN 'fewer than 95 transactions in trailing 12 months'
        WHEN approved_count_lookback = 0 THEN 'no approved transactions in lookback window'
@@ -56,8 +56,8 @@ FROM (SELECT merchant_id, count(*) FILTER (WHERE recent) AS txn_count_lookback,
         count(*) FILTER (WHERE recent AND approved_flag = 'Y') AS approved_count_lookback,
         coalesce(sum(settlement_amount_usd) FILTER (WHERE recent), 0) AS sales_usd_lookback,
         min(transaction_date) FILTER (WHERE recent) AS first_txn,
-        max(transaction_date) FILTER (WHERE recent) AS last_txn, max(asof) AS asof
-      FROM (SELECT *, (SELECT max(transaction_date) FROM tx) AS asof,
+        max(transaction_date) FILTER (WHERE recent) AS last_txn, max(as_of) AS as_of
+      FROM (SELECT *, (SELECT max(transaction_date) FROM tx) AS as_of,
               transaction_date > (SELECT max(transaction_date) FROM tx) - INTERVAL 12 MONTH AS recent
             FROM tx) GROUP BY merchant_id)
 """
