@@ -14,13 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "labels")
 
-SPARK_TS_PLUS = "timestampadd(SECOND, {seconds}, o.o_orderdate)"
-DUCKDB_TS_PLUS = "(o.o_orderdate + to_seconds({seconds}))"
-
-_SECONDS = (
-    "CAST(((o.o_orderkey * 5 + l.l_suppkey) % 24) * 3600 + l.l_linenumber * 600 "
-    "+ (l.l_partkey % 10) * 7 AS INT)"
+SPARK_TS_PLUS = "timestampadd(SECOND, {seconds}, {start})"
+DUCKDB_TS_PLUS = "({start} + to_seconds({seconds}))"
+
+# Suppliers take one of eight roles (key modulo 8), so that every family occurs:
+# 1 cash, 2 descriptor churn, 3 split tickets, 4 cheap interchange, 5 factoring,
+# 6 miscoding; 0 and 7 stay ordinary.
+_START = "CASE WHEN l.l_suppkey % 8 = 3 THEN date_trunc('month', o.o_orderdate) ELSE o.o_orderdate END"
+_HOUR = (
+    "CASE WHEN l.l_suppkey % 8 = 3 THEN 12 WHEN l.l_suppkey % 8 = 6 "
+    "THEN (o.o_orderkey * 5 + l.l_suppkey) % 8 ELSE 8 + (o.o_orderkey * 5 + l.l_suppkey) % 15 END"
 )
+_SECONDS = f"CAST(({_HOUR}) * 3600 + l.l_linenumber * 600 + (l.l_partkey % 10) * 7 AS INT)"
 
 SETTLEMENT_SQL = """
 SELECT merchant_id, transaction_datetime_utc, transaction_date, local_hour,
@@ -37,54 +42,71 @@ FROM (
   SELECT l.l_suppkey AS merchant_id,
          {ts_plus} AS transaction_datetime_utc,
          CAST(o.o_orderdate AS DATE) AS transaction_date,
-         CAST((o.o_orderkey * 5 + l.l_suppkey) % 24 AS INT) AS local_hour,
-         CASE l.l_linenumber
-              WHEN 2 THEN CAST(floor(l.l_extendedprice / 1000) AS DOUBLE) * CAST(10 AS DOUBLE)
-              WHEN 3 THEN CAST(floor(l.l_extendedprice / 10000) AS DOUBLE) * CAST(100 AS DOUBLE)
+         CAST({hour} AS INT) AS local_hour,
+         CASE WHEN l.l_suppkey % 8 = 3
+              THEN CAST(470 AS DOUBLE) + CAST(floor(l.l_extendedprice) AS DOUBLE) % CAST(25 AS DOUBLE)
+              WHEN l.l_suppkey % 8 = 1 AND l.l_linenumber <= 5
+              THEN CAST(floor(l.l_extendedprice / 20000) AS DOUBLE) * CAST(100 AS DOUBLE)
+                   + CAST(400 AS DOUBLE)
+              WHEN l.l_suppkey % 8 = 6 AND l.l_linenumber <= 4
+              THEN CAST(floor(l.l_extendedprice / 1000) AS DOUBLE) * CAST(10 AS DOUBLE)
+              WHEN l.l_suppkey % 8 = 5 AND CAST(o.o_orderdate AS DATE) >= DATE '1999-06-01'
+                   AND CAST(o.o_orderdate AS DATE) < DATE '1999-07-01'
+              THEN CAST(floor(l.l_extendedprice) AS DOUBLE) / CAST(10 AS DOUBLE)
+              WHEN l.l_linenumber = 2
+              THEN CAST(floor(l.l_extendedprice / 10000) AS DOUBLE) * CAST(100 AS DOUBLE)
               ELSE CAST(floor(l.l_extendedprice + 0.5) AS DOUBLE) / CAST(100 AS DOUBLE)
               END AS amt,
-         l.l_tax / 4 AS fee_rate,
-         o.o_custkey AS card_token_id,
+         CASE WHEN l.l_suppkey % 8 = 4 THEN l.l_tax / CAST(10 AS DOUBLE)
+              ELSE CAST(0.019 AS DOUBLE) + l.l_tax / CAST(20 AS DOUBLE) END AS fee_rate,
+         CASE WHEN l.l_suppkey % 8 = 3 THEN o.o_custkey % 5 ELSE o.o_custkey END AS card_token_id,
          o.o_custkey % 50 AS issuer_bin,
          cn.n_name AS issuer_country,
          p.p_brand AS acquirer_bin,
-         CASE p.p_size % 7 WHEN 0 THEN 'MT' WHEN 1 THEN 'PA' ELSE 'US' END AS acquirer_country,
+         CASE WHEN l.l_suppkey % 8 >= 5 AND p.p_size % 7 = 0 THEN 'MT'
+              WHEN l.l_suppkey % 8 >= 5 AND p.p_size % 7 = 1 THEN 'PA' ELSE 'US'
+              END AS acquirer_country,
          l.l_suppkey * 10 + l.l_linenumber % 3 AS card_acceptor_id,
-         CASE WHEN p.p_size % 11 = 0 THEN concat(upper(p.p_name), ' ONLINE')
-              WHEN p.p_size % 13 = 0 THEN concat('WWW.', upper(p.p_brand))
-              WHEN p.p_size % 17 = 0 THEN concat('SUPPLIER ', upper(p.p_type))
-              ELSE upper(p.p_name) END AS merchant_descriptor,
-         CASE WHEN p.p_size <= 2 THEN p.p_type END AS sub_merchant_id,
-         CASE WHEN l.l_quantity >= 40
-              THEN concat(CAST(l.l_suppkey AS STRING), '-', CAST(o.o_orderkey % 40 AS STRING))
+         CASE WHEN l.l_suppkey % 8 = 2 OR (l.l_suppkey % 8 = 5 AND p.p_size <= 20)
+              THEN CASE WHEN p.p_size % 13 = 0 THEN concat('WWW.', upper(p.p_brand))
+                        ELSE upper(p.p_name) END
+              WHEN p.p_size % 11 = 0 THEN concat('SUPPLIER ', upper(p.p_type), ' ONLINE')
+              ELSE concat('SUPPLIER ', CAST(l.l_suppkey AS STRING)) END AS merchant_descriptor,
+         CASE WHEN l.l_suppkey % 8 = 5 AND p.p_size <= 20 THEN p.p_type END AS sub_merchant_id,
+         CASE WHEN l.l_suppkey % 8 = 3 AND l.l_quantity >= 20
+              THEN concat(CAST(l.l_suppkey AS STRING), '-', CAST(o.o_custkey % 40 AS STRING))
               END AS split_group_id,
-         CASE o.o_orderpriority WHEN '1-URGENT' THEN 'ECOMMERCE' WHEN '2-HIGH' THEN 'RECURRING'
-                                WHEN '3-MEDIUM' THEN 'MOTO' ELSE 'POS' END AS channel,
-         CASE WHEN c.c_nationkey % 4 = l.l_suppkey % 4 THEN 'DOMESTIC' ELSE 'CROSS_BORDER'
-              END AS domestic_xborder_flag,
+         CASE WHEN l.l_suppkey % 8 = 4 AND p.p_size <= 30 THEN 'RECURRING'
+              ELSE CASE o.o_orderpriority WHEN '1-URGENT' THEN 'ECOMMERCE' WHEN '2-HIGH'
+                   THEN 'RECURRING' WHEN '3-MEDIUM' THEN 'MOTO' ELSE 'POS' END END AS channel,
+         CASE WHEN l.l_suppkey % 8 <> 6 AND c.c_nationkey % 4 <> l.l_suppkey % 4 THEN 'DOMESTIC'
+              ELSE 'CROSS_BORDER' END AS domestic_xborder_flag,
          CASE l.l_partkey % 5 WHEN 0 THEN '01' WHEN 1 THEN '05' WHEN 2 THEN '07' WHEN 3 THEN '91'
                               ELSE '81' END AS pos_entry_mode,
-         CASE WHEN p.p_size = 3 THEN '01' WHEN p.p_size = 4 THEN '11' ELSE '00'
-              END AS transaction_type_code,
-         CASE WHEN o.o_orderstatus <> 'P' THEN '00'
+         CASE WHEN l.l_suppkey % 8 = 1 AND p.p_size <= 30 THEN '11'
+              WHEN p.p_size = 3 THEN '01' ELSE '00' END AS transaction_type_code,
+         CASE WHEN o.o_orderstatus <> 'P' THEN '00' WHEN l.l_suppkey % 8 <> 6 THEN '51'
               ELSE CASE l.l_linenumber WHEN 1 THEN '05' WHEN 2 THEN '57' WHEN 3 THEN '59'
-                                       WHEN 4 THEN '61' ELSE '51' END END AS auth_response_code,
-         CASE WHEN l.l_returnflag = 'A' AND l.l_linenumber = 1
+                                       WHEN 4 THEN '61' ELSE '62' END END AS auth_response_code,
+         CASE WHEN l.l_returnflag = 'A' AND l.l_linenumber = 1 AND l.l_suppkey % 8 IN (2, 4, 6)
               THEN CASE WHEN l.l_linestatus = 'F' THEN '10.4' ELSE '13.1' END
               END AS chargeback_reason_code,
          CASE WHEN o.o_orderstatus = 'P' THEN 'N' ELSE 'Y' END AS approved_flag,
-         CASE WHEN o.o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'N' ELSE 'Y'
+         CASE WHEN l.l_suppkey % 8 IN (4, 6)
+              THEN CASE WHEN o.o_orderpriority = '5-LOW' AND p.p_size > 30 THEN 'Y' ELSE 'N' END
+              WHEN o.o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'N' ELSE 'Y'
               END AS card_present_flag,
          CASE WHEN l.l_discount > 0.05 THEN 'Y' ELSE 'N' END AS token_flag,
-         CASE WHEN l.l_returnflag = 'R' AND l.l_linestatus = 'F' THEN 'Y' ELSE 'N'
-              END AS refund_flag,
+         CASE WHEN l.l_returnflag = 'R' AND l.l_linestatus = 'F' AND l.l_linenumber <> 4
+              THEN 'Y' ELSE 'N' END AS refund_flag,
          CASE WHEN l.l_returnflag = 'N' AND l.l_linenumber = 7 THEN 'Y' ELSE 'N'
               END AS reversal_flag,
-         CASE WHEN l.l_returnflag = 'A' AND l.l_linenumber = 1 THEN 'Y' ELSE 'N'
-              END AS chargeback_flag,
+         CASE WHEN l.l_returnflag = 'A' AND l.l_linenumber = 1 AND l.l_suppkey % 8 IN (2, 4, 6)
+              THEN 'Y' ELSE 'N' END AS chargeback_flag,
          CASE WHEN l.l_returnflag = 'A' AND l.l_linenumber = 2 THEN 'Y' ELSE 'N' END AS fraud_flag,
          CASE WHEN l.l_discount < 0.02 THEN 'Y' ELSE 'N' END AS three_ds_flag,
-         CASE WHEN p.p_size % 7 <= 1 THEN 'Y' ELSE 'N' END AS merchant_acquirer_country_mismatch
+         CASE WHEN l.l_suppkey % 8 >= 5 AND p.p_size % 7 <= 1 THEN 'Y' ELSE 'N'
+              END AS merchant_acquirer_country_mismatch
   FROM lineitem l
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey
@@ -163,7 +185,9 @@ FROM events
 
 
 def settlement_sql(ts_plus: str) -> str:
-    return SETTLEMENT_SQL.format(ts_plus=ts_plus.format(seconds=_SECONDS))
+    return SETTLEMENT_SQL.format(
+        ts_plus=ts_plus.format(seconds=_SECONDS, start=_START), hour=_HOUR
+    )
 
 
 class StarFixture:

@@ -134,7 +134,7 @@ SELECT *, {near} AS near_flag, abs(settlement_amount_usd) AS amt_abs,
 FROM {source}""",
         "numbered": """
 SELECT *, sum((gap IS NULL OR gap > 3600)::INT) OVER (PARTITION BY merchant_id, card_token_id
-  ORDER BY transaction_datetime_utc, gap NULLS FIRST ROWS UNBOUNDED PRECEDING) AS burst_id FROM gaps""",
+  ORDER BY transaction_datetime_utc, gap DESC NULLS FIRST ROWS UNBOUNDED PRECEDING) AS burst_id FROM gaps""",
         "burst": """
 SELECT merchant_id, card_token_id, burst_id, count(*) AS n, avg(amt_abs) AS amt_mean,
   stddev_samp(amt_abs) / nullif(avg(amt_abs), 0) AS amt_cv, coalesce(sum(gap), 0) AS span_sec,
