@@ -10,6 +10,8 @@ are exact.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,21 +66,23 @@ def prefix_counts(
     )
 
 
-def exact_percentiles(
+def order_statistics(
     counts: DataFrame,
     keys: list[str],
     value: str,
-    wanted: dict[str, float],
+    ranks: dict[str, Callable[[Column], Column]],
     n: str = "n",
-    method: str = "linear",
+    bucket: Column | None = None,
 ) -> DataFrame:
-    """Exact percentiles per key from distinct values with counts.
+    """Exact values at given 0-based ranks per key, from distinct values with counts.
 
-    ``method`` "linear" interpolates between the two neighbouring ranks; "floor"
-    takes the element at index floor(p*(N-1)).
-    Only buckets holding a wanted rank are ordered, the rest stop at their totals.
+    Each entry of ``ranks`` maps the key's row count to a rank. Only buckets that
+    hold a wanted rank are ordered; the rest stop at their totals. ``bucket``
+    replaces the logarithmic bucket where another one spreads the values better
+    (hours for timestamps); it must not decrease with the value.
     """
-    bucketed = counts.filter(F.col(n) > 0).withColumn("_b", order_bucket(F.col(value)))
+    slot = bucket if bucket is not None else order_bucket(F.col(value))
+    bucketed = counts.filter(F.col(n) > 0).withColumn("_b", slot)
     by_key = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])
     running = by_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
@@ -92,40 +96,57 @@ def exact_percentiles(
             F.sum("_in").over(by_key).alias("_total"),
         )
     )
-
-    def rank_of(p: float, up: bool) -> Column:
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
-        return (F.ceil(pos) if up else F.floor(pos)).cast("long")
-
-    ups = (False, True) if method == "linear" else (False,)
+    wanted = {name: rank(F.col("_total")).cast("long") for name, rank in ranks.items()}
     holds = F.lit(False)
-    for p in wanted.values():
-        for up in ups:
-            r = rank_of(p, up)
-            holds = holds | ((r >= F.col("_off")) & (r < F.col("_off") + F.col("_in")))
+    for r in wanted.values():
+        holds = holds | ((r >= F.col("_off")) & (r < F.col("_off") + F.col("_in")))
     needed = totals.filter(holds).drop("_in")
 
     inside = (
         Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
-    ranked = bucketed.join(needed, [*keys, "_b"]).withColumn(
-        "_first", F.col("_off") + F.coalesce(F.sum(n).over(inside), F.lit(0))
-    )
+    first = F.col("_off") + F.coalesce(F.sum(n).over(inside), F.lit(0))
+    ranked = bucketed.join(needed, [*keys, "_b"]).withColumn("_first", first)
+    found = [
+        F.max(
+            F.when((r >= F.col("_first")) & (r < F.col("_first") + F.col(n)), F.col(value))
+        ).alias(name)
+        for name, r in wanted.items()
+    ]
+    return ranked.groupBy(*keys).agg(*found, F.max("_total").alias("_total"))
 
-    def at(p: float, up: bool) -> Column:
-        r = rank_of(p, up)
-        here = (r >= F.col("_first")) & (r < F.col("_first") + F.col(n))
-        return F.max(F.when(here, F.col(value)))
 
+def exact_percentiles(
+    counts: DataFrame,
+    keys: list[str],
+    value: str,
+    linear: dict[str, float] | None = None,
+    n: str = "n",
+    floor: dict[str, float] | None = None,
+) -> DataFrame:
+    """Exact percentiles per key from distinct values with counts.
+
+    ``linear`` ones interpolate between the two neighbouring ranks; ``floor`` ones
+    take the element at index floor(p*(N-1)).
+    """
+    linear, floor = linear or {}, floor or {}
+
+    def position(p: float, total: Column) -> Column:
+        return F.lit(float(p)) * (total - 1)
+
+    ranks: dict[str, Callable[[Column], Column]] = {}
+    for name, p in linear.items():
+        ranks[f"_lo_{name}"] = lambda t, p=p: F.floor(position(p, t))
+        ranks[f"_hi_{name}"] = lambda t, p=p: F.ceil(position(p, t))
+    for name, p in floor.items():
+        ranks[name] = lambda t, p=p: F.floor(position(p, t))
+    stats = order_statistics(counts, keys, value, ranks, n)
     out = []
-    for name, p in wanted.items():
-        low = at(p, False)
-        if method == "linear":
-            pos = F.lit(float(p)) * (F.max("_total") - 1)
-            out.append((low + (pos - F.floor(pos)) * (at(p, True) - low)).alias(name))
-        else:
-            out.append(low.alias(name))
-    return ranked.groupBy(*keys).agg(*out)
+    for name, p in linear.items():
+        pos = position(p, F.col("_total"))
+        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        out.append((low + (pos - F.floor(pos)) * (high - low)).alias(name))
+    return stats.select(*keys, *out, *floor)
 
 
 def average_rank_percent(df: DataFrame, value: str, out: str, keys: list[str] | None = None) -> DataFrame:

@@ -85,43 +85,36 @@ def clean_baseline_zscores(
     min_peers: int = 8,
     lo: float = -4.0,
     hi: float = 8.0,
-    suspect: str | None = None,
 ) -> DataFrame:
     """Deviation from the *clean* peers of the group, from all clean ones where few.
 
-    ``clean`` is a boolean column. With ``suspect`` (boolean) each column is turned
-    so that a higher value points to the suspects: its sign is that of the
-    difference of the two global means.
+    ``clean`` is a boolean column. Each z is turned so that a higher value points
+    away from the clean merchants: its sign is that of the difference of the two
+    global means. A missing value counts as 0, a spread of (almost) 0 as 1.
     """
-    f = features
     is_clean = F.col(clean)
 
-    def pick(c):
-        return F.when(is_clean, F.col(c).cast("double"))
+    def value(c):
+        return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
 
     def moments(tag):
         out = [F.count_if(is_clean).alias(f"_{tag}n")]
         for i, c in enumerate(cols):
-            out += [F.avg(pick(c)).alias(f"_{tag}m{i}"), F.stddev_pop(pick(c)).alias(f"_{tag}s{i}")]
+            x = F.when(is_clean, value(c))
+            out += [F.avg(x).alias(f"_{tag}m{i}"), F.stddev_pop(x).alias(f"_{tag}s{i}")]
         return out
 
-    signs = [
-        F.avg(F.when(F.col(suspect), F.col(c).cast("double"))).alias(f"_a{i}")
-        for i, c in enumerate(cols)
-    ] if suspect else []
-    peers = f.groupBy(peer_col).agg(*moments("p"))
-    everyone = f.agg(*moments("g"), *signs)
-    joined = f.join(peers, peer_col, "left").crossJoin(F.broadcast(everyone))
+    others = [F.avg(F.when(~is_clean, value(c))).alias(f"_a{i}") for i, c in enumerate(cols)]
+    peers = features.groupBy(peer_col).agg(*moments("p"))
+    everyone = features.agg(*moments("g"), *others)
+    joined = features.join(peers, peer_col, "left").crossJoin(F.broadcast(everyone))
     enough = F.col("_pn") >= min_peers
     scores = {}
     for i, c in enumerate(cols):
         mean = F.when(enough, F.col(f"_pm{i}")).otherwise(F.col(f"_gm{i}"))
         sd = F.when(enough, F.col(f"_ps{i}")).otherwise(F.col(f"_gs{i}"))
-        z = F.when(sd > 0, (F.col(c).cast("double") - mean) / sd)
-        if suspect:
-            z = z * F.when(F.col(f"_a{i}") < F.col(f"_gm{i}"), F.lit(-1.0)).otherwise(F.lit(1.0))
-        scores[f"z_{c}"] = F.coalesce(
-            F.greatest(F.lit(lo), F.least(F.lit(hi), z)), F.lit(0.0)
-        )
-    helper = [x for x in joined.columns if x not in f.columns]
+        sign = F.when(F.col(f"_a{i}") < F.col(f"_gm{i}"), F.lit(-1.0)).otherwise(F.lit(1.0))
+        z = sign * (value(c) - mean) / F.when(sd > 1e-9, sd).otherwise(F.lit(1.0))
+        scores[f"z_{c}"] = F.greatest(F.lit(lo), F.least(F.lit(hi), z))
+    helper = [x for x in joined.columns if x not in features.columns]
     return joined.withColumns(scores).drop(*helper)

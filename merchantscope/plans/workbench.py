@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from merchantscope.operators import features as ft
 from merchantscope.operators import scoring as sc
+from merchantscope.plans.live import live_feature_table, score_live
 from merchantscope.session import ensure_conf, stage_table
-from merchantscope.sources.fixtures import StarFixture
+from merchantscope.sources.fixtures import LIVE_TX_SQL, StarFixture
 
 
 class Workbench:
@@ -50,6 +51,21 @@ class Workbench:
         return self.scored_z.drop(*[c for c in self.scored_z.columns if c.startswith("z_")])
 
 
+    @functools.cached_property
+    def live_tx(self) -> DataFrame:
+        return self.spark.sql(LIVE_TX_SQL.replace("FROM tx", "FROM {tx}"), tx=self.tx)
+
+    @functools.cached_property
+    def live_features(self) -> DataFrame:
+        f = self.fixture
+        made = live_feature_table(self.live_tx, f.live_merchants(), f.profiles(), f.known_bad())
+        return stage_table(made, "live_features")
+
+    @functools.cached_property
+    def live_records(self) -> DataFrame:
+        return stage_table(score_live(self.live_features, self.fixture.profiles()), "live_records")
+
+
 _benches: dict[tuple[str, str], Workbench] = {}
 
 

@@ -9,6 +9,8 @@ can build the same views; ``{ts_plus}`` is the one dialect-specific expression.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -176,6 +178,80 @@ SELECT s.s_suppkey AS merchant_id, s.s_nationkey AS acquirer_id,
 FROM supplier s
 """
 
+#: The live engine's transaction, seen on the settlement view.
+LIVE_TX_SQL = """
+SELECT merchant_id, card_token_id AS card_id, transaction_datetime_utc AS event_ts,
+       settlement_amount_usd AS amount, merchant_descriptor,
+       CASE WHEN approved_flag = 'Y' THEN 'approved' ELSE 'declined' END AS authorization_status,
+       CASE pos_entry_mode WHEN '01' THEN 'manual' WHEN '05' THEN 'chip' WHEN '07' THEN 'contactless'
+                           WHEN '91' THEN 'fallback' ELSE 'swipe' END AS entry_mode,
+       card_present_flag = 'N' AS ecommerce, domestic_xborder_flag = 'CROSS_BORDER' AS cross_border,
+       refund_flag = 'Y' AS refund, reversal_flag = 'Y' AS reversal,
+       chargeback_flag = 'Y' OR fraud_flag = 'Y' AS dispute,
+       CASE WHEN chargeback_reason_code LIKE '10.%' THEN 'merchant not recognized'
+            WHEN chargeback_flag = 'Y' THEN 'other' END AS dispute_reason,
+       transaction_type_code IN ('01', '11') AS cash_equivalent,
+       transaction_type_code = '11' AND token_flag = 'Y' AS wallet_load,
+       CASE WHEN sub_merchant_id IS NULL THEN lower(merchant_descriptor) ELSE lower(sub_merchant_id)
+            END AS product_signal,
+       CAST(issuer_bin AS DOUBLE) AS latitude, CAST(card_token_id % 180 AS DOUBLE) AS longitude
+FROM tx
+"""
+
+#: ``{arr}`` is the dialect's array constructor.
+LIVE_MERCHANT_SQL = """
+SELECT s.s_suppkey AS merchant_id, s.s_name AS trade_name, s.s_name AS legal_name,
+       CASE s.s_suppkey % 5 WHEN 0 THEN concat('SUPPLIER ', CAST(s.s_suppkey AS STRING))
+            WHEN 1 THEN 'AMAZON STORE' WHEN 2 THEN 'GLOBAL TRADING LLC' WHEN 3 THEN s.s_name
+            ELSE 'UBER EATS GROUP' END AS descriptor,
+       CASE s.s_suppkey % 6 WHEN 0 THEN '5411' WHEN 1 THEN '5812' WHEN 2 THEN '5999' WHEN 3 THEN '6051'
+            WHEN 4 THEN '5001' ELSE '9999' END AS declared_mcc,
+       CASE WHEN s.s_suppkey % 20 = 4 THEN 'facilitator' ELSE 'direct' END AS merchant_type,
+       CASE WHEN s.s_suppkey % 4 = 0 THEN concat('PF', CAST(s.s_suppkey % 12 AS STRING)) END
+            AS payment_facilitator_id,
+       concat('A', CAST(s.s_nationkey % 6 AS STRING)) AS acquirer_id, n.n_name AS state,
+       concat('site', CAST(s.s_suppkey % 70 AS STRING), '.example') AS website_domain,
+       concat('ADDR', CAST(s.s_nationkey AS STRING)) AS registered_address_id,
+       concat('B', CAST(s.s_suppkey % 40 AS STRING)) AS settlement_bank_account_id,
+       concat('O', CAST(s.s_suppkey % 60 AS STRING)) AS beneficial_owner_id,
+       {arr}('RED WIDGET', upper(n.n_name)) AS alternate_descriptors,
+       {arr}(concat('D', CAST(s.s_suppkey % 13 AS STRING)), concat('D', CAST(100 + s.s_suppkey % 29 AS STRING)))
+            AS device_ids,
+       {arr}(concat('IP', CAST(s.s_suppkey % 17 AS STRING))) AS ip_cluster_ids
+FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
+"""
+
+#: Category profiles derived from nations: five known codes and synthetic ones.
+PROFILE_SQL = """
+SELECT CASE n_nationkey WHEN 0 THEN '5411' WHEN 1 THEN '5812' WHEN 2 THEN '5999' WHEN 3 THEN '6051'
+            WHEN 4 THEN '7995' ELSE CAST(5000 + n_nationkey AS STRING) END AS mcc,
+       n_name AS category, concat('PARENT', CAST(n_regionkey AS STRING)) AS parent_category,
+       CASE n_nationkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high'
+            ELSE 'prohibited-adjacent' END AS risk_tier,
+       CAST(n_nationkey % 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS typical_card_present_ratio,
+       CAST(n_nationkey % 7 AS DOUBLE) / CAST(10 AS DOUBLE) AS typical_night_ratio,
+       CAST(5 + n_nationkey AS DOUBLE) AS ticket_lo, CAST(100 + 50 * n_nationkey AS DOUBLE) AS ticket_hi,
+       CAST(n_nationkey % 5 AS DOUBLE) / CAST(100 AS DOUBLE) AS typical_dispute_rate,
+       CASE n_nationkey % 3 WHEN 0 THEN {arr}('gear', 'ring') WHEN 1 THEN {arr}('widget', 'bolt')
+            ELSE {arr}('promo', 'online', 'wheel') END AS expected_keywords
+FROM nation
+"""
+
+KNOWN_BAD_SQL = """
+SELECT concat('B', CAST(r_regionkey * 7 AS STRING)) AS entity_id, 'bank' AS kind FROM region
+UNION ALL SELECT concat('IP', CAST(r_regionkey + 1 AS STRING)), 'ip' FROM region
+UNION ALL SELECT concat('O', CAST(r_regionkey * 9 AS STRING)), 'owner' FROM region
+UNION ALL SELECT concat('D', CAST(r_regionkey AS STRING)), 'device' FROM region
+"""
+
+#: Labels of the live engine, for evaluation only.
+LIVE_LABEL_SQL = """
+SELECT s_suppkey AS merchant_id, s_acctbal < 2000 AS abuse,
+       CASE WHEN s_acctbal < 1000 THEN 'MCC_MISCODING' WHEN s_acctbal < 2000 THEN 'FACTORING'
+            ELSE 'CLEAN' END AS true_typology
+FROM supplier
+"""
+
 EVENT_SQL = """
 SELECT event_id, user_id AS merchant_id, user_id AS card_token_id, ts AS transaction_datetime_utc,
        CAST(ts AS DATE) AS transaction_date, CAST(hour(ts) AS INT) AS local_hour,
@@ -228,6 +304,18 @@ class StarFixture:
     def surcharging(self) -> DataFrame:
         return self._sql(SURCHARGE_SQL, "supplier")
 
+    def live_merchants(self) -> DataFrame:
+        return self._sql(LIVE_MERCHANT_SQL.format(arr="array"), "supplier", "nation")
+
+    def profiles(self) -> DataFrame:
+        return self._sql(PROFILE_SQL.format(arr="array"), "nation")
+
+    def known_bad(self) -> DataFrame:
+        return self._sql(KNOWN_BAD_SQL, "region")
+
+    def live_labels(self) -> DataFrame:
+        return self._sql(LIVE_LABEL_SQL, "supplier")
+
     def events(self) -> DataFrame:
         return self._sql(EVENT_SQL, "events")
 
@@ -235,7 +323,5 @@ class StarFixture:
 def _named(query: str, tables: tuple[str, ...]) -> str:
     """Turn ``FROM t`` / ``JOIN t`` into DataFrame parameters of ``spark.sql``."""
     for t in tables:
-        for word in ("FROM", "JOIN"):
-            query = query.replace(f"{word} {t} ", f"{word} {{{t}}} ")
-            query = query.replace(f"{word} {t}\n", f"{word} {{{t}}}\n")
+        query = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", query)
     return query
