@@ -58,9 +58,12 @@ def components() -> dict[str, Column]:
     deviation = F.abs("peer_night_z") + F.abs("peer_cnp_z") + F.abs("peer_ticket_z")
     anomaly = clamp(logistic100(deviation - 2.5, 0.9) * 0.7 + c("mcc_divergence") * 40)
     surcharge = clamp(
-        50 * _cap(c("not_recognized_dispute_rate") * 15)
-        + 30 * _cap(c("dispute_rate") * 12)
-        + 20 * _cap(c("refund_rate") * 6)
+        100
+        * (
+            0.5 * _cap(c("not_recognized_dispute_rate") * 15)
+            + 0.3 * _cap(c("dispute_rate") * 12)
+            + 0.2 * _cap(c("refund_rate") * 6)
+        )
     )
     base = F.lit(None).cast("double")
     for severity, value in live.SEVERITY_BASE.items():
@@ -143,19 +146,22 @@ def typology_scores() -> dict[str, Column]:
         + 40 * c("mcc_divergence")
         + 0.4 * _hit_score("MCC_MISCODING"),
         "MCC_ABUSE": interchange_signal() + 0.4 * _hit_score("MCC_ABUSE"),
-        "SPLIT_TICKETING": 55 * c("threshold_proximity_ratio")
-        + 45 * _cap(c("rapid_repeat_ratio") * 4)
+        "SPLIT_TICKETING": 100
+        * (0.55 * c("threshold_proximity_ratio") + 0.45 * _cap(c("rapid_repeat_ratio") * 4))
         + 0.5 * _hit_score("SPLIT_TICKETING"),
         "FACTORING": 0.5 * c("graph_score")
-        + 30 * _cap(c("descriptor_entropy") / 2.2)
-        + 20 * _cap(c("category_diversity") / 2)
+        + 100
+        * (0.3 * _cap(c("descriptor_entropy") / 2.2) + 0.2 * _cap(c("category_diversity") / 2))
         + 0.5 * _hit_score("FACTORING"),
-        "CARD_SURCHARGE": 50 * _cap(c("not_recognized_dispute_rate") * 15)
-        + 30 * _cap(c("dispute_rate") * 12)
+        "CARD_SURCHARGE": 100
+        * (0.5 * _cap(c("not_recognized_dispute_rate") * 15) + 0.3 * _cap(c("dispute_rate") * 12))
         + 0.5 * _hit_score("CARD_SURCHARGE"),
-        "CASH_DISBURSEMENT": 40 * c("round_dollar_ratio")
-        + 30 * _cap(c("wallet_load_ratio") * 1.5)
-        + 30 * _cap(c("refund_after_purchase_ratio") * 1.5)
+        "CASH_DISBURSEMENT": 100
+        * (
+            0.4 * c("round_dollar_ratio")
+            + 0.3 * _cap(c("wallet_load_ratio") * 1.5)
+            + 0.3 * _cap(c("refund_after_purchase_ratio") * 1.5)
+        )
         + 0.5 * _hit_score("CASH_DISBURSEMENT"),
     }
     return {t: round_half_up(clamp(x), 1) for t, x in raw.items()}
