@@ -103,6 +103,14 @@ def row_tells(family: Column, ceiling: Column, declared_country: Column) -> Colu
     return F.array_intersect(found, F.coalesce(wanted, F.array().cast("array<string>")))
 
 
+#: Columns an evidence row shows.
+EVIDENCE_COLUMNS = [
+    M, "family", "transaction_datetime_utc", "local_hour", "settlement_amount_usd", "channel",
+    "card_present_flag", "issuer_country", "acquirer_country", "approved_flag",
+    "auth_response_code", "merchant_descriptor",
+]
+
+
 def tagged_rows(tx: DataFrame, merchants: DataFrame, ceilings: DataFrame | None = None) -> DataFrame:
     """Transactions of the given merchants (family, merchant_country) with their tells."""
     who = merchants.select(M, "family", F.col("merchant_country").alias("_declared_country"))
@@ -113,20 +121,20 @@ def tagged_rows(tx: DataFrame, merchants: DataFrame, ceilings: DataFrame | None
     return (
         tx.join(who, M)
         .withColumn("tells", row_tells(F.col("family"), F.col("ceiling"), F.col("_declared_country")))
-        .drop("_declared_country")
+        .select(*EVIDENCE_COLUMNS, "tells")
     )
 
 
 def evidence_sample(tagged: DataFrame, k: int = 12, clean: int = 3) -> DataFrame:
     """Last k-3 telling rows and last 3 clean rows of each merchant, k in all."""
-    ties = [c for c, t in tagged.dtypes if c not in (M, "transaction_datetime_utc", "tells")]
+    ties = [c for c in tagged.columns if c not in (M, "family", "transaction_datetime_utc", "tells")]
     order = [F.desc("transaction_datetime_utc"), *[F.asc_nulls_first(c) for c in ties]]
     marked = tagged.withColumn("telling", F.size("tells") > 0)
     kept = top_per_key(
         marked, [M, "telling"], order, max(k - clean, clean), [M, *ties],
         cap=F.when(F.col("telling"), k - clean).otherwise(clean),
     )
-    return top_per_key(kept, [M], order, k, [M, *ties])
+    return top_per_key(kept, [M], [*order, F.asc("telling")], k, [M, *ties])
 
 
 # -------------------------------------------------------------- signatures

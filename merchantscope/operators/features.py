@@ -164,14 +164,9 @@ _DIMENSIONS = {
 
 def dimension_counts(tx: DataFrame) -> DataFrame:
     """(merchant, dim, value) -> n, every dimension out of a single scan."""
-    entries = F.array(
-        *[
-            F.struct(F.lit(d).alias("dim"), make(d).cast("string").alias("val"))
-            for d, make in _DIMENSIONS.items()
-        ]
-    )
+    named = tx.select(M, *[make(d).cast("string").alias(d) for d, make in _DIMENSIONS.items()])
     return (
-        tx.select(M, F.inline(entries))
+        named.unpivot([M], list(_DIMENSIONS), "dim", "val")
         .filter(F.col("val").isNotNull())
         .groupBy(M, "dim", "val")
         .agg(F.count("*").alias("n"))

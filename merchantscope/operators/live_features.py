@@ -75,16 +75,14 @@ def base_features(ok: DataFrame) -> DataFrame:
 
 def diversity_features(ok: DataFrame) -> DataFrame:
     """Descriptor and product-signal entropy (base 2), and volume per active hour."""
-    entries = F.array(
-        F.struct(F.lit("descriptor").alias("dim"), F.col("merchant_descriptor").alias("val")),
-        F.struct(F.lit("signal").alias("dim"), F.col("product_signal").alias("val")),
-        F.struct(
-            F.lit("hour").alias("dim"),
-            F.date_trunc("hour", "event_ts").cast("string").alias("val"),
-        ),
+    named = ok.select(
+        M,
+        F.col("merchant_descriptor").alias("descriptor"),
+        F.col("product_signal").alias("signal"),
+        F.date_trunc("hour", "event_ts").cast("string").alias("hour"),
     )
     counts = (
-        ok.select(M, F.inline(entries))
+        named.unpivot([M], ["descriptor", "signal", "hour"], "dim", "val")
         .groupBy(M, "dim", "val")
         .agg(F.count("*").cast("double").alias("n"))
     )

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from merchantscope.plans import batch_queries, live_queries, mart_queries
+from merchantscope.plans import batch_queries, live_queries, mart_queries, ml_queries
 from merchantscope.plans.workbench import Workbench
 
-MODULES = (batch_queries, mart_queries, live_queries)
+MODULES = (batch_queries, mart_queries, live_queries, ml_queries)
 
 
 def all_queries() -> dict[str, Callable[[Workbench], DataFrame]]:

@@ -13,6 +13,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from merchantscope.sources.readers import spread
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "labels")
 
@@ -277,9 +279,10 @@ class StarFixture:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def _sql(self, query: str, *tables: str) -> DataFrame:
-        return self.spark.sql(
-            _named(query, tables), **{t: self.table(t) for t in tables}
-        )
+        frames = {t: self.table(t) for t in tables}
+        if "lineitem" in frames:
+            frames["lineitem"] = spread(frames["lineitem"])
+        return self.spark.sql(_named(query, tables), **frames)
 
     def settlement(self) -> DataFrame:
         return self._sql(

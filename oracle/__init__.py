@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracle import batch, live, marts
+    from oracle import batch, live, marts, ml
 
-    return {**batch.ORACLE, **marts.ORACLE, **live.ORACLE}
+    return {**batch.ORACLE, **marts.ORACLE, **live.ORACLE, **ml.ORACLE}
