@@ -33,9 +33,13 @@ def logistic100(x: Column, k: float = 1.0) -> Column:
 
 
 def round_half_up(x: Column, dp: int = 2) -> Column:
-    """Round with ties toward +infinity (floor(x*10^dp + 1/2)/10^dp)."""
+    """Round with ties toward +infinity.
+
+    The scaled value is first freed of floating-point noise (six places), so that a
+    tie does not depend on the order in which a sum was formed.
+    """
     scale = float(10**dp)
-    return F.floor(x * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    return F.floor(F.round(x * F.lit(scale), 6) + F.lit(0.5)).cast("double") / F.lit(scale)
 
 
 def round_half_even(x: Column, dp: int) -> Column:

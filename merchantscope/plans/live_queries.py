@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from merchantscope import live_reference as live
 from merchantscope.functions import text
 from merchantscope.operators import (
-    cases as cs, entity_graph as eg, evaluation as ev, evidence as ed, lanes, live_features as lf,
+    cases as cs, entity_graph as eg, evaluation as ev, evidence as ed, explorer as ex, lanes,
+    live_features as lf,
     live_rules as lr, mcc_model as mm, quality as ql,
 )
 from merchantscope.plans.workbench import Workbench, tidy
@@ -229,6 +230,14 @@ def case_patches(b):
     return tidy(merged.select("case_id", "status", F.array_join("notes", "|").alias("notes")))
 
 
+def engine_samples(b):
+    """Events as transactions: full rows of the busiest users, 24 sampled of the others."""
+    tx = b.fixture.events().select(
+        M, F.col("event_id").alias("transaction_id"), F.col("transaction_datetime_utc").alias("event_ts"))
+    records = tx.groupBy(M).agg(F.count("*").alias("final_risk_score"))
+    return tidy(ex.engine_samples(tx, records, top=10, full=40).select(M, "transaction_id"))
+
+
 def case_statuses(b):
     made = cs.acquirer_cases(cs.case_members(b.live_records), F.to_date(F.lit("2001-08-01")))
     return tidy(cs.status_counts(cs.filter_cases(made, "OPEN")))
@@ -328,6 +337,7 @@ QUERIES = {
     "case_rollup": cases,
     "case_patches": case_patches,
     "case_statuses": case_statuses,
+    "engine_samples": engine_samples,
     "filed_cases": filed_cases,
     "evidence_rows": evidence,
     "evidence_confidence": confidence,

@@ -14,7 +14,7 @@ from oracle.views import TOKENS, _case, _list, with_views
 
 
 def up(x: str, dp: int) -> str:
-    return f"(floor(({x}) * {10**dp} + 0.5) / {10**dp})"
+    return f"(floor(round(({x}) * CAST({10**dp} AS DOUBLE), 6) + 0.5) / {10**dp})"
 
 
 def r6(cols: list[str], text: tuple[str, ...] = ()) -> str:
@@ -551,6 +551,12 @@ O["case_statuses"] = q(
     + ", ".join(f"('{s}')" for s in live.CASE_STATUSES)
     + ") v(s) LEFT JOIN acase ON s = 'new' GROUP BY 1"
 )
+O["engine_samples"] = q("""
+SELECT merchant_id, transaction_id FROM (SELECT user_id AS merchant_id, event_id AS transaction_id,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rt,
+    row_number() OVER (PARTITION BY user_id ORDER BY md5('20260724:' || CAST(event_id AS VARCHAR)), event_id) AS rh,
+    user_id IN (SELECT user_id FROM events GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 10) AS best
+  FROM events) WHERE CASE WHEN best THEN rt <= 40 ELSE rh <= 24 END""")
 O["filed_cases"] = q("""
 SELECT merchant_id, strftime(filed_at, '%Y-%m-%d %H:%M:%S.%f') AS filed_at, filing_id FROM (
   SELECT user_id AS merchant_id, ts AS filed_at, event_id AS filing_id, row_number() OVER (

@@ -598,7 +598,7 @@ FROM (SELECT *, surcharge_disclosed IS NOT NULL AS known, surcharge_rate_bps / 1
 EXTRA["asv"] = """
 SELECT *, CASE WHEN NOT known THEN 'INSUFFICIENT DATA' WHEN violation IN ('Regional ban',
   'Prohibited debit/prepaid') THEN 'SEVERE VIOLATION' WHEN violation <> '' THEN 'POTENTIAL VIOLATION'
-  ELSE 'COMPLIANT' END AS status, floor(gross_sales_usd * pct_txn_surcharged + 0.5) AS vol FROM asd"""
+  ELSE 'COMPLIANT' END AS status, floor(round(gross_sales_usd * pct_txn_surcharged, 6) + 0.5) AS vol FROM asd"""
 o["surcharge_assessment"] = q("""
 SELECT merchant_id, region, regime, surcharge_pct, over_cap, violation, status,
   CASE WHEN NOT known THEN 0 WHEN violation = '' THEN 2 ELSE 3 END::BIGINT AS steps FROM asv""")

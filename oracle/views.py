@@ -341,11 +341,33 @@ def assert_weights() -> None:
     assert all(math.isfinite(x) for w in _MODELS.values() for x in w.values())
 
 
+def settle(sql: str) -> str:
+    """Turn every ``round(x, 6)`` of a result into ``round(round(x, 9), 6)``.
+
+    The inner step removes the noise of the summation order before a tie is rounded.
+    """
+    out, i = "", 0
+    while (at := sql.find("round(", i)) >= 0:
+        depth, end = 0, at + 5
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            if depth == 0:
+                break
+            end += 1
+        inner = sql[at + 6 : end]
+        if inner.endswith(", 6"):
+            out += sql[i:at] + f"round(round({settle(inner[:-3])}, 9), 6)"
+        else:
+            out += sql[i:at] + f"round({settle(inner)})"
+        i = end + 1
+    return out + sql[i:]
+
+
 def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``body`` with exactly the views it needs, in dependency order."""
     import re
 
-    pool = {**VIEWS, **(extra or {})}
+    pool, body = {**VIEWS, **(extra or {})}, settle(body)
     needed: set[str] = set()
 
     def visit(sql: str) -> None:
