@@ -106,7 +106,7 @@ def flagged_first(b):
 def family_volume(b):
     joined = ex.with_merchant_family(b.tx, b.scores)
     return tidy(joined.groupBy("family").agg(F.count("*").alias("txns"),
-                                             F.sum("settlement_amount_usd").alias("amount")))
+                                             F.sum("settlement_amount_usd").alias("amount")), 2)
 
 
 def metadata(b):

@@ -189,7 +189,7 @@ SELECT merchant_id, CAST(flag_for_investigation AS BIGINT) AS flag_for_investiga
   integrity_risk_score FROM scores
 ORDER BY flag_for_investigation DESC, integrity_risk_score DESC, merchant_id LIMIT 40""")
 o["family_volume"] = q("""
-SELECT family, count(*) AS txns, round(sum(settlement_amount_usd), 6) AS amount
+SELECT family, count(*) AS txns, round(sum(settlement_amount_usd), 2) AS amount
 FROM tx JOIN scores USING (merchant_id) GROUP BY family""")
 o["run_metadata"] = q("""
 SELECT 'merchants' AS "table", count(*) AS "rows" FROM dim
@@ -363,59 +363,6 @@ _ALL = [
     "local_hour", "settlement_amount_usd", "channel", "card_present_flag", "issuer_country",
     "acquirer_country", "approved_flag", "auth_response_code", "merchant_descriptor",
 ]
-_ORDER = {
-    "mcc_miscoding": "(txn_count >= 150) DESC, rules_triggered DESC, txn_count DESC, "
-                     "exposure_weighted_score DESC",
-    "mcc_abuse": "(txn_count >= 200) DESC, abs(interchange_advantage_bps) * gross_sales_usd DESC, "
-                 "txn_count DESC",
-    "split_ticketing": "pct_txn_in_split_burst DESC, split_burst_events DESC, txn_count DESC",
-    "factoring": "n_sub_merchant_ids DESC, volume_spike_ratio DESC, txn_count DESC",
-    "descriptor": "descriptor_changes DESC, txn_count DESC",
-    "cash": "pct_round_100 DESC, pct_quasi_cash DESC, txn_count DESC",
-}
-o["exemplars"] = q(
-    " UNION ALL ".join(
-        f"SELECT * FROM (SELECT family, merchant_id, txn_count, exposure_weighted_score FROM flg "
-        f"WHERE family = '{f}' ORDER BY {order}, merchant_id LIMIT 1)"
-        for f, order in _EXEMPLAR_ORDER.items()
-    )
-)
-_TELLS = {
-    "night": "local_hour <= 5 OR local_hour >= 23",
-    "round": "amt > 0 AND amt % 100 = 0",
-    "cnp": "card_present_flag = 'N'",
-    "offshore": "merchant_acquirer_country_mismatch = 'Y' OR (acquirer_country <> merchant_country"
-                " AND acquirer_country <> issuer_country)",
-    "declined": "approved_flag <> 'Y'",
-    "recurring": "channel = 'RECURRING'",
-    "cpmismatch": "card_present_flag <> 'N' AND (channel LIKE '%ECOM%' OR channel LIKE '%MOTO%')",
-    "ceiling": "false",
-    "burst": "split_group_id IS NOT NULL",
-    "submerchant": "sub_merchant_id IS NOT NULL",
-    "big": "amt >= 500",
-}
-_tell = "concat_ws('|', " + ", ".join(
-    f"CASE WHEN ({cond}) AND family IN ("
-    + _list([f for f, tags in ref.FAMILY_TELLS.items() if tag in tags])
-    + f") THEN '{tag}' END"
-    for tag, cond in _TELLS.items()
-) + ")"
-EXTRA["told"] = (
-    f"SELECT *, {_tell} AS tells FROM (SELECT tx.*, abs(settlement_amount_usd) AS amt, f.family, "
-    "f.merchant_country, CASE WHEN channel = 'RECURRING' THEN 'Y' END AS recurring_flag, "
-    "CAST(NULL AS DOUBLE) AS ceiling FROM tx JOIN flg f USING (merchant_id))"
-)
-# The order of ties follows the columns of the tagged table.
-_ALL = [
-    "transaction_date", "local_hour", "settlement_amount_usd", "fraud_amount_usd",
-    "chargeback_amount_usd", "interchange_fee_usd", "card_token_id", "issuer_bin",
-    "issuer_country", "acquirer_bin", "acquirer_country", "card_acceptor_id",
-    "merchant_descriptor", "sub_merchant_id", "split_group_id", "channel",
-    "domestic_xborder_flag", "pos_entry_mode", "transaction_type_code", "auth_response_code",
-    "chargeback_reason_code", "approved_flag", "card_present_flag", "token_flag", "refund_flag",
-    "reversal_flag", "chargeback_flag", "fraud_flag", "three_ds_flag",
-    "merchant_acquirer_country_mismatch", "recurring_flag", "family", "ceiling",
-]
 _ORDER = "transaction_datetime_utc DESC, " + ", ".join(f"{c} NULLS FIRST" for c in _ALL)
 o["evidence_sample"] = q(f"""
 SELECT merchant_id, family,

@@ -129,8 +129,8 @@ def burst_ctes(source: str, near: str) -> dict[str, str]:
     return {
         "gaps": f"""
 SELECT *, {near} AS near_flag, abs(settlement_amount_usd) AS amt_abs,
-  epoch_us(transaction_datetime_utc) / 1e6 - lag(epoch_us(transaction_datetime_utc) / 1e6) OVER (
-    PARTITION BY merchant_id, card_token_id ORDER BY transaction_datetime_utc) AS gap
+  (epoch_us(transaction_datetime_utc) - lag(epoch_us(transaction_datetime_utc)) OVER (
+    PARTITION BY merchant_id, card_token_id ORDER BY transaction_datetime_utc)) / 1e6 AS gap
 FROM {source}""",
         "numbered": """
 SELECT *, sum((gap IS NULL OR gap > 3600)::INT) OVER (PARTITION BY merchant_id, card_token_id
