@@ -44,9 +44,12 @@ def peer_zscores(
         enough = (F.col(f"_pn{i}") >= min_peers) & F.col(peer_col).isNotNull()
         mean = F.when(enough, F.col(f"_pm{i}")).otherwise(F.col(f"_gm{i}"))
         sd = F.when(enough, F.col(f"_ps{i}")).otherwise(F.col(f"_gs{i}"))
-        z = F.when(sd > 0, (F.col(c).cast("double") - mean) / sd)
-        scores[f"{prefix}{c}"] = F.coalesce(
-            F.greatest(F.lit(-clip), F.least(F.lit(clip), z)), F.lit(0.0)
+        # A spread within rounding noise of the mean is no spread.
+        spread = (sd > 0) & (sd > F.abs(mean) * 1e-12)
+        z = F.when(spread, (F.col(c).cast("double") - mean) / sd)
+        # Missing becomes 0 before clipping: least() and greatest() skip NULLs.
+        scores[f"{prefix}{c}"] = F.greatest(
+            F.lit(-clip), F.least(F.lit(clip), F.coalesce(z, F.lit(0.0)))
         )
     helper = [f"_{t}{k}{i}" for t in "pg" for k in "msn" for i in range(len(cols))]
     return joined.withColumns(scores).drop(*helper)

@@ -234,7 +234,7 @@ def _z(c: str) -> str:
     enough = f"count({c}) OVER {grp} >= {ref.MIN_PEERS}"
     mean = f"CASE WHEN {enough} THEN avg({v}) OVER {grp} ELSE avg({v}) OVER () END"
     sd = f"CASE WHEN {enough} THEN stddev_samp({v}) OVER {grp} ELSE stddev_samp({v}) OVER () END"
-    return f"coalesce(greatest(-5, least(5, ({v} - {mean}) / nullif({sd}, 0))), 0) AS z_{c}"
+    return f"greatest(-5, least(5, coalesce(({v} - {mean}) / nullif({sd}, 0), 0))) AS z_{c}"
 
 
 VIEWS["z"] = "SELECT *, " + ",\n".join(_z(c) for c in Z_FEATURES) + " FROM features"
