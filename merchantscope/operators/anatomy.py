@@ -17,6 +17,7 @@ from merchantscope.functions.numeric import finite_or, nice_ceiling
 from merchantscope.functions.text import valid_string
 from merchantscope.operators.ordering import exact_percentiles, value_counts
 from merchantscope.operators.ranking import best_per_group, top_per_key
+from merchantscope.session import stage_table
 
 M = "merchant_id"
 
@@ -194,7 +195,9 @@ def split_group_amounts(tx: DataFrame, groups: DataFrame) -> DataFrame:
 
 def split_ceilings(amounts: DataFrame) -> DataFrame:
     """Likely authorisation ceiling: the first round step above the 95th percentile."""
-    counts = amounts.groupBy(M, "amount").agg(F.sum("n").alias("n"))
+    counts = stage_table(
+        amounts.groupBy(M, "amount").agg(F.sum("n").alias("n")), "split_amount_counts"
+    )
     p95 = exact_percentiles(counts, [M], "amount", {"p95": 0.95})
     beyond = F.ceil(F.col("p95") / 1000) * 1000.0
     return p95.select(
@@ -241,10 +244,11 @@ def recent_months(tx: DataFrame, k: int = 12) -> DataFrame:
 
 def descriptor_timeline(tx: DataFrame, k: int = 8) -> DataFrame:
     """Descriptors in order of first use, with their share of the merchant's rows."""
-    seen = (
+    seen = stage_table(
         tx.filter(valid_string(F.col("merchant_descriptor")))
         .groupBy(M, "merchant_descriptor")
-        .agg(F.min("transaction_datetime_utc").alias("first_seen"), F.count("*").alias("txns"))
+        .agg(F.min("transaction_datetime_utc").alias("first_seen"), F.count("*").alias("txns")),
+        "descriptors_seen",
     )
     totals = seen.groupBy(M).agg(F.sum("txns").alias("_total"))
     order = [F.asc("first_seen"), F.asc("merchant_descriptor")]

@@ -23,6 +23,7 @@ from merchantscope import reference as ref
 from merchantscope.functions import text
 from merchantscope.functions.numeric import any_within, entropy_from_sums, flag, share
 from merchantscope.operators.ordering import exact_percentiles
+from merchantscope.session import stage_table
 
 M = "merchant_id"
 
@@ -234,22 +235,6 @@ def card_hour_counts(tx: DataFrame, gap_seconds: int = ref.BURST_GAP_SECONDS) ->
     )
 
 
-def card_features(slices: DataFrame) -> DataFrame:
-    """Card re-use and concentration per merchant."""
-    per_card = (
-        slices.filter(F.col("card_token_id").isNotNull())
-        .groupBy(M, "card_token_id")
-        .agg(F.sum("n").cast("double").alias("n"))
-    )
-    total = F.sum("n")
-    return per_card.groupBy(M).agg(
-        F.count("*").alias("unique_cards"),
-        share(F.col("n") > 1).alias("pct_cards_multi_use"),
-        F.max("n").cast("long").alias("max_txn_single_card"),
-        (F.sum(F.col("n") * F.col("n")) / (total * total)).alias("card_concentration_hhi"),
-    )
-
-
 def bursts(slices: DataFrame, gap_seconds: int = ref.BURST_GAP_SECONDS) -> DataFrame:
     """One row per burst: a run of a card's transactions with gaps <= gap_seconds.
 
@@ -301,6 +286,45 @@ def burst_features(split: DataFrame) -> DataFrame:
     )
 
 
+def card_burst_features(slices: DataFrame) -> DataFrame:
+    """Card use and split features in one flow over the slices.
+
+    Bursts are folded into their card and cards into their merchant; window and
+    both first groupings share the partitioning by (merchant, card).
+    """
+    rows = bursts(slices)
+    split = (F.col("n") >= ref.BURST_MIN_SIZE) & (
+        F.coalesce("amt_cv", F.lit(0.0)) < ref.BURST_MAX_CV
+    )
+
+    def sum_if(col: str) -> Column:
+        return F.coalesce(F.sum(F.when(split, F.col(col))), F.lit(0)).cast("double")
+
+    per_card = rows.groupBy(M, "card_token_id").agg(
+        F.sum("n").cast("double").alias("n"),
+        F.count_if(split).alias("events"),
+        *[sum_if(c).alias(f"_{c}") for c in ("n", "span_sec", "inner_span_sec", "near_share")],
+    )
+    total, events, split_n = F.sum("n"), F.sum("events"), F.sum("_n")
+    zero = F.lit(0.0)
+    return per_card.groupBy(M).agg(
+        F.count("*").alias("unique_cards"),
+        share(F.col("n") > 1).alias("pct_cards_multi_use"),
+        F.max("n").cast("long").alias("max_txn_single_card"),
+        (F.sum(F.col("n") * F.col("n")) / (total * total)).alias("card_concentration_hhi"),
+        events.alias("split_burst_events"),
+        split_n.cast("long").alias("split_txn_count"),
+        F.coalesce(F.try_divide(split_n, events), zero).alias("mean_split_burst_size"),
+        F.coalesce(F.try_divide(F.sum("_span_sec"), split_n), zero).alias("mean_split_gap_sec"),
+        F.coalesce(F.try_divide(F.sum("_inner_span_sec"), split_n), zero).alias(
+            "mean_split_inner_gap_sec"
+        ),
+        F.coalesce(F.try_divide(F.sum("_near_share"), events), zero).alias(
+            "pct_split_near_ceiling"
+        ),
+    )
+
+
 # ------------------------------------------------------------ pass 4: amounts
 def amount_counts(tx: DataFrame) -> DataFrame:
     """(merchant, absolute amount) -> rows and approved rows."""
@@ -312,7 +336,10 @@ def amount_counts(tx: DataFrame) -> DataFrame:
 
 
 def amount_features(counts: DataFrame) -> DataFrame:
-    """Distinct amounts, and exact median and p95 of approved tickets."""
+    """Distinct amounts, and exact median and p95 of approved tickets.
+
+    Reads ``counts`` several times: hand in a stored table.
+    """
     known = counts.filter(F.col("abs_amt").isNotNull())
     distinct = known.groupBy(M).agg(F.count("*").alias("n_distinct_amounts"))
     quantiles = exact_percentiles(
@@ -447,16 +474,17 @@ def merchant_features(
 ) -> DataFrame:
     """The full feature row per merchant.
 
-    All parts are hash-partitioned by merchant already, so assembling them adds no
+    The two pre-aggregates that feed several features are stored first: Spark prunes
+    each use differently and would not share their exchange, but scan the fact again.
+    The parts are hash-partitioned by merchant already, so assembling them adds no
     exchange of its own.
     """
-    slices = card_hour_counts(tx)
-    months = month_descriptor_counts(tx)
+    months = stage_table(month_descriptor_counts(tx), "month_descriptor_counts")
+    amounts = stage_table(amount_counts(tx), "amount_counts")
     parts = [
         dimension_features(dimension_counts(tx)),
-        card_features(slices),
-        burst_features(split_bursts(bursts(slices))),
-        amount_features(amount_counts(tx)),
+        card_burst_features(card_hour_counts(tx)),
+        amount_features(amounts),
         monthly_features(months),
         descriptor_features(months, merchants),
     ]

@@ -14,6 +14,7 @@ from merchantscope import live_reference as live
 from merchantscope.functions import text
 from merchantscope.functions.numeric import entropy_from_sums, flag, ratio0, round_half_up
 from merchantscope.operators.ordering import exact_percentiles, order_statistics
+from merchantscope.session import stage_table
 
 M = "merchant_id"
 
@@ -141,8 +142,8 @@ def card_features(slices: DataFrame, seconds: int = live.RAPID_REPEAT_SECONDS) -
 
 def ticket_features(ok: DataFrame) -> DataFrame:
     """Median, p95 and quartile spread of purchase amounts."""
-    counts = (
-        ok.filter(_purchase()).groupBy(M, "amount").agg(F.count("*").alias("n"))
+    counts = stage_table(
+        ok.filter(_purchase()).groupBy(M, "amount").agg(F.count("*").alias("n")), "ticket_counts"
     )
     q = exact_percentiles(
         counts, [M], "amount", {"median_ticket": 0.5},
@@ -158,12 +159,12 @@ def ticket_features(ok: DataFrame) -> DataFrame:
 def change_point(ok: DataFrame) -> DataFrame:
     """Shift of channel and ticket between the halves split at the median instant.
 
-    Rows are reduced to (merchant, instant) once; the split instant is an exact
-    order statistic with hours as buckets.
+    Rows are reduced to (merchant, instant) once and stored, because three steps read
+    them; the split instant is an exact order statistic with hours as buckets.
     """
     us = F.unix_micros(F.col("event_ts").cast("timestamp"))
     positive = F.col("amount") > 0
-    instants = (
+    instants = stage_table(
         ok.withColumn("us", us)
         .groupBy(M, "us")
         .agg(
@@ -171,7 +172,8 @@ def change_point(ok: DataFrame) -> DataFrame:
             F.sum(flag(F.col("ecommerce"))).alias("remote"),
             F.coalesce(F.sum(F.when(positive, F.col("amount"))), F.lit(0.0)).alias("amt"),
             F.count_if(positive).alias("paid"),
-        )
+        ),
+        "instants",
     )
     hours = F.floor(F.col("us") / F.lit(3_600_000_000))
     middle = order_statistics(

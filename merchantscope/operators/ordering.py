@@ -79,7 +79,8 @@ def order_statistics(
     Each entry of ``ranks`` maps the key's row count to a rank. Only buckets that
     hold a wanted rank are ordered; the rest stop at their totals. ``bucket``
     replaces the logarithmic bucket where another one spreads the values better
-    (hours for timestamps); it must not decrease with the value.
+    (hours for timestamps); it must not decrease with the value. ``counts`` is read
+    twice: hand in a stored table where it comes from a large scan.
     """
     slot = bucket if bucket is not None else order_bucket(F.col(value))
     bucketed = counts.filter(F.col(n) > 0).withColumn("_b", slot)

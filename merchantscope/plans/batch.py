@@ -25,18 +25,19 @@ class BatchOptions:
 
 
 def gated_features(
-    book: readers.SettlementBook, mcc_reference: DataFrame, bands: DataFrame, options: BatchOptions
-) -> tuple[DataFrame, DataFrame]:
-    """(audit, features) over the lookback; the gate is applied on the merchant grain.
+    book: readers.SettlementBook, audit: DataFrame, mcc_reference: DataFrame, bands: DataFrame,
+    options: BatchOptions,
+) -> DataFrame:
+    """Features over the lookback of the merchants that pass the (stored) audit.
 
     Filtering merchants after aggregation gives the same rows as filtering
     transactions first, and keeps the fact out of a join.
     """
-    tx = book.transactions
-    audit = activity.activity_audit(tx, options.min_txn, options.lookback_months)
-    recent = tx.filter(activity.within_lookback(tx, options.lookback_months))
+    recent = book.transactions.filter(
+        activity.within_lookback(book.transactions, options.lookback_months)
+    )
     features = ft.merchant_features(recent, book.merchants, mcc_reference, bands)
-    return audit, features.join(activity.passing_merchants(audit), M, "left_semi")
+    return features.join(activity.passing_merchants(audit), M, "left_semi")
 
 
 def name_entities(scores: DataFrame, dba: DataFrame, corp: DataFrame) -> DataFrame:
@@ -68,8 +69,9 @@ def run_batch(
         writers.write_parquet(df, f"{out}/{name}")
         return spark.read.schema(df.schema).parquet(f"{out}/{name}")
 
-    audit, features = gated_features(book, mcc_reference, bands, options)
+    audit = activity.activity_audit(book.transactions, options.min_txn, options.lookback_months)
     tables = {"filter_audit": keep(audit, "filter_audit")}
+    features = gated_features(book, tables["filter_audit"], mcc_reference, bands, options)
     tables["merchant_features"] = keep(features, "merchant_features")
     scored = sc.score_merchants(tables["merchant_features"], min_peers=options.min_peers)
     scores = keep(name_entities(scored, book.dba, book.corp), "merchant_scores")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from merchantscope import reference as ref
 from merchantscope.operators import activity, features as ft, peers, scoring as sc
 from merchantscope.plans.workbench import Workbench, tidy
+from merchantscope.session import stage_table
 
 M = "merchant_id"
 
@@ -73,11 +74,11 @@ def dimensions(b: Workbench) -> DataFrame:
 
 
 def cards(b: Workbench) -> DataFrame:
-    return tidy(ft.card_features(ft.card_hour_counts(b.tx)))
+    return tidy(ft.card_burst_features(ft.card_hour_counts(b.tx)).select(M, *CARDS))
 
 
 def percentiles(b: Workbench) -> DataFrame:
-    return tidy(ft.amount_features(ft.amount_counts(b.tx)))
+    return tidy(ft.amount_features(stage_table(ft.amount_counts(b.tx), "amount_counts")))
 
 
 def velocity(b: Workbench) -> DataFrame:
@@ -85,7 +86,8 @@ def velocity(b: Workbench) -> DataFrame:
 
 
 def descriptors(b: Workbench) -> DataFrame:
-    return tidy(ft.descriptor_features(ft.month_descriptor_counts(b.tx), b.merchants))
+    months = stage_table(ft.month_descriptor_counts(b.tx), "month_descriptor_counts")
+    return tidy(ft.descriptor_features(months, b.merchants))
 
 
 def modal_descriptor(b: Workbench) -> DataFrame:

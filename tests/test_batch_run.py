@@ -169,6 +169,16 @@ def test_feature_job_has_no_pairwise_plan(spark):
     b = workbench(spark, FOLDER)
     text = plan(ft.merchant_features(b.tx, b.merchants, b.fixture.mcc_reference(), b.fixture.bands()))
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text and "Python" not in text
+    # Two pre-aggregates are stored beforehand; three more passes read the fact.
+    logical = text_of_optimized(
+        ft.merchant_features(b.tx, b.merchants, b.fixture.mcc_reference(), b.fixture.bands())
+    )
+    scans = [x for x in logical.splitlines() if "Relation [" in x and "transaction_datetime_utc" in x]
+    assert len(scans) == 3
+
+
+def text_of_optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_slice_cuts_before_the_shuffle(spark):

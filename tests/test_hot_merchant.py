@@ -56,7 +56,7 @@ def test_dimensions_with_missing_values(spark, hot):
 
 def test_cards(spark, hot):
     pdf, df = hot
-    got = ft.card_features(ft.card_hour_counts(df)).toPandas().set_index("merchant_id")
+    got = ft.card_burst_features(ft.card_hour_counts(df)).toPandas().set_index("merchant_id")
     for m, g in pdf.groupby("merchant_id"):
         n = g.card_token_id.value_counts()
         assert got.unique_cards[m] == len(n) and got.max_txn_single_card[m] == n.max()
