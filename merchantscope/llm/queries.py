@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, sharding, topk
+from . import decontaminate, lines, minhash, mixing, pii, quality, secrets, sharding, suffix, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,8 +15,14 @@ def queries() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
+            suffix.op1_suffix_array_dedup,
+            quality.op2_quadratic_quality,
+            secrets.op3_ownership_secret_scan,
+            lines.op4_line_run_dedup,
+            minhash.op5_lsh_forest_near_dedup,
             decontaminate.op6_benchmark_decontamination,
             mixing.op7_low_discrepancy_mixing,
+            pii.op8_weak_supervision_pii,
             sharding.op9_histogram_sort_sharding,
             topk.op10_pivot_top_k,
         )
@@ -25,6 +31,9 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_ownership_secret_scan": secrets.OP3_SQL,
+        "op4_line_run_dedup": lines.OP4_SQL,
+        "op5_lsh_forest_near_dedup": minhash.OP5_SQL,
         "op6_benchmark_decontamination": decontaminate.OP6_SQL,
         "op7_low_discrepancy_mixing": mixing.OP7_SQL,
         "op9_histogram_sort_sharding": sharding.OP9_SQL,
