@@ -16,7 +16,7 @@ from merchantscope import reference as ref
 from merchantscope.functions.numeric import finite_or, nice_ceiling
 from merchantscope.functions.text import valid_string
 from merchantscope.operators.ordering import exact_percentiles, value_counts
-from merchantscope.operators.ranking import best_per_group, top_per_key
+from merchantscope.operators.ranking import best_per_group, join_in_pieces, top_per_key
 from merchantscope.session import stage_table
 
 M = "merchant_id"
@@ -119,16 +119,18 @@ def tagged_rows(tx: DataFrame, merchants: DataFrame, ceilings: DataFrame | None
         who = who.join(ceilings.select(M, "ceiling"), M, "left")
     else:
         who = who.withColumn("ceiling", F.lit(None).cast("double"))
+    spread = [c for c in EVIDENCE_COLUMNS if c not in ("family", "transaction_datetime_utc")]
     return (
-        tx.join(who, M)
+        join_in_pieces(tx, who, [M], spread)
         .withColumn("tells", row_tells(F.col("family"), F.col("ceiling"), F.col("_declared_country")))
-        .select(*EVIDENCE_COLUMNS, "tells")
+        .select(*EVIDENCE_COLUMNS, "tells", "_piece")
     )
 
 
 def evidence_sample(tagged: DataFrame, k: int = 12, clean: int = 3) -> DataFrame:
     """Last k-3 telling rows and last 3 clean rows of each merchant, k in all."""
-    ties = [c for c in tagged.columns if c not in (M, "family", "transaction_datetime_utc", "tells")]
+    own = (M, "family", "transaction_datetime_utc", "tells", "_piece")
+    ties = [c for c in tagged.columns if c not in own]
     order = [F.desc("transaction_datetime_utc"), *[F.asc_nulls_first(c) for c in ties]]
     marked = tagged.withColumn("telling", F.size("tells") > 0)
     kept = top_per_key(
@@ -276,12 +278,13 @@ def cash_histogram(tx: DataFrame, edges: list[float] = ref.CASH_HISTOGRAM_EDGES)
     return counts.select(M, F.inline(rows))
 
 
-def round_comb(tx: DataFrame, top: int = 2000) -> DataFrame:
-    """Transactions at exact multiples of 100, by amount."""
+def round_comb(tx: DataFrame, top: int | None = None) -> DataFrame:
+    """Transactions at exact multiples of 100, by amount (a chart may stop at ``top``)."""
     amount = F.abs("settlement_amount_usd")
     nearest = F.rint(amount / 100) * 100
     return (
-        tx.filter((F.abs(amount - nearest) < 0.01) & (nearest >= 100) & (nearest <= top))
+        tx.filter((F.abs(amount - nearest) < 0.01) & (nearest >= 100))
+        .filter(F.lit(True) if top is None else nearest <= top)
         .groupBy(M, nearest.cast("long").alias("amount"))
         .agg(F.count("*").alias("n"))
     )

@@ -139,8 +139,12 @@ def merge_patches(cases: DataFrame, patches: DataFrame) -> DataFrame:
     return joined.withColumns(merged).drop(*[c for c in joined.columns if c.startswith("_p_")])
 
 
-def file_cases(filed: DataFrame, cap: int = 50) -> DataFrame:
-    """Filing log to state: the newest entry per merchant, newest first, capped."""
+def file_cases(filed: DataFrame) -> DataFrame:
+    """Filing log to state: the newest entry of every merchant."""
     row, age = F.struct(*filed.columns), F.struct("filed_at", "filing_id")
-    newest = filed.groupBy(F.col(M).alias("_m")).agg(F.max_by(row, age).alias("_row")).select("_row.*")
-    return newest.orderBy(F.desc("filed_at"), F.desc("filing_id")).limit(cap)
+    return filed.groupBy(F.col(M).alias("_m")).agg(F.max_by(row, age).alias("_row")).select("_row.*")
+
+
+def newest_cases(state: DataFrame, shown: int = 50) -> DataFrame:
+    """What a panel shows of the state: the newest entries."""
+    return state.orderBy(F.desc("filed_at"), F.desc("filing_id")).limit(shown)

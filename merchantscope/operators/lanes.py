@@ -170,6 +170,13 @@ def lane_summary(records: DataFrame, daily: DataFrame) -> DataFrame:
     )
 
 
+def data_window(tx: DataFrame) -> tuple[Column, int]:
+    """First day and number of days that the transactions span (one row is fetched)."""
+    day = F.to_date("event_ts")
+    first, days = tx.agg(F.min(day).cast("string"), F.date_diff(F.max(day), F.min(day)) + 1).first()
+    return F.lit(first or "1970-01-01").cast("timestamp_ntz"), days or 0
+
+
 def daily_volume(tx: DataFrame, start: Column, days: int) -> DataFrame:
     """Positive volume per (merchant, day index) inside the window.
 

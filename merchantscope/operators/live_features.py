@@ -2,7 +2,7 @@
 
 Same construction as the batch features: one base pass plus pre-aggregates on
 (merchant, dimension), (merchant, card, slice), (merchant, amount) and
-(merchant, instant), each map-side combined.
+(merchant, hour), each map-side combined.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from merchantscope import live_reference as live
 from merchantscope.functions import text
 from merchantscope.functions.numeric import entropy_from_sums, flag, ratio0, round_half_up
-from merchantscope.operators.ordering import exact_percentiles, order_statistics
+from merchantscope.operators.ordering import exact_percentiles
 from merchantscope.session import stage_table
 
 M = "merchant_id"
@@ -159,41 +159,41 @@ def ticket_features(ok: DataFrame) -> DataFrame:
 def change_point(ok: DataFrame) -> DataFrame:
     """Shift of channel and ticket between the halves split at the median instant.
 
-    Rows are reduced to (merchant, instant) once and stored, because three steps read
-    them; the split instant is an exact order statistic with hours as buckets.
+    Hours are summed up per merchant first; the median row lies in one of them, and
+    only that hour's rows are looked at again, by instant. So the fact is never dealt
+    out by merchant, and what is stored has one row per merchant and hour.
     """
     us = F.unix_micros(F.col("event_ts").cast("timestamp"))
     positive = F.col("amount") > 0
-    instants = stage_table(
-        ok.withColumn("us", us)
-        .groupBy(M, "us")
-        .agg(
-            F.count("*").alias("n"),
-            F.sum(flag(F.col("ecommerce"))).alias("remote"),
-            F.coalesce(F.sum(F.when(positive, F.col("amount"))), F.lit(0.0)).alias("amt"),
-            F.count_if(positive).alias("paid"),
-        ),
-        "instants",
-    )
-    hours = F.floor(F.col("us") / F.lit(3_600_000_000))
-    middle = order_statistics(
-        instants, [M], "us", {"_mid": lambda t: F.floor(t / 2)}, bucket=hours
-    ).select(M, "_mid")
-    early = F.col("us") < F.col("_mid")
-
-    def half(cond: Column, num: str, den: str) -> Column:
-        return ratio0(
-            F.coalesce(F.sum(F.when(cond, F.col(num))), F.lit(0)).cast("double"),
-            F.coalesce(F.sum(F.when(cond, F.col(den))), F.lit(0)).cast("double"),
-        )
-
-    ticket = F.abs(half(~early, "amt", "paid") - half(early, "amt", "paid"))
-    remote = F.abs(half(~early, "remote", "n") - half(early, "remote", "n"))
-    return (
-        instants.join(middle, M)
-        .groupBy(M)
-        .agg(F.least(F.lit(1.0), remote + ticket / 300).alias("change_point_score"))
-    )
+    rows = ok.select(M, us.alias("us"), F.floor(us / F.lit(3_600_000_000)).alias("hour"), "amount", "ecommerce")
+    sums = {
+        "n": F.count("*"),
+        "remote": F.sum(flag(F.col("ecommerce"))),
+        "amt": F.coalesce(F.sum(F.when(positive, F.col("amount"))), F.lit(0.0)),
+        "paid": F.count_if(positive),
+    }
+    measures = [a.alias(c) for c, a in sums.items()]
+    hours = stage_table(rows.groupBy(M, "hour").agg(*measures), "merchant_hours")
+    whole = Window.partitionBy(M)
+
+    def before(order: str) -> list[Column]:
+        upto = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return [F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(f"{c}_{order}") for c in sums]
+
+    split = hours.select(M, "hour", "n", *before("hour"), *[F.sum(c).over(whole).alias(f"{c}_all") for c in sums])
+    middle = F.floor(F.col("n_all") / 2) - F.col("n_hour")  # place of the median row in its hour
+    split = split.filter((middle >= 0) & (middle < F.col("n"))).withColumn("middle", middle).drop("n")
+    near = rows.join(split.select(M, "hour"), [M, "hour"]).groupBy(M, "us").agg(*measures)
+    instants = near.select(M, "n", *before("us")).join(split, M)
+    at = instants.filter((F.col("middle") >= F.col("n_us")) & (F.col("middle") < F.col("n_us") + F.col("n")))
+    early = {c: (F.col(f"{c}_hour") + F.col(f"{c}_us")).cast("double") for c in sums}
+    late = {c: F.col(f"{c}_all").cast("double") - early[c] for c in sums}
+
+    def shift(num: str, den: str) -> Column:
+        return F.abs(ratio0(late[num], late[den]) - ratio0(early[num], early[den]))
+
+    score = shift("remote", "n") + shift("amt", "paid") / 300
+    return at.select(M, F.least(F.lit(1.0), score).alias("change_point_score"))
 
 
 def profile_array(profiles: DataFrame) -> DataFrame:

@@ -15,6 +15,10 @@ HIT = ("struct<rule_id:string,name:string,typology:string,severity:string,score:
        "explanation:string>")
 
 
+#: A file with more rules is refused, never cut.
+MAX_RULES = 10_000
+
+
 def apply_overrides(rules: list[Rule], enabled: dict[str, bool]) -> list[Rule]:
     """Switch rules on or off by id."""
     return [replace(r, enabled=enabled.get(r.id, r.enabled)) for r in rules]
@@ -29,7 +33,10 @@ def rules_from_json(spark: SparkSession, path: str) -> list[Rule]:
         "texts:array<string>>>"
     )
     out = []
-    for row in spark.read.schema(schema).json(path).limit(10_000).toLocalIterator():
+    stored = spark.read.schema(schema).json(path)
+    if (count := stored.count()) > MAX_RULES:
+        raise ValueError(f"{count} rules in {path}: a rule file is configuration of at most {MAX_RULES}")
+    for row in stored.toLocalIterator():
         conditions = tuple(
             Condition(
                 c.feature,

@@ -9,6 +9,21 @@ from pyspark.sql import functions as F
 KEY_PIECES = 64
 
 
+def in_pieces(df: DataFrame, spread: list[str]) -> DataFrame:
+    """Rows with the piece (``_piece``) of their key that they belong to."""
+    return df.withColumn("_piece", F.pmod(F.xxhash64(*spread), F.lit(KEY_PIECES)).cast("int"))
+
+
+def join_in_pieces(df: DataFrame, small: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """Inner join on key and piece, ``small`` repeated for every piece.
+
+    A join on the key alone would bring a large key to one task, and what ranks its
+    pieces afterwards would find the rows already there. ``_piece`` stays for that.
+    """
+    every = small.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(KEY_PIECES - 1))))
+    return in_pieces(df, spread).join(every, [*keys, "_piece"])
+
+
 def top_per_key(
     df: DataFrame,
     keys: list[str],
@@ -24,13 +39,12 @@ def top_per_key(
     before that shuffle, because the limit is a literal. At most
     ``KEY_PIECES * limit`` rows of a key then meet in one task, however many rows
     the key has. ``cap`` is an optional smaller per-row limit. ``spread`` names the
-    columns that decide the piece.
+    columns that decide the piece (unless ``join_in_pieces`` has dealt the rows).
     """
-    piece = F.pmod(F.xxhash64(*spread), F.lit(KEY_PIECES))
     local = Window.partitionBy(*keys, "_piece").orderBy(*order)
     final = Window.partitionBy(*keys).orderBy(*order)
     survivors = (
-        df.withColumn("_piece", piece)
+        (df if "_piece" in df.columns else in_pieces(df, spread))
         .withColumn("_rn", F.row_number().over(local))
         .filter(F.col("_rn") <= limit)
         .drop("_rn", "_piece")

@@ -31,11 +31,6 @@ GRAPH = ["shared_bank_account_count", "shared_ip_count", "shared_device_count",
 COMPONENTS = ["rule_score", "supervised_score", "anomaly_score", "surcharge_score",
               "mcc_mismatch_score", "behavioral_change_score", "interchange_signal",
               "final_risk_score", "risk_tier"]
-WINDOW_START, WINDOW_DAYS = "1999-01-01", 365
-
-
-def start():
-    return F.lit(WINDOW_START).cast("timestamp_ntz")
 
 
 def base(b: Workbench) -> DataFrame:
@@ -193,7 +188,7 @@ def typology_summary(b):
 
 
 def daily(b):
-    return lanes.daily_volume(b.live_tx, start(), WINDOW_DAYS)
+    return lanes.daily_volume(b.live_tx, *b.live_window)
 
 
 def lane_rollup(b):
@@ -201,7 +196,7 @@ def lane_rollup(b):
 
 
 def daily_trend(b):
-    return tidy(lanes.daily_trend(daily(b), b.live_records, start(), WINDOW_DAYS))
+    return tidy(lanes.daily_trend(daily(b), b.live_records, *b.live_window))
 
 
 def geo(b):
@@ -235,7 +230,7 @@ def engine_samples(b):
     tx = b.fixture.events().select(
         M, F.col("event_id").alias("transaction_id"), F.col("transaction_datetime_utc").alias("event_ts"))
     records = tx.groupBy(M).agg(F.count("*").alias("final_risk_score"))
-    return tidy(ex.engine_samples(tx, records, top=10, full=40).select(M, "transaction_id"))
+    return tidy(ex.engine_samples(tx, records).select(M, "transaction_id"))
 
 
 def case_statuses(b):
@@ -244,7 +239,7 @@ def case_statuses(b):
 
 
 def filed_cases(b):
-    """Events as a filing log: the newest entry per user, newest 50."""
+    """Events as a filing log: the newest entry per user."""
     log = b.fixture.events().select(
         M, F.col("transaction_datetime_utc").alias("filed_at"), F.col("event_id").alias("filing_id"))
     return tidy(cs.file_cases(log))

@@ -31,10 +31,6 @@ def explorer_merchants(b: Workbench) -> DataFrame:
     return ex.merchant_view(named_scores(b), sc.coarse_label(b.fixture.labels()))
 
 
-def named_transactions(b: Workbench) -> DataFrame:
-    return b.tx.join(b.merchants.select(M, "merchant_name"), M, "left")
-
-
 def mart(make):
     return lambda b: tidy(make(b.scores))
 
@@ -91,6 +87,11 @@ def slice_of(b, **kw):
 
 
 def transaction_slice(b):
+    return tidy(slice_of(b).select(*SLICE_COLUMNS))
+
+
+def small_slice(b):
+    """Caps that every merchant of a small book passes."""
     return tidy(slice_of(b, flagged_cap=40, clean_sample=15, clean_cap=25).select(*SLICE_COLUMNS))
 
 
@@ -104,9 +105,7 @@ def flagged_first(b):
 
 
 def family_volume(b):
-    joined = ex.with_merchant_family(b.tx, b.scores)
-    return tidy(joined.groupBy("family").agg(F.count("*").alias("txns"),
-                                             F.sum("settlement_amount_usd").alias("amount")), 2)
+    return tidy(ex.family_volume(b.tx, b.scores), 2)
 
 
 def metadata(b):
@@ -116,11 +115,11 @@ def metadata(b):
 
 def sample_sql(name):
     def run(b: Workbench) -> DataFrame:
-        # Views are named per folder, so that several folders can be open at once.
-        catalog.register_views(
-            {"merchants": explorer_merchants(b), "transactions": named_transactions(b)}
-        )
-        return tidy(b.spark.sql(catalog.SAMPLE_QUERIES[name]))
+        # Frames go in by name, so that several folders can be open at once.
+        return tidy(catalog.query_over(
+            catalog.SAMPLE_QUERIES[name], b.spark,
+            {"merchants": explorer_merchants(b), "transactions": b.named_tx},
+        ))
 
     return run
 
@@ -198,6 +197,7 @@ def evidence_sample(b):
     tagged = an.tagged_rows(
         b.tx.withColumn("recurring_flag", F.when(F.col("channel") == "RECURRING", "Y")),
         b.scores.filter("flag_for_investigation = 1"),
+        ceilings_of(b),
     )
     out = an.evidence_sample(tagged)
     return tidy(out.select(M, "family", "transaction_datetime_utc", "settlement_amount_usd",
@@ -218,9 +218,13 @@ def split_groups(b):
     return tidy(an.split_groups(b.tx))
 
 
-def split_ceilings(b):
+def ceilings_of(b: Workbench) -> DataFrame:
     groups = stage_table(an.split_groups(b.tx), "split_groups")
-    return tidy(an.split_ceilings(an.split_group_amounts(b.tx, groups)))
+    return an.split_ceilings(an.split_group_amounts(b.tx, groups))
+
+
+def split_ceilings(b):
+    return tidy(ceilings_of(b))
 
 
 def sub_merchants(b):
@@ -317,6 +321,7 @@ QUERIES = {
     "queue_view": queue,
     "merchant_view": merchant_view,
     "recent_rows_cap": transaction_slice,
+    "recent_rows_small_cap": small_slice,
     "slice_preview": preview,
     "flagged_first": flagged_first,
     "family_volume": family_volume,

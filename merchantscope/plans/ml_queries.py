@@ -61,7 +61,7 @@ def mcc_logistic(b):
 
 
 def gbt_head(b):
-    _, scored = ml.fit_gbt_head(offline(b), "abuse", trees=10)
+    _, scored = ml.fit_gbt_head(offline(b), "abuse", trees=100)
     return tidy(threshold_curve(scored, "score", 10, {"alerts": F.lit(1).cast("long")}))
 
 

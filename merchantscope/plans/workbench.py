@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from merchantscope.operators import features as ft
 from merchantscope.operators import scoring as sc
+from merchantscope.operators.lanes import data_window
 from merchantscope.plans.live import live_feature_table, score_live
 from merchantscope.session import ensure_conf, stage_table
 from merchantscope.sources.fixtures import LIVE_TX_SQL, StarFixture
@@ -30,6 +31,12 @@ class Workbench:
     def tx(self) -> DataFrame:
         return stage_table(self.fixture.settlement(), "settlement")
 
+    @functools.cached_property
+    def named_tx(self) -> DataFrame:
+        """The explorer's transactions: the fact with merchant names, joined once and stored."""
+        named = self.tx.join(self.merchants.select("merchant_id", "merchant_name"), "merchant_id", "left")
+        return stage_table(named, "named_transactions")
+
     @functools.cached_property
     def merchants(self) -> DataFrame:
         return self.fixture.merchants()
@@ -50,11 +57,14 @@ class Workbench:
     def scores(self) -> DataFrame:
         return self.scored_z.drop(*[c for c in self.scored_z.columns if c.startswith("z_")])
 
-
     @functools.cached_property
     def live_tx(self) -> DataFrame:
         return self.spark.sql(LIVE_TX_SQL.replace("FROM tx", "FROM {tx}"), tx=self.tx)
 
+    @functools.cached_property
+    def live_window(self) -> tuple[Column, int]:
+        return data_window(self.live_tx)
+
     @functools.cached_property
     def live_features(self) -> DataFrame:
         f = self.fixture

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,9 +52,12 @@ SAMPLE_QUERIES = {
 
 @dataclass(frozen=True)
 class QueryResult:
+    """``rows`` for display (capped), ``table`` with all rows."""
+
     rows: DataFrame
     total: int
     truncated: bool
+    table: DataFrame
 
 
 def register_views(tables: dict[str, DataFrame]) -> None:
@@ -61,6 +65,14 @@ def register_views(tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
+def query_over(sql: str, spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """Run SQL over the given frames under their names, without any session view."""
+    for name in tables:
+        sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {{{name}}}", sql)
+    used = {name: df for name, df in tables.items() if f"{{{name}}}" in sql}
+    return spark.sql(sql, **used)
+
+
 def describe(spark: SparkSession, views: list[str]) -> DataFrame:
     """(table, column, type) of the given views."""
     rows = [(v, f.name, f.dataType.simpleString()) for v in views for f in spark.table(v).schema]
@@ -77,4 +89,4 @@ def run_query(spark: SparkSession, sql: str, cap: int = DISPLAY_CAP) -> QueryRes
 
     result = stage_table(spark.sql(sql.strip().rstrip(";")), "console_result")
     total = result.count()
-    return QueryResult(result.limit(cap), total, total > cap)
+    return QueryResult(result.limit(cap), total, total > cap, result)

@@ -13,7 +13,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from merchantscope.sources.readers import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "labels")
@@ -280,8 +279,6 @@ class StarFixture:
 
     def _sql(self, query: str, *tables: str) -> DataFrame:
         frames = {t: self.table(t) for t in tables}
-        if "lineitem" in frames:
-            frames["lineitem"] = spread(frames["lineitem"])
         return self.spark.sql(_named(query, tables), **frames)
 
     def settlement(self) -> DataFrame:

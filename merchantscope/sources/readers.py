@@ -33,15 +33,6 @@ def read_table(
     raise ValueError(f"unknown format {fmt!r}")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan of fewer partitions than cores one partition per core.
-
-    Only a file too small to be split ends up here; larger inputs are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def read_first_present(
     spark: SparkSession, folder: str, name: str, schema: T.StructType,
     formats: tuple[str, ...] = ("parquet", "csv", "csv.gz"),

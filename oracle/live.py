@@ -5,7 +5,7 @@ from __future__ import annotations
 from merchantscope import live_reference as live
 from merchantscope.operators.evidence import SUPPORTING
 from merchantscope.plans.live_queries import (
-    CARDS, COMPONENTS, DIVERSITY, FEATURES, GRAPH, TICKETS, WINDOW_DAYS, WINDOW_START,
+    CARDS, COMPONENTS, DIVERSITY, FEATURES, GRAPH, TICKETS,
 )
 from merchantscope.sources.fixtures import (
     KNOWN_BAD_SQL, LIVE_LABEL_SQL, LIVE_MERCHANT_SQL, LIVE_TX_SQL, PROFILE_SQL,
@@ -480,12 +480,11 @@ O["typology_summary"] = q(
     + " ".join(f"WHEN '{t}' THEN t_{t}" for t in live.TYPOLOGIES)
     + " END AS own FROM gov) g ON g.primary_typology = v.typology GROUP BY 1"
 )
-_HALF = WINDOW_DAYS * 12
 EXTRA_DAYS = {
-    "win": f"""SELECT *, date_diff('day', DATE '{WINDOW_START}', CAST(event_ts AS DATE)) AS day,
-      event_ts >= TIMESTAMP '{WINDOW_START}' + INTERVAL {_HALF} HOUR AS late FROM ltx WHERE amount > 0
-      AND event_ts >= TIMESTAMP '{WINDOW_START}'
-      AND event_ts < TIMESTAMP '{WINDOW_START}' + INTERVAL {WINDOW_DAYS} DAY""",
+    "span": """SELECT CAST(min(event_ts) AS DATE) AS d0,
+      date_diff('day', CAST(min(event_ts) AS DATE), CAST(max(event_ts) AS DATE)) + 1 AS days FROM ltx""",
+    "win": """SELECT ltx.*, date_diff('day', d0, CAST(event_ts AS DATE)) AS day,
+      event_ts >= CAST(d0 AS TIMESTAMP) + to_hours(days * 12) AS late FROM ltx JOIN span ON true WHERE amount > 0""",
     "glane": f"SELECT *, nullif({_case('primary_typology', _LANE)}, '') AS lane FROM gov",
     "halves": """SELECT lane, coalesce(sum(amount) FILTER (WHERE NOT late), 0) AS a,
       coalesce(sum(amount) FILTER (WHERE late), 0) AS b
@@ -500,11 +499,11 @@ O["lane_rollup"] = q(
     EXTRA_DAYS,
 )
 O["daily_trend"] = q(f"""
-SELECT d AS day, strftime(DATE '{WINDOW_START}' + CAST(d AS INT), '%Y-%m-%d') AS date,
+SELECT d AS day, strftime(any_value(d0) + CAST(d AS INT), '%Y-%m-%d') AS date,
   {up('coalesce(sum(amount), 0)', 0)} AS volume,
   {up(f"coalesce(sum(amount) FILTER (WHERE {_G}), 0)", 0)} AS flagged_volume,
   {up("coalesce(sum(amount * final_risk_score) / sum(amount), 0)", 1)} AS risk_index
-FROM range({WINDOW_DAYS}) s(d) LEFT JOIN (SELECT win.*, final_risk_score, risk_tier FROM win
+FROM (SELECT unnest(range(days)) AS d, d0 FROM span) s LEFT JOIN (SELECT win.*, final_risk_score, risk_tier FROM win
   JOIN records USING (merchant_id)) ON day = d GROUP BY d""", EXTRA_DAYS)
 O["geo_summary"] = q(f"""
 SELECT state, count(*) AS merchants, count(*) FILTER (WHERE {_G}) AS high_risk,
@@ -555,13 +554,13 @@ O["engine_samples"] = q("""
 SELECT merchant_id, transaction_id FROM (SELECT user_id AS merchant_id, event_id AS transaction_id,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rt,
     row_number() OVER (PARTITION BY user_id ORDER BY md5('20260724:' || CAST(event_id AS VARCHAR)), event_id) AS rh,
-    user_id IN (SELECT user_id FROM events GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 10) AS best
-  FROM events) WHERE CASE WHEN best THEN rt <= 40 ELSE rh <= 24 END""")
+    user_id IN (SELECT user_id FROM events GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 60) AS best
+  FROM events) WHERE CASE WHEN best THEN rt <= 400 ELSE rh <= 24 END""")
 O["filed_cases"] = q("""
 SELECT merchant_id, strftime(filed_at, '%Y-%m-%d %H:%M:%S.%f') AS filed_at, filing_id FROM (
   SELECT user_id AS merchant_id, ts AS filed_at, event_id AS filing_id, row_number() OVER (
     PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
-WHERE rn = 1 ORDER BY filed_at DESC, filing_id DESC LIMIT 50""")
+WHERE rn = 1""")
 _open = " UNION ALL ".join(
     f"SELECT merchant_id, '{name}' AS section FROM topc WHERE id IN ({_list(openers)}) GROUP BY merchant_id"
     for name, (openers, _) in SUPPORTING.items()

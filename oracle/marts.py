@@ -155,10 +155,11 @@ _SLICE_OUT = ", ".join(
     }.get(c, c)
     for c in SLICE_COLUMNS
 )
-EXTRA["wanted"] = """
-SELECT merchant_id, 40 AS cap FROM scores WHERE flag_for_investigation = 1 UNION ALL
-SELECT merchant_id, 25 FROM (SELECT merchant_id FROM scores WHERE flag_for_investigation = 0
-  ORDER BY md5('20260724:' || CAST(merchant_id AS VARCHAR)), merchant_id LIMIT 15)"""
+for _view, _flagged, _clean, _sample in (("wanted", 400, 250, 150), ("wanted_small", 40, 25, 15)):
+    EXTRA[_view] = f"""
+SELECT merchant_id, {_flagged} AS cap FROM scores WHERE flag_for_investigation = 1 UNION ALL
+SELECT merchant_id, {_clean} FROM (SELECT merchant_id FROM scores WHERE flag_for_investigation = 0
+  ORDER BY md5('20260724:' || CAST(merchant_id AS VARCHAR)), merchant_id LIMIT {_sample})"""
 
 
 def _latest(ties: list[str]) -> str:
@@ -169,10 +170,11 @@ def _latest(ties: list[str]) -> str:
     )
 
 
-o["recent_rows_cap"] = q(
-    f"SELECT {_SLICE_OUT} FROM (SELECT tx.*, cap, {_latest(_TX_TIES)} AS rn "
-    "FROM tx JOIN wanted USING (merchant_id)) WHERE rn <= cap"
-)
+for _name, _view in (("recent_rows_cap", "wanted"), ("recent_rows_small_cap", "wanted_small")):
+    o[_name] = q(
+        f"SELECT {_SLICE_OUT} FROM (SELECT tx.*, cap, {_latest(_TX_TIES)} AS rn "
+        f"FROM tx JOIN {_view} USING (merchant_id)) WHERE rn <= cap"
+    )
 EXTRA["picks"] = """
 SELECT merchant_id, family FROM (SELECT *, row_number() OVER (PARTITION BY family
     ORDER BY exposure_weighted_score DESC, merchant_id) AS rn FROM flg) WHERE rn = 1 UNION ALL
@@ -342,7 +344,7 @@ _TELLS = {
     "declined": "approved_flag <> 'Y'",
     "recurring": "channel = 'RECURRING'",
     "cpmismatch": "card_present_flag <> 'N' AND (channel LIKE '%ECOM%' OR channel LIKE '%MOTO%')",
-    "ceiling": "false",
+    "ceiling": "ceiling > 0 AND amt >= ceiling * 0.85 AND amt < ceiling",
     "burst": "split_group_id IS NOT NULL",
     "submerchant": "sub_merchant_id IS NOT NULL",
     "big": "amt >= 500",
@@ -353,10 +355,23 @@ _tell = "concat_ws('|', " + ", ".join(
     + f") THEN '{tag}' END"
     for tag, cond in _TELLS.items()
 ) + ")"
+EXTRA["sg"] = """
+SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY size DESC, total DESC, split_group_id)
+    AS place
+FROM (SELECT merchant_id, split_group_id, count(*) AS size, sum(abs(settlement_amount_usd)) AS total,
+        min(transaction_datetime_utc) AS started
+      FROM tx WHERE split_group_id IS NOT NULL GROUP BY ALL)"""
+EXTRA["ceil"] = (
+    "SELECT merchant_id, p95, CASE "
+    + " ".join(f"WHEN p95 < {c} THEN {c}" for c in ref.CEILING_STEPS)
+    + " ELSE ceil(p95 / 1000) * 1000 END AS ceiling FROM (SELECT tx.merchant_id, "
+    "quantile_cont(abs(settlement_amount_usd), 0.95) AS p95 FROM tx JOIN sg USING (merchant_id, "
+    "split_group_id) WHERE place <= 6 GROUP BY tx.merchant_id)"
+)
 EXTRA["told"] = (
     f"SELECT *, {_tell} AS tells FROM (SELECT tx.*, abs(settlement_amount_usd) AS amt, f.family, "
     "f.merchant_country, CASE WHEN channel = 'RECURRING' THEN 'Y' END AS recurring_flag, "
-    "CAST(NULL AS DOUBLE) AS ceiling FROM tx JOIN flg f USING (merchant_id))"
+    "ceiling FROM tx JOIN flg f USING (merchant_id) LEFT JOIN ceil USING (merchant_id))"
 )
 # The order of ties follows the columns of the tagged table.
 _ALL = [
@@ -391,22 +406,10 @@ o["interchange_signature"] = q(
     )
     + ", round(abs(interchange_advantage_bps) / 10000 * gross_sales_usd, 6) AS leaked_fees_usd FROM scores"
 )
-EXTRA["sg"] = """
-SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY size DESC, total DESC, split_group_id)
-    AS place
-FROM (SELECT merchant_id, split_group_id, count(*) AS size, sum(abs(settlement_amount_usd)) AS total,
-        min(transaction_datetime_utc) AS started
-      FROM tx WHERE split_group_id IS NOT NULL GROUP BY ALL)"""
 o["split_groups"] = q("""
 SELECT merchant_id, split_group_id, size, round(total, 6) AS total,
   strftime(started, '%Y-%m-%d %H:%M:%S.%f') AS started, place FROM sg WHERE place <= 6""")
-o["split_ceilings"] = q(
-    "SELECT merchant_id, round(p95, 6) AS p95, CASE "
-    + " ".join(f"WHEN p95 < {c} THEN {c}" for c in ref.CEILING_STEPS)
-    + " ELSE ceil(p95 / 1000) * 1000 END AS ceiling FROM (SELECT tx.merchant_id, "
-    "quantile_cont(abs(settlement_amount_usd), 0.95) AS p95 FROM tx JOIN sg USING (merchant_id, "
-    "split_group_id) WHERE place <= 6 GROUP BY tx.merchant_id)"
-)
+o["split_ceilings"] = q("SELECT merchant_id, round(p95, 6) AS p95, ceiling FROM ceil")
 o["sub_merchants"] = q("""
 SELECT merchant_id, sub_merchant_id, descriptor, txns, round(volume, 6) AS volume, place FROM (
   SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY volume DESC, sub_merchant_id) AS place
@@ -438,9 +441,9 @@ o["amount_histogram"] = q(
     )
 )
 o["round_comb"] = q("""
-SELECT merchant_id, v AS amount, count(*) AS n
-FROM tx JOIN (SELECT range * 100 AS v FROM range(1, 21)) g
-  ON abs(abs(settlement_amount_usd) - v) < 0.01 GROUP BY ALL""")
+SELECT merchant_id, CAST(v AS BIGINT) AS amount, count(*) AS n
+FROM tx JOIN (SELECT DISTINCT round(abs(settlement_amount_usd) / 100) * 100 AS v FROM tx) g
+  ON abs(abs(settlement_amount_usd) - v) < 0.01 WHERE v >= 100 GROUP BY ALL""")
 
 
 def _dev() -> str:

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from merchantscope import live_reference as live
 from merchantscope import schemas
-from merchantscope.operators import activity, explorer as ex, features as ft, lanes, ml, overview as ov
+from merchantscope.operators import activity, anatomy as an, explorer as ex, features as ft, lanes, ml, overview as ov
 from merchantscope.operators import scoring as sc
+from merchantscope.operators.ranking import join_in_pieces, top_per_key
 from merchantscope.plans.batch import BatchOptions, queue_quality, run_batch
 from merchantscope.plans.workbench import workbench
 from merchantscope.sources import catalog, readers, writers
@@ -181,7 +182,46 @@ def text_of_optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_slice_cuts_before_the_shuffle(spark):
+def _operators(df):
+    """Names of a plan's operators from the result down, one path per line kept in order."""
+    import re
+
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [re.sub(r"^[\s:+\-*()0-9]*", "", line) for line in text.splitlines()]
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("make", ["slice", "evidence"])
+def test_large_keys_are_dealt_by_piece_before_they_are_ranked(spark, no_broadcast, make):
     b = workbench(spark, FOLDER)
-    text = ex.transaction_slice(b.tx, b.scores)._jdf.queryExecution().toString()
-    assert "WindowGroupLimit" in text
+    if make == "slice":
+        df = ex.transaction_slice(b.tx, b.scores)
+    else:
+        tx = b.tx.withColumn("recurring_flag", F.lit("N"))
+        df = an.evidence_sample(an.tagged_rows(tx, b.scores.filter("flag_for_investigation = 1")))
+    lines = _operators(df)
+    join = next(i for i, x in enumerate(lines) if x.startswith("SortMergeJoin"))
+    first = next(x for x in lines[join:] if x.startswith("Exchange"))
+    assert "_piece" in lines[join] and "_piece" in first
+    # the cut by piece stands above that exchange, with none in between
+    window = max(i for i, x in enumerate(lines) if x.startswith("Window ") and "_piece" in x)
+    assert not any(x.startswith("Exchange") for x in lines[window:join])
+
+
+def test_a_third_of_all_rows_in_one_merchant_is_spread(spark, no_broadcast):
+    rows = spark.range(30_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 500 + 100 END AS merchant_id", "id AS v"
+    )
+    few = spark.range(600).selectExpr("id AS merchant_id", "true AS wanted")
+    joined = join_in_pieces(rows, few, ["merchant_id"], ["v"])
+    sizes = [r["count"] for r in joined.repartition(64, "merchant_id", "_piece").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 3 * sum(sizes) / len(sizes)
+    top = top_per_key(joined, ["merchant_id"], [F.desc("v")], 5, ["v"]).filter("merchant_id = 7")
+    assert sorted(r.v for r in top.collect()) == [29985, 29988, 29991, 29994, 29997]
