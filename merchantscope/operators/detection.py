@@ -44,6 +44,29 @@ def with_elevated_signals(merchants: DataFrame, **kw) -> DataFrame:
     )
 
 
+#: Detection model of each kind of surcharge violation.
+SURCHARGE_MODELS = {
+    "Over-cap": "surcharge_over_cap",
+    "Regional ban": "surcharge_prohibited",
+    "Prohibited debit/prepaid": "surcharge_prohibited",
+    "Undisclosed": "surcharge_undisclosed",
+}
+
+
+def surcharge_records(scores: DataFrame, violating: DataFrame) -> DataFrame:
+    """Score rows of merchants in violation, under the surcharge family and their model.
+
+    A merchant keeps its own row under its own family; this adds one for the surcharge
+    models, with the surcharge inputs beside the score columns.
+    """
+    model = F.lit(None).cast("string")
+    for kind, name in SURCHARGE_MODELS.items():
+        model = F.when(F.col("violation") == kind, F.lit(name)).otherwise(model)
+    found = violating.select(M, "surcharge_rate_bps", "pct_txn_surcharged", F.lit("surcharge").alias("family"), model.alias("top_category"))
+    new = [c for c in found.columns if c != M]
+    return scores.drop(*new).join(found.filter("top_category IS NOT NULL"), M)
+
+
 def _long(merchants: DataFrame, signals: list[str], keep: list[str]) -> DataFrame:
     pairs = F.array(
         *[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("value")) for s in signals]

@@ -47,6 +47,21 @@ def confusion(df: DataFrame, score: str, actual: str, threshold: float) -> DataF
     )
 
 
+def average_precision(df: DataFrame, score: str, actual: str) -> DataFrame:
+    """Average precision over all distinct scores (ties together); NULL without positives.
+
+    Sums over larger scores come from bucketed prefix counts, as for ``rank_auc``.
+    """
+    rows = df.select(
+        F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias("_s"), _is(F.col(actual)).cast("long").alias("_p")
+    )
+    counts = rows.groupBy("_s").agg(F.count("*").alias("_n"), F.sum("_p").alias("_p"))
+    ranked = prefix_counts(counts, [], "_s", ["_n", "_p"])
+    found = F.col("_p_total") - F.col("_p_before")
+    alerts = F.col("_n_total") - F.col("_n_before")
+    return ranked.agg(F.try_divide(F.sum(F.col("_p") * found / alerts), F.max("_p_total")).alias("average_precision"))
+
+
 def rank_auc(df: DataFrame, score: str, actual: str, keys: list[str] | None = None) -> DataFrame:
     """Mann-Whitney AUC with average ranks, per key; NULL where a class is empty.
 

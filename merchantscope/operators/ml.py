@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.ml.classification import (
     GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merchantscope import reference as ref
 from merchantscope.functions.numeric import round_half_even
-from merchantscope.operators.evaluation import binary_metrics
+from merchantscope.operators.evaluation import average_precision, binary_metrics, rank_auc
 from merchantscope.operators.ordering import ordinal_rank
 from merchantscope.operators.peers import clean_baseline_zscores
 from merchantscope.operators.scoring import tier_of
@@ -55,14 +54,26 @@ def standardised(df: DataFrame, cols: list[str]) -> DataFrame:
     return joined.withColumns(scaled).drop(*stats.columns)
 
 
-def hash_split(df: DataFrame, id_col: str, share: float, seed: int) -> Column:
-    """True for a fixed share of rows, decided by the hash of the id.
+def stratified_split(df: DataFrame, id_col: str, target: str, share: float, seed: int) -> DataFrame:
+    """Rows with ``is_train``: in each class the share of rows that comes first in hash order.
 
-    The hash is independent of the class, so each class is split in the same share.
+    Every class of two rows or more has rows on both sides. Hash buckets are counted
+    per class first, so that no class is ordered in one task.
     """
-    spread = 10_000
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(spread))
-    return bucket < F.lit(int(share * spread))
+    code = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
+    keyed = df.withColumn("_h", code).withColumn("_b", F.conv(F.substring(code, 1, 3), 16, 10).cast("int"))
+    totals = keyed.groupBy(target, "_b").agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(target)
+    upto = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.sum("_n").over(whole)
+    wanted = F.floor(n * F.lit(share) + 0.5)
+    wanted = F.when(n > 1, F.greatest(F.lit(1), F.least(n - 1, wanted))).otherwise(n)
+    offsets = totals.select(
+        F.col(target).alias("_t"), "_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_o"), wanted.alias("_w")
+    )
+    joined = keyed.join(offsets.withColumnRenamed("_b", "_c"), (F.col("_b") == F.col("_c")) & F.col(target).eqNullSafe(F.col("_t")))
+    place = F.row_number().over(Window.partitionBy(target, "_b").orderBy("_h", id_col)) - 1
+    return joined.withColumn("is_train", F.col("_o") + place < F.col("_w")).drop("_h", "_b", "_c", "_t", "_o", "_w")
 
 
 def _assembled(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -97,6 +108,27 @@ def fit_integrity_model(
     return model, z
 
 
+def optimality(model: LogisticRegressionModel, z: DataFrame, clean: str = "is_clean", c: float = ref.INTEGRITY_C) -> DataFrame:
+    """Gradient of the penalised, balanced loss at the fitted weights: 0 for each term at the optimum."""
+    bad = (~F.col(clean)).cast("double")
+    counts = z.agg(F.count("*").alias("_n"), F.sum(bad).alias("_bad"))
+    margin = F.lit(float(model.intercept))
+    for f, w in zip(ref.INTEGRITY_FEATURES, model.coefficients):
+        margin = margin + F.col(f"z_{f}") * F.lit(float(w))
+    weight = F.col("_n") / (2.0 * F.when(bad > 0, F.col("_bad")).otherwise(F.col("_n") - F.col("_bad")))
+    off = weight * (1.0 / (1.0 + F.exp(-margin)) - bad)
+    rows = z.crossJoin(F.broadcast(counts)).withColumn("_off", off)
+    terms = {"intercept": F.lit(1.0), **{f: F.col(f"z_{f}") for f in ref.INTEGRITY_FEATURES}}
+    penalty = {"intercept": 0.0, **{f: float(w) / c for f, w in zip(ref.INTEGRITY_FEATURES, model.coefficients)}}
+    sums = rows.agg(
+        F.array(*[
+            F.struct(F.lit(t).alias("term"), ((F.sum(F.col("_off") * x) + F.lit(penalty[t])) / F.max("_n")).alias("gradient"))
+            for t, x in terms.items()
+        ]).alias("t")
+    )
+    return sums.select(F.inline("t"))
+
+
 def integrity_drivers(coefficients: list[float], k: int = 6, floor: float = 0.02) -> Column:
     """Top contributions pushing the score up: coef*z, with the share of all upward push."""
     parts = F.array(
@@ -128,12 +160,15 @@ def integrity_drivers(coefficients: list[float], k: int = 6, floor: float = 0.02
 
 
 def rescore(model: LogisticRegressionModel, z: DataFrame) -> DataFrame:
+    return rescore_with([float(x) for x in model.coefficients], float(model.intercept), z)
+
+
+def rescore_with(coefficients: list[float], intercept: float, z: DataFrame) -> DataFrame:
     """Model score for model-routed families, the rule score kept for the others.
 
     Re-tiers, re-ranks and re-flags on the blended score and adds the drivers.
     """
-    coefficients = [float(x) for x in model.coefficients]
-    margin = F.lit(float(model.intercept))
+    margin = F.lit(intercept)
     for f, w in zip(ref.INTEGRITY_FEATURES, coefficients):
         margin = margin + F.col(f"z_{f}") * F.lit(w)
     own = round_half_even(100.0 / (1.0 + F.exp(-margin)), 1)
@@ -162,7 +197,7 @@ def rescore(model: LogisticRegressionModel, z: DataFrame) -> DataFrame:
 def fit_mcc_model(
     features: DataFrame, target: str = "behavior_mcc", c: float = 1.0, seed: int = 20260724
 ):
-    """Multinomial logistic classifier on standardised features, 75/25 hash split.
+    """Multinomial logistic classifier on standardised features, 75/25 split of each class.
 
     Returns (model, class labels, all rows with probabilities and ``is_train``).
     """
@@ -170,7 +205,7 @@ def fit_mcc_model(
     indexer = StringIndexer(inputCol=target, outputCol="label", stringOrderType="alphabetAsc").fit(known)
     rows = _assembled(indexer.transform(known), [f"s_{f}" for f in ref.MCC_FEATURES])
     rows = stage_table(
-        rows.withColumn("is_train", hash_split(rows, M, 0.75, seed)).drop("features"), "mcc_training"
+        stratified_split(rows.drop("features"), M, target, 0.75, seed), "mcc_training"
     )
     rows = _assembled(rows, [f"s_{f}" for f in ref.MCC_FEATURES])
     train = rows.filter("is_train")
@@ -204,10 +239,10 @@ def fit_gbt_head(
     features: DataFrame, target: str, trees: int = 100, depth: int = 3, rate: float = 0.1,
     seed: int = 20260724,
 ) -> tuple[GBTClassificationModel, DataFrame]:
-    """Gradient-boosted trees with a 70/30 hash split; returns model and scored rows."""
+    """Gradient-boosted trees with a 70/30 split of each class; returns model and scored rows."""
     filled = features.na.fill(0, ref.HEAD_FEATURES).withColumn("label", F.col(target).cast("double"))
     rows = stage_table(
-        filled.withColumn("is_train", hash_split(filled, M, 0.7, seed)), "head_training"
+        stratified_split(filled, M, "label", 0.7, seed), "head_training"
     )
     rows = _assembled(rows, ref.HEAD_FEATURES)
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed).fit(
@@ -220,16 +255,18 @@ def fit_gbt_head(
 
 
 def head_metrics(scored: DataFrame, threshold: float = 62.0) -> DataFrame:
-    """Held-out precision, recall, F1 at the threshold, ROC-AUC and PR-AUC."""
-    test = scored.filter(~F.col("is_train"))
-    auc = {
-        name: BinaryClassificationEvaluator(metricName=metric).evaluate(test)
-        for name, metric in (("roc_auc", "areaUnderROC"), ("pr_auc", "areaUnderPR"))
-    }
-    return test.agg(
-        *binary_metrics(F.col("score") >= threshold, F.col("label") == 1.0),
-        *[F.lit(float(v)).alias(k) for k, v in auc.items()],
-    )
+    """Held-out precision, recall, F1 at the threshold, exact ROC-AUC and average precision."""
+    test = stage_table(scored.filter(~F.col("is_train")).select("score", (F.col("label") == 1.0).alias("label")), "held_out")
+    point = test.agg(*binary_metrics(F.col("score") >= threshold, F.col("label")))
+    auc = rank_auc(test, "score", "label").select(F.col("auc").alias("roc_auc"))
+    area = average_precision(test, "score", "label").select(F.col("average_precision").alias("pr_auc"))
+    return point.crossJoin(F.broadcast(auc)).crossJoin(F.broadcast(area))
+
+
+def tree_importance(model: GBTClassificationModel, spark) -> DataFrame:
+    """Share of the impurity gain per feature of the boosted head."""
+    rows = [(f, float(model.featureImportances[i])) for i, f in enumerate(ref.HEAD_FEATURES)]
+    return spark.createDataFrame(rows, "feature string, importance double")
 
 
 # --------------------------------------------------------------- artifacts

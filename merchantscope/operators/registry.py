@@ -51,6 +51,27 @@ def evaluate(df: DataFrame, models: list[Model]) -> DataFrame:
     return metrics.join(auc, "model", "left")
 
 
+def detector_metrics(df: DataFrame, models: list[Model], exposure: str) -> DataFrame:
+    """One row per detector: alerts, precision and the exposure of its confirmed alerts."""
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(m.name).alias("detector"),
+                F.coalesce(m.predicted, F.lit(False)).alias("predicted"),
+                F.coalesce(m.actual, F.lit(False)).alias("actual"),
+                F.col(exposure).alias("exposure"),
+            )
+            for m in models
+        ]
+    )
+    hit = F.col("predicted") & F.col("actual")
+    return df.select(F.inline(rows)).groupBy("detector").agg(
+        F.count_if("predicted").alias("alerts"),
+        F.coalesce(F.try_divide(F.count_if(hit), F.count_if("predicted")), F.lit(0.0)).alias("precision"),
+        F.coalesce(F.sum(F.when(hit, F.col("exposure"))), F.lit(0.0)).alias("captured_exposure"),
+    )
+
+
 def standard_models(families_from_labels: Column | None = None) -> list[Model]:
     """Family detectors, the composite, the content classifiers and priority tiers.
 

@@ -275,11 +275,6 @@ def contribution_importance(b):
                                      "top", "final_risk_score", 28))
 
 
-def detector_rollup(b):
-    curve = ev.precision_curve(labelled(b), "final_risk_score", "abuse", "exposure")
-    return tidy(ev.detector_rollup(curve.filter(F.col("threshold").isin(28, 62))))
-
-
 def quality(b):
     tx = b.live_tx.withColumn(
         "card_id", F.when(F.col("card_id") % 100 == 7, F.lit("4000123412341234")).otherwise(
@@ -340,7 +335,6 @@ QUERIES = {
     "live_threshold_curve": live_curve,
     "live_class_precision": live_class_precision,
     "contribution_importance": contribution_importance,
-    "detector_rollup": detector_rollup,
     "quality_transactions": quality,
     "quality_shares": share_quality,
     "quality_missing_ids": missing,

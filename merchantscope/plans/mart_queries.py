@@ -278,6 +278,29 @@ def elevated_signals(b):
                                                           "elevated_signals"))
 
 
+def surcharge_signals(b):
+    """Signals of the surcharge models for merchants in violation."""
+    violating = su.violations(su.assess(b.fixture.surcharging()))
+    records = dt.surcharge_records(b.scores, violating)
+    return tidy(dt.with_elevated_signals(records).select(M, "family", "top_category", "elevated_signals"))
+
+
+def detector_rows(b) -> DataFrame:
+    """The two portfolio detectors: the composite against labels, and surcharging (severe ones count as confirmed)."""
+    composite = [m for m in rg.standard_models() if m.name == "composite"]
+    surcharge = [rg.Model("surcharge", F.col("violation") != "", F.col("status") == su.SEVERE)]
+    return rg.detector_metrics(labelled_scores(b), composite, "gross_sales_usd").unionByName(
+        rg.detector_metrics(su.violations(su.assess(b.fixture.surcharging())), surcharge, "gross_sales_usd"))
+
+
+def detector_metrics(b):
+    return tidy(detector_rows(b))
+
+
+def detector_rollup(b):
+    return tidy(ev.detector_rollup(detector_rows(b)))
+
+
 def peer_standing(b):
     labelled = b.scores.join(sc.coarse_label(b.fixture.labels()), M)
     return tidy(dt.peer_standing(labelled, SIGNALS))
@@ -291,11 +314,11 @@ def peer_histogram(b):
 def surcharge_assessment(b):
     out = su.assess(b.fixture.surcharging())
     return tidy(out.select(M, "region", "regime", "surcharge_pct", "over_cap", "violation",
-                           "status", F.coalesce(F.size("next_steps"), F.lit(0)).alias("steps")))
+                           "status", F.coalesce(F.array_join("next_steps", "|"), F.lit("")).alias("steps")))
 
 
 def compliance_matrix(b):
-    return tidy(su.compliance_matrix(su.assess(b.fixture.surcharging())).drop("detected"))
+    return tidy(su.compliance_matrix(su.assess(b.fixture.surcharging())))
 
 
 def surcharge_portfolio(b):
@@ -353,6 +376,9 @@ QUERIES = {
     "composite_reconstruction": composite_reconstruction,
     "rule_checks": rule_checks,
     "elevated_signals": elevated_signals,
+    "surcharge_signals": surcharge_signals,
+    "detector_metrics": detector_metrics,
+    "detector_rollup": detector_rollup,
     "peer_standing": peer_standing,
     "peer_histogram": peer_histogram,
     "surcharge_assessment": surcharge_assessment,

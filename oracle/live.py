@@ -613,9 +613,6 @@ FROM lrec WHERE final_risk_score >= 28 GROUP BY 1""")
 O["contribution_importance"] = q("""
 SELECT id, round(avg(abs(contribution)), 6) AS importance, count(*) AS n FROM topc
 WHERE final_risk_score >= 28 GROUP BY id ORDER BY avg(abs(contribution)) DESC, id LIMIT 12""")
-O["detector_rollup"] = q("""
-SELECT round(avg(precision), 6) AS mean_precision, CAST(sum(alerts) AS BIGINT) AS alert_volume,
-  sum(captured_exposure) AS captured_exposure FROM lcurve WHERE threshold IN (28, 62)""")
 O["quality_transactions"] = q("""
 SELECT count(*) AS "rows", count(*) FILTER (WHERE card_id % 100 = 7) AS bad_tokens,
   count(*) FILTER (WHERE card_id % 100 = 7) AS clear_pans, count(*) FILTER (WHERE amount < 0) AS negative_amounts

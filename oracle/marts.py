@@ -551,16 +551,20 @@ SELECT *, CASE WHEN NOT known THEN 'INSUFFICIENT DATA' WHEN violation IN ('Regio
   ELSE 'COMPLIANT' END AS status, floor(round(gross_sales_usd * pct_txn_surcharged, 6) + 0.5) AS vol FROM asd"""
 o["surcharge_assessment"] = q("""
 SELECT merchant_id, region, regime, surcharge_pct, over_cap, violation, status,
-  CASE WHEN NOT known THEN 0 WHEN violation = '' THEN 2 ELSE 3 END::BIGINT AS steps FROM asv""")
+  CASE WHEN NOT known THEN '' WHEN violation = 'Regional ban' THEN 'cease-surcharge notice|third-party audit transaction|brand-rules referral'
+    WHEN violation = 'Prohibited debit/prepaid' THEN 'freeze debit and prepaid surcharges|debit test purchase|warning letter, 30 days to cure'
+    WHEN violation = 'Over-cap' THEN 'fee-cap breach notice|request cost-of-acceptance evidence|monitor fee chargebacks'
+    WHEN violation = 'Undisclosed' THEN 'require point-of-sale disclosure|test the checkout|warning letter, re-audit in 60 days'
+    ELSE 'no action|keep in monitoring' END AS steps FROM asv""")
 o["compliance_matrix"] = q("""
-SELECT merchant_id, 'jurisdiction' AS "check", CASE WHEN regime = 'ban' THEN 'fail' ELSE 'info' END
-  AS outcome FROM asv WHERE known UNION ALL
-SELECT merchant_id, 'product type', CASE WHEN surcharges_debit_prepaid THEN 'fail' ELSE 'pass' END
-  FROM asv WHERE known UNION ALL
-SELECT merchant_id, 'surcharge rate', CASE WHEN regime = 'ban' OR over_cap THEN 'fail' ELSE 'pass' END
-  FROM asv WHERE known UNION ALL
-SELECT merchant_id, 'disclosure', CASE WHEN surcharge_disclosed THEN 'pass' ELSE 'fail' END
-  FROM asv WHERE known""")
+SELECT merchant_id, 'jurisdiction' AS "check", merchant_country AS detected,
+  CASE WHEN regime = 'ban' THEN 'fail' ELSE 'info' END AS outcome FROM asv WHERE known UNION ALL
+SELECT merchant_id, 'product type', CASE WHEN surcharges_debit_prepaid THEN 'debit/prepaid surcharged' ELSE 'debit/prepaid exempt' END,
+  CASE WHEN surcharges_debit_prepaid THEN 'fail' ELSE 'pass' END FROM asv WHERE known UNION ALL
+SELECT merchant_id, 'surcharge rate', printf('%.1f%%', surcharge_pct),
+  CASE WHEN regime = 'ban' OR over_cap THEN 'fail' ELSE 'pass' END FROM asv WHERE known UNION ALL
+SELECT merchant_id, 'disclosure', CASE WHEN surcharge_disclosed THEN 'disclosed' ELSE 'not disclosed' END,
+  CASE WHEN surcharge_disclosed THEN 'pass' ELSE 'fail' END FROM asv WHERE known""")
 EXTRA["vio"] = """
 SELECT * FROM asv WHERE violation <> '' AND surcharge_rate_bps > 0 AND pct_txn_surcharged > 0"""
 _SUM = (
@@ -580,3 +584,26 @@ SELECT count(*) AS surcharging, count(*) FILTER (WHERE violation <> '') AS viola
   count(*) FILTER (WHERE violation <> '') * 5000.0::DOUBLE AS assessment_low,
   count(*) FILTER (WHERE violation <> '') * 10000.0::DOUBLE AS assessment_high
 FROM asv WHERE surcharge_rate_bps > 0 AND pct_txn_surcharged > 0""")
+EXTRA["det"] = """
+SELECT 'composite' AS detector, coalesce(flag_for_investigation = 1, false) AS p,
+  coalesce(is_integrity_violation, false) OR coalesce(is_interchange_abuse, false) AS a, gross_sales_usd AS e FROM labs UNION ALL
+SELECT 'surcharge', true, status = 'SEVERE VIOLATION', gross_sales_usd FROM vio"""
+EXTRA["drow"] = """
+SELECT detector, count(*) FILTER (p) AS alerts, coalesce(count(*) FILTER (p AND a) / nullif(count(*) FILTER (p), 0), 0) AS precision,
+  coalesce(sum(e) FILTER (p AND a), 0) AS captured_exposure FROM det GROUP BY detector"""
+o["detector_metrics"] = q("""
+SELECT detector, alerts, round(precision, 6) AS precision, round(captured_exposure, 6) AS captured_exposure FROM drow""")
+o["detector_rollup"] = q("""
+SELECT round(avg(precision), 6) AS mean_precision, CAST(sum(alerts) AS BIGINT) AS alert_volume,
+  round(sum(captured_exposure), 6) AS captured_exposure FROM drow""")
+o["surcharge_signals"] = q("""
+SELECT merchant_id, 'surcharge' AS family, top_category, CAST(CASE top_category
+  WHEN 'surcharge_over_cap' THEN coalesce(rate >= 300, false)::INT + coalesce(share >= 0.5, false)::INT
+    + coalesce(chargeback_rate_bps >= 50, false)::INT
+  WHEN 'surcharge_prohibited' THEN coalesce(share >= 0.5, false)::INT + coalesce(chargeback_rate_bps >= 50, false)::INT
+    + coalesce(refund_rate_amount >= 0.08, false)::INT
+  ELSE coalesce(rate >= 300, false)::INT + coalesce(chargeback_rate_bps >= 50, false)::INT
+    + coalesce(refund_rate_amount >= 0.08, false)::INT END AS BIGINT) AS elevated_signals
+FROM (SELECT scores.*, vio.surcharge_rate_bps AS rate, vio.pct_txn_surcharged AS share, CASE violation
+        WHEN 'Over-cap' THEN 'surcharge_over_cap' WHEN 'Undisclosed' THEN 'surcharge_undisclosed' ELSE 'surcharge_prohibited' END
+        AS top_category FROM (SELECT * EXCLUDE (top_category) FROM scores) scores JOIN vio USING (merchant_id))""")
