@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchantscope import schemas
-from merchantscope.operators import activity, explorer as ex, features as ft, overview as ov
+from merchantscope.operators import activity, anatomy as an, evaluation as ev, explorer as ex
+from merchantscope.operators import features as ft, overview as ov, registry as rg
 from merchantscope.operators import scoring as sc
 from merchantscope.operators.evaluation import binary_metrics
-from merchantscope.session import ensure_conf
+from merchantscope.session import ensure_conf, stage_table
 from merchantscope.sources import readers, writers
 
 M = "merchant_id"
@@ -54,6 +55,7 @@ def run_batch(
     mcc_reference: DataFrame,
     bands: DataFrame | None = None,
     options: BatchOptions | None = None,
+    labels: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Run the whole batch over ``folder`` and write its tables below ``out``.
 
@@ -98,6 +100,18 @@ def run_batch(
         },
         f"{out}/overview",
     )
+    tables |= {f"anatomy/{k}": keep(v, f"anatomy/{k}") for k, v in anatomy_tables(book.transactions, scores).items()}
+    cited = tables["anatomy/exemplars"].select(M)
+    writers.write_document(
+        {k.removeprefix("anatomy/"): v.join(cited, M, "left_semi") for k, v in tables.items() if k.startswith("anatomy/")},
+        f"{out}/anatomy_document",
+    )
+    if labels is not None:
+        measured = rg.evaluate(scores.join(labels, M, "left"), rg.standard_models())
+        tables["model_registry"] = keep(measured, "model_registry")
+        book_ = sc.ScoreBook()
+        weights = ev.weight_importance(spark, {**book_.models(), "composite": book_.composite})
+        writers.write_document({"models": tables["model_registry"], "weights": weights}, f"{out}/registry_document")
     writers.write_json(
         ex.run_metadata(
             {"merchants": view, "transactions": slice_},
@@ -108,6 +122,22 @@ def run_batch(
     return tables
 
 
+def anatomy_tables(tx: DataFrame, scores: DataFrame) -> dict[str, DataFrame]:
+    """Drill-down tables of all flagged merchants (one exemplar per family among them)."""
+    flagged = scores.filter("flag_for_investigation = 1")
+    groups = stage_table(an.split_groups(tx), "split_groups")
+    ceilings = stage_table(an.split_ceilings(an.split_group_amounts(tx, groups)), "split_ceilings")
+    return {
+        "exemplars": an.exemplars(scores),
+        "fingerprint": an.fingerprint(flagged),
+        "interchange": an.interchange_signature(flagged),
+        "split_groups": groups.join(flagged.select(M), M, "left_semi"),
+        "split_ceilings": ceilings.join(flagged.select(M), M, "left_semi"),
+        "rule_checks": an.rule_checks(flagged),
+        "evidence": an.evidence_sample(an.tagged_rows(tx, flagged, ceilings)),
+    }
+
+
 def queue_quality(scores: DataFrame, labels: DataFrame) -> DataFrame:
     """Precision and recall of the queue against labels (evaluation only)."""
     target = F.coalesce("is_integrity_violation", F.lit(False)) | F.coalesce(
@@ -121,7 +151,7 @@ def main(argv: list[str] | None = None) -> None:
     """``python -m merchantscope.plans.batch --data DIR --out DIR --mcc FILE``."""
     import argparse
 
-    from merchantscope.session import build_session
+    from merchantscope.session import build_session, release
 
     parser = argparse.ArgumentParser(description="batch scoring run")
     parser.add_argument("--data", required=True)
@@ -134,6 +164,7 @@ def main(argv: list[str] | None = None) -> None:
     mcc = readers.read_table(spark, args.mcc, schemas.MCC_REFERENCE, "csv")
     options = BatchOptions(args.min_txn, args.lookback_months)
     run_batch(spark, args.data, args.out, mcc, options=options)
+    release(spark)
 
 
 if __name__ == "__main__":

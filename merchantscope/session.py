@@ -57,6 +57,17 @@ def _local_folder() -> str:
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{shared_folder(spark)}/merchantscope/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables, once its results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -66,6 +77,6 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     loss of executors.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/merchantscope/{uuid.uuid4().hex}/{name}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -41,8 +41,9 @@ def book_folder(spark, tmp_path_factory):
 def tables(spark, book_folder, tmp_path_factory):
     b = workbench(spark, FOLDER)
     out = str(tmp_path_factory.mktemp("out"))
+    labels = b.fixture.labels().withColumn("merchant_id", F.col("merchant_id").cast("string"))
     made = run_batch(spark, book_folder, out, b.fixture.mcc_reference(), b.fixture.bands(),
-                     BatchOptions(lookback_months=120))
+                     BatchOptions(lookback_months=120), labels)
     return out, made
 
 
@@ -64,6 +65,20 @@ def test_batch_outputs(spark, tables):
     assert per_merchant <= 400
 
 
+def test_registry_and_drill_down_are_written(spark, tables):
+    out, made = tables
+    registry = spark.read.json(f"{out}/registry_document").first()
+    assert {m.model for m in registry.models} == {r.model for r in made["model_registry"].collect()}
+    anatomy = spark.read.json(f"{out}/anatomy_document").first()
+    shown = {e.merchant_id for e in anatomy.exemplars}
+    assert shown and {f.merchant_id for f in anatomy.fingerprint} == shown
+    assert len(anatomy.evidence) <= 12 * len(shown)
+    merchants = readers.read_table(spark, f"{out}/explorer/merchants_json", made["merchants"].schema, "json")
+    # the export rounds measures; names, counts and families come back as they were
+    kept = ["merchant_id", "merchant_name", "txn_count", "family", "flag_for_investigation"]
+    assert sorted(map(str, merchants.select(*kept).collect())) == sorted(map(str, made["merchants"].select(*kept).collect()))
+
+
 def test_codes_survive_csv(spark, tmp_path):
     (tmp_path / "t.csv").write_text("merchant_id,pos_entry_mode,merchant_descriptor\nM1,01,\nM2,1,\"a,\"\"b\"\n")
     schema = "merchant_id string, pos_entry_mode string, merchant_descriptor string"
