@@ -13,7 +13,7 @@ from merchantscope.operators import scoring as sc
 from merchantscope.operators.lanes import data_window
 from merchantscope.plans.live import live_feature_table, score_live
 from merchantscope.session import ensure_conf, stage_table
-from merchantscope.sources.fixtures import LIVE_TX_SQL, StarFixture
+from starbook.fixtures import LIVE_TX_SQL, StarFixture
 
 
 class Workbench:

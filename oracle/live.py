@@ -7,7 +7,7 @@ from merchantscope.operators.evidence import SUPPORTING
 from merchantscope.plans.live_queries import (
     CARDS, COMPONENTS, DIVERSITY, FEATURES, GRAPH, TICKETS,
 )
-from merchantscope.sources.fixtures import (
+from starbook.fixtures import (
     KNOWN_BAD_SQL, LIVE_LABEL_SQL, LIVE_MERCHANT_SQL, LIVE_TX_SQL, PROFILE_SQL,
 )
 from oracle.views import TOKENS, _case, _list, with_views

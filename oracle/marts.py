@@ -5,7 +5,7 @@ from __future__ import annotations
 from merchantscope import reference as ref
 from merchantscope.plans.mart_queries import SIGNALS, SLICE_COLUMNS
 from merchantscope.sources.catalog import SAMPLE_QUERIES
-from merchantscope.sources.fixtures import RECORD_SQL, SURCHARGE_SQL
+from starbook.fixtures import RECORD_SQL, SURCHARGE_SQL
 from oracle.views import Z_FEATURES, _case, _list, _z, with_views
 
 R = "round({}, 6) + 0.0"

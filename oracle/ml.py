@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from merchantscope import reference as ref
 from merchantscope.plans.ml_queries import GIVEN_INTERCEPT, GIVEN_WEIGHTS
-from merchantscope.sources.fixtures import RECORD_SQL
+from starbook.fixtures import RECORD_SQL
 from oracle.live import V
 from oracle.views import with_views
 

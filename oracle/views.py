@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 from merchantscope import reference as ref
-from merchantscope.sources.fixtures import (
+from starbook.fixtures import (
     BANDS_SQL, DUCKDB_TS_PLUS, EVENT_SQL, LABEL_SQL, MCC_SQL, MERCHANT_SQL, settlement_sql,
 )
 
