@@ -29,7 +29,8 @@ QUERIES = [
     "deviations", "peer_standing", "threshold_curve", "rank_auc", "registry_metrics",
     "surcharge_portfolio", "live_base_features", "change_point", "rapid_repeats",
     "graph_metrics", "neighbor_counts", "mcc_prediction", "ensemble_scores", "lane_rollup",
-    "daily_trend", "case_rollup", "integrity_logistic",
+    "daily_trend", "case_rollup", "integrity_logistic", "family_volume", "sql_split_ticket_groups",
+    "sql_riskiest_merchant_transactions", "peer_histogram", "keyword_matches", "head_metrics",
 ]
 
 
