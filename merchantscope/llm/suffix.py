@@ -26,11 +26,11 @@ never cross rows; empty tables give empty results.
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +42,8 @@ GRAM = 16
 STRETCH = 64
 #: Stretches that a task reduces at a time.
 BLOCK = 1_500_000
+#: Bytes of text per set of arrays: they stay in the processor's caches.
+CHUNK = 1 << 17
 #: One in so many ids shows which keys are heavy; a key is heavy beyond so many stretches.
 HEAVY_SHARE, HEAVY_LEAST = 64, 10_000
 
@@ -58,6 +60,14 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.cumprod(np.append(U(1), np.full(n, base)))
+
+
+#: Powers for chunks of the usual size; a longer text gets its own.
+_TABLES = (_powers(_BASE, 2 * CHUNK), _powers(_INVERSE, 2 * CHUNK))
+
+
 class Stretches:
     """Stretches of a chunk: ``doc`` (index), ``key``, ``hash``, ``start`` and ``end`` (bytes of the text)."""
 
@@ -70,36 +80,43 @@ class Stretches:
             return
         buf = np.frombuffer(raw, np.uint8)
         eight = np.ndarray(len(raw) - 7, np.dtype("<u8"), raw, strides=(1,))
-        gram = mix(eight[:-8] * _BASE + mix(eight[8:]))
+        gram = eight[:-8] * _BASE
+        gram ^= gram >> U(29)
+        gram += eight[8:]
+        gram *= U(0xBF58476D1CE4E5B9)
+        gram ^= gram >> U(32)
+        gram *= U(0x94D049BB133111EB)
         least = _sliding_min(gram, length - GRAM + 1)
-        first = np.arange(len(least))
-        sizes = np.diff(self.edges)
-        owner = np.repeat(np.arange(len(texts)), sizes)[: len(least)]
-        valid = first + length <= self.edges[owner + 1]
-        at = np.flatnonzero(valid)
-        if not len(at):
-            return
-        least, owner = least[at], owner[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
-        run = np.flatnonzero(new)
-        within = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
-        new |= within % STRETCH == 0
+        n = len(least)
+        # runs of one key; they start anew with each text and where no window fits any more
+        new = np.ones(n + 1, bool)
+        np.not_equal(least[1:], least[:-1], out=new[1:n])
+        valid = np.ones(n, bool)
+        for low, high in zip(self.edges[:-1], self.edges[1:]):
+            stop = max(low, high - length + 1)
+            valid[stop:high] = False
+            new[min(low, n)] = new[min(stop, n)] = True
         single = np.isin(least, heavy) if len(heavy) else np.zeros(0, bool)
         if single.any():
-            new |= single
-        begin = np.flatnonzero(new)
-        last = np.append(begin[1:], len(at)) - 1
-        power = np.cumprod(np.append(U(1), np.full(len(raw), _BASE)))
-        back = np.cumprod(np.append(U(1), np.full(len(raw), _INVERSE)))
-        total = np.append(U(0), np.cumsum(_BYTES[buf] * power[:-1]))
-        start, end = at[begin], at[last] + length
+            new[:n] |= single
+        cut = np.flatnonzero(new)
+        sizes = np.diff(cut)
+        if len(sizes) and sizes.max() > STRETCH:
+            new[:n] |= (np.arange(n) - np.repeat(cut[:-1], sizes)) % STRETCH == 0
+            cut = np.flatnonzero(new)
+        begin, last = cut[:-1], cut[1:] - 1
+        fits = valid[begin]
+        begin, last = begin[fits], last[fits]
+        power, back = _TABLES if len(raw) < len(_TABLES[0]) else (_powers(_BASE, len(raw)), _powers(_INVERSE, len(raw)))
+        total = np.empty(len(raw) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(_BYTES[buf] * power[: len(raw)], out=total[1:])
+        start, end = begin, last + length
         digest = mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
         key = least[begin]
         if single.any():
-            alone = single[begin]
-            key = np.where(alone, mix(digest ^ U(0xA5A5A5A5A5A5A5A5)), key)
-        self.doc = owner[begin]
+            key = np.where(single[begin], mix(digest ^ U(0xA5A5A5A5A5A5A5A5)), key)
+        self.doc = np.searchsorted(self.edges, begin, side="right") - 1
         self.key, self.hash = key.view(np.int64), digest.view(np.int64)
         self.start, self.end = start - self.edges[self.doc], end - self.edges[self.doc]
 
@@ -128,6 +145,11 @@ def _finding(doc, key, hash_, kind: int, a=None, b=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_NAMES)
 
 
+def _pair(key: np.ndarray, hash_: np.ndarray, doc: np.ndarray | int = 0) -> np.ndarray:
+    """One 64-bit number for a stretch (of a text), to sort and look up by."""
+    return (key.view(np.uint64) * _BASE) ^ hash_.view(np.uint64) ^ (np.asarray(doc).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+
+
 def heavy_keys(docs: DataFrame, length: int) -> np.ndarray:
     """Keys of which the sampled ids have so many stretches that one task should not get them all."""
     spark = docs.sparkSession
@@ -135,7 +157,7 @@ def heavy_keys(docs: DataFrame, length: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(x.as_py() for x in batch.column("text")):
+            for part in chunks((x.as_py() for x in batch.column("text")), CHUNK):
                 found = Stretches(part, length, np.zeros(0, np.uint64))
                 distinct = np.unique(np.stack([found.key, found.hash]), axis=1) if len(found.key) else np.zeros((2, 0), np.int64)
                 key, n = np.unique(distinct[0], return_counts=True)
@@ -156,13 +178,14 @@ def _reduced(docs: DataFrame, length: int, heavy) -> DataFrame:
             return
         doc, key, hash_, text, start, end = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        order = np.lexsort((doc, hash_, key))
+        order = np.argsort(_pair(key, hash_))
         k, h, d = key[order], hash_[order], doc[order]
         new = np.ones(len(order), bool)
         new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
         first = np.flatnonzero(new)
-        lowest = d[first][np.cumsum(new) - 1]
-        yield _finding(d[first], k[first], h[first], OPEN)
+        least = np.minimum.reduceat(d, first)
+        lowest = least[np.cumsum(new) - 1]
+        yield _finding(least, k[first], h[first], OPEN)
         gone = order[d > lowest]
         if len(gone):
             gone = gone[np.lexsort((start[gone], text[gone], doc[gone]))]
@@ -178,7 +201,7 @@ def _reduced(docs: DataFrame, length: int, heavy) -> DataFrame:
         for batch in batches:
             ids, digests = (batch.column(c).to_numpy() for c in ("doc", "digest"))
             at = 0
-            for part in chunks(x.as_py() for x in batch.column("text")):
+            for part in chunks((x.as_py() for x in batch.column("text")), CHUNK):
                 found = Stretches(part, length, heavy.value)
                 row = at + found.doc
                 held.append((ids[row], found.key, found.hash, digests[row], found.start, found.end))
@@ -268,6 +291,21 @@ def _suffix_order(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
     yield _finding(doc[who], key[who], hash_[who], PART, at[hit[begin]] - edges[who], at[hit[last]] - edges[who] + length)
 
 
+class _Listed:
+    """A column of lists of structs as flat arrays."""
+
+    def __init__(self, column: pa.ListArray):
+        self.offsets = np.concatenate(([0], np.cumsum([0 if n is None else n for n in pc.list_value_length(column).to_pylist()])))
+        flat = column.flatten()
+        self.columns = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+
+    def rows(self, low: int, high: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Row (from ``low``) of each entry, and the entries' columns."""
+        part = slice(self.offsets[low], self.offsets[high])
+        row = np.repeat(np.arange(high - low), np.diff(self.offsets[low : high + 1]))
+        return row, {name: values[part] for name, values in self.columns.items()}
+
+
 def removed_spans(docs: DataFrame, length: int = 50, id_: str = "doc_id", text: str = "text", apply=None, schema: str = "spans array<struct<a:long,b:long>>") -> DataFrame:
     """Per row: doc_id and what ``apply(text, runs)`` returns (a tuple per ``schema``).
 
@@ -284,22 +322,19 @@ def removed_spans(docs: DataFrame, length: int = 50, id_: str = "doc_id", text:
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, wanted = batch.column("doc").to_numpy(), batch.column("wanted")
+            ids, listed = batch.column("doc").to_numpy(), _Listed(batch.column("wanted"))
             at = 0
-            for part in chunks(x.as_py() for x in batch.column("text")):
+            for part in chunks((x.as_py() for x in batch.column("text")), CHUNK):
                 got = Stretches(part, length, heavy.value)
-                first = np.searchsorted(got.doc, np.arange(len(part) + 1))
-                rows = []
-                for i, content in enumerate(part):
-                    asked = {(w["key"], w["hash"]) for w in wanted[at + i].as_py() or ()}
-                    for j in range(first[i], first[i + 1]) if asked else ():
-                        name = (int(got.key[j]), int(got.hash[j]))
-                        if name in asked:
-                            asked.discard(name)
-                            rows.append((int(ids[at + i]), *name, content[got.start[j] : got.end[j]]))
+                row, asked = listed.rows(at, at + len(part))
+                name, first = np.unique(_pair(got.key, got.hash, got.doc), return_index=True)
+                first = np.sort(first[np.isin(name, _pair(asked["key"], asked["hash"], row))])
+                doc = got.doc[first]
+                content = [part[d][s:e] for d, s, e in zip(doc.tolist(), got.start[first].tolist(), got.end[first].tolist())]
+                if content:
+                    columns = [ids[at + doc], got.key[first], got.hash[first], pa.array(content, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc", "key", "hash", "bytes"])
                 at += len(part)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["doc", "key", "hash", "bytes"])
 
     def gathered(rows: DataFrame, name: str) -> DataFrame:
         return rows.groupBy("doc").agg(F.collect_list(F.struct("key", "hash", "kind", "a", "b")).alias(name))
@@ -308,35 +343,40 @@ def removed_spans(docs: DataFrame, length: int = 50, id_: str = "doc_id", text:
     asked = texts.join(gathered(found.filter(F.col("kind") == WANTED), "wanted"), "doc").mapInArrow(
         fetch, "doc long, key long, hash long, bytes binary"
     )
-    parts = asked.repartition(n, "key").mapInArrow(lambda batches: _suffix_order(batches, length), _FIND)
+    parts = asked.repartition(2 * n, "key").mapInArrow(lambda batches: _suffix_order(batches, length), _FIND)
     result = stage_table(found.filter(F.col("kind") != WANTED).union(parts), "removed")
     apply = apply or (lambda _, runs: ([{"a": a, "b": b} for a, b in runs],))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            told, digests = batch.column("told"), batch.column("digest").to_pylist()
+            listed, digests = _Listed(batch.column("told")), batch.column("digest").fill_null(0).to_numpy()
             at = 0
-            for part in chunks(x.as_py() for x in batch.column("text")):
-                known = [told[at + i].as_py() or () for i in range(len(part))]
-                listed = [t if any(f["kind"] != SPAN for f in k) else b"" for t, k in zip(part, known)]
-                got = Stretches(listed, length, heavy.value)
-                first = np.searchsorted(got.doc, np.arange(len(part) + 1))
-                rows = []
-                for i, content in enumerate(part):
-                    starts, ends, by_name = [], [], defaultdict(list)
-                    for f in known[i]:
-                        if f["kind"] != SPAN:
-                            by_name[(f["key"], f["hash"])].append(f)
-                        elif f["key"] == digests[at + i]:
-                            starts.append(f["a"])
-                            ends.append(f["b"])
-                    if by_name:
-                        own = slice(first[i], first[i + 1])
-                        for name, s, e in zip(zip(got.key[own].tolist(), got.hash[own].tolist()), got.start[own].tolist(), got.end[own].tolist()):
-                            for f in by_name.get(name, ()):
-                                starts.append(s + f["a"])
-                                ends.append(s + f["b"] if f["kind"] == PART else e)
-                    rows.append(apply(content, _runs(np.array(starts, np.int64), np.array(ends, np.int64))))
+            for part in chunks((x.as_py() for x in batch.column("text")), CHUNK):
+                row, told = listed.rows(at, at + len(part))
+                span = told["kind"] == SPAN
+                own = span & (told["key"] == digests[at + row])
+                found = [(row[own], told["a"][own], told["b"][own])]
+                rest = np.flatnonzero(~span)
+                if len(rest):
+                    has = np.zeros(len(part), bool)
+                    has[row[rest]] = True
+                    got = Stretches([t if h else b"" for t, h in zip(part, has)], length, heavy.value)
+                    name = _pair(got.key, got.hash, got.doc)
+                    order = np.argsort(name)
+                    name = name[order]
+                    wanted = _pair(told["key"][rest], told["hash"][rest], row[rest])
+                    low, high = (np.searchsorted(name, wanted, side=side) for side in ("left", "right"))
+                    times = high - low
+                    which = np.repeat(rest, times)
+                    place = order[np.repeat(low - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(len(which))]
+                    whole = told["kind"][which] == WHOLE
+                    start = got.start[place] + told["a"][which]
+                    found.append((got.doc[place], start, np.where(whole, got.end[place], got.start[place] + told["b"][which])))
+                doc, start, end = (np.concatenate(x) for x in zip(*found))
+                order = np.argsort(doc, kind="stable")
+                doc, start, end = doc[order], start[order], end[order]
+                edge = np.searchsorted(doc, np.arange(len(part) + 1))
+                rows = [apply(t, _runs(start[i:j], end[i:j])) for t, i, j in zip(part, edge[:-1], edge[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(at, len(part)), *[pa.array(x) for x in zip(*rows)]], names=["doc_id", *columns]
                 )
