@@ -6,6 +6,8 @@ input, whatever they are called, never meet the operator's own ones.
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -114,3 +116,15 @@ def numbered(df: DataFrame, order: list, out: str, sums: dict[str, str] | None =
     added = [(F.row_number().over(inside) - 1 + F.col(f"_o_{out}")).alias(out)]
     added += [(F.coalesce(F.sum(c).over(earlier), F.lit(0)) + F.col(f"_o_{o}")).alias(o) for o, c in sums.items()]
     return parts.join(offsets, "_part").select(*df.columns, *added)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of frames that nothing refers to any more.
+
+    They go when the driver's JVM collects its garbage, which a large heap may put off
+    until the next large shuffle stands beside the last one.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

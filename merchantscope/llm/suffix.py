@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, partitions_of, stage_table, table
+from .common import chunks, free_shuffles, partitions_of, stage_table, table
 from .words import U, mix
 
 GRAM = 16
@@ -319,6 +319,7 @@ def removed_spans(docs: DataFrame, length: int = 50, id_: str = "doc_id", text:
     named = plain.filter("doc IS NOT NULL AND text IS NOT NULL").withColumn("digest", F.xxhash64("text"))
     heavy = spark.sparkContext.broadcast(heavy_keys(named, length))
     found = stage_table(_reduced(named, length, heavy).repartition(n, "key").mapInArrow(_settled, _FIND), "findings")
+    free_shuffles(spark)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
