@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import stage_table, table
 
 PIVOTS = 16
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 16384
+QUERY_BLOCK, CANDIDATE_BLOCK, QUERY_STEP = 2048, 16384, 128
 
 
 def integer_vectors(df: DataFrame, id_: str, vector: str, scale: int = 64) -> DataFrame:
@@ -36,32 +36,48 @@ def integer_vectors(df: DataFrame, id_: str, vector: str, scale: int = 64) -> Da
 
 
 def _best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, pivots: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best candidates of each query, scored in the order of their bounds."""
+    """The k best candidates of each query, scored in the order of their bounds.
+
+    A query first scores the candidates with its highest bounds; its k-th best score then
+    rules out all candidates with lower bounds, and only the others are scored.
+    """
     order = np.argsort(c_ids, kind="stable")
     c_ids, c = c_ids[order], c[order]
     q_norm, c_norm, p_norm = ((x * x).sum(1) for x in (q, c, pivots))
-    to_pivots = [np.sqrt(np.maximum(n[:, None] + p_norm - 2 * (x @ pivots.T), 0)) for n, x in ((q_norm, q), (c_norm, c))]
-    out = []
-    for i, (name, own) in enumerate(zip(q_ids, q)):
-        gap = np.abs(to_pivots[1] - to_pivots[0][i]).max(1)
-        bound = (q_norm[i] + c_norm - gap * gap) / 2 + 1e-3 * (1 + q_norm[i] + c_norm) * 1e-6
-        bound[c_ids == name] = -np.inf
-        kept_ids, kept = np.zeros(0, np.int64), np.zeros(0)
-        rest, step = np.flatnonzero(bound > -np.inf), max(4 * k, 256)
-        while len(rest):
-            if len(rest) > step:
-                cut = np.argpartition(-bound[rest], step)
-                now, rest = rest[cut[:step]], rest[cut[step:]]
-            else:
-                now, rest = rest, rest[:0]
-            kept_ids, kept = np.append(kept_ids, c_ids[now]), np.append(kept, c[now] @ own)
-            top = np.lexsort((kept_ids, -kept))[:k]
-            kept_ids, kept = kept_ids[top], kept[top]
-            if len(kept) == k:
-                rest = rest[bound[rest] >= kept[-1]]
-            step *= 4
-        out.append(pd.DataFrame({"query_id": name, "vec_id": kept_ids, "score": kept.astype(np.int64)}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+
+    def to_pivots(x: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(norm[:, None] + p_norm - 2 * (x @ pivots.T), 0)).astype(np.float32)
+
+    from_q, from_c = to_pivots(q, q_norm), np.ascontiguousarray(to_pivots(c, c_norm).T)
+    slack = np.float32(1e-5) * (1 + np.sqrt(np.float32(max(q_norm.max(), c_norm.max()))))
+    head, out = min(len(c), max(4 * k, 256)), []
+    for low in range(0, len(q), QUERY_STEP):
+        rows = slice(low, low + QUERY_STEP)
+        gap = np.zeros((len(q_ids[rows]), len(c)), np.float32)
+        for p in range(len(pivots)):
+            np.maximum(gap, np.abs(from_c[p] - from_q[rows, p][:, None]), out=gap)
+        # single precision rounds, so bounds get a little room
+        gap = np.maximum(gap - slack, 0).astype(np.float64)
+        bound = (q_norm[rows, None] + c_norm - gap * gap) / 2 + 1e-6 * (q_norm[rows, None] + c_norm)
+        bound[q_ids[rows][:, None] == c_ids] = -np.inf
+        first = np.argpartition(-bound, head - 1, axis=1)[:, :head]
+        kth = np.full(len(bound), -np.inf)
+        if head > k:
+            scores = np.einsum("qhd,qd->qh", c[first], q[rows])
+            scores[np.take_along_axis(bound, first, 1) == -np.inf] = -np.inf
+            kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        open_ = (bound >= kth[:, None]) & (bound > -np.inf)
+        # few open candidates are scored one by one, many as one product
+        whole = q[rows] @ c.T if open_.mean() > 0.1 else None
+        for i in range(len(bound)):
+            some = np.flatnonzero(open_[i])
+            score = whole[i, some] if whole is not None else c[some] @ q[low + i]
+            if len(some) > k:
+                some, score = (x[score >= -np.partition(-score, k - 1)[k - 1]] for x in (some, score))
+            best = np.lexsort((c_ids[some], -score))[:k]
+            out.append((np.full(len(best), q_ids[low + i]), c_ids[some][best], score[best].astype(np.int64)))
+    columns = [np.concatenate(x) for x in zip(*out)]
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
 
 
 def top_k(
