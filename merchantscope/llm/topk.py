@@ -11,7 +11,8 @@ rows per query and the best k of those remain.
 
 Edge cases: null vectors, null or non-finite components and null ids take no part;
 vectors of different lengths are not compared; ties go to the smaller id; repeated
-rows are candidates each (an id's own rows never answer it); empty tables give nothing.
+rows are candidates each (an id's own rows never answer it); query rows that share an id
+are answered each, with k rows of their own; empty tables give nothing.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ def integer_vectors(df: DataFrame, id_: str, vector: str, scale: int = 64) -> Da
     return df.filter(F.col(id_).isNotNull() & x.isNotNull() & fine).select(F.col(id_).cast("long").alias("id"), v.alias("v"), F.size(x).alias("dim"))
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, pivots: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best candidates of each query, scored in the order of their bounds.
+def _best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, pivots: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Query (its place), id and score of the k best candidates of each query, scored in the order of their bounds.
 
     A query first scores the candidates with its highest bounds; its k-th best score then
     rules out all candidates with lower bounds, and only the others are scored.
@@ -75,9 +76,8 @@ def _best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, pi
             if len(some) > k:
                 some, score = (x[score >= -np.partition(-score, k - 1)[k - 1]] for x in (some, score))
             best = np.lexsort((c_ids[some], -score))[:k]
-            out.append((np.full(len(best), q_ids[low + i]), c_ids[some][best], score[best].astype(np.int64)))
-    columns = [np.concatenate(x) for x in zip(*out)]
-    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
+            out.append((np.full(len(best), low + i), c_ids[some][best], score[best].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def top_k(
@@ -87,9 +87,12 @@ def top_k(
     """query_id, rank (from 1), vec_id, score of the k best candidates of each query.
 
     Both tables as of ``integer_vectors``. The pivots are ``pivots`` rows of the
-    candidates (a bounded number; any choice gives exact results).
+    candidates (a bounded number; any choice gives exact results). Queries alike in id
+    and vector are answered once and the answer repeated.
     """
     spark = candidates.sparkSession
+    alike = queries.groupBy("id", "v", "dim").agg(F.count("*").alias("copies"))
+    queries = stage_table(alike.withColumn("query", F.monotonically_increasing_id()), "queries")
     sizes = {r["side"]: r["n"] for r in queries.select(F.lit("q").alias("side")).union(candidates.select(F.lit("c"))).groupBy("side").agg(F.count("*").alias("n")).collect()}
     q_blocks, c_blocks = (max(1, -(-sizes.get(s, 0) // size)) for s, size in (("q", query_block), ("c", candidate_block)))
     chosen = candidates.orderBy(F.xxhash64("id"), "id").limit(4 * pivots).collect()
@@ -100,24 +103,27 @@ def top_k(
 
     def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            return pd.DataFrame({c: [] for c in ("query", "copies", "query_id", "vec_id", "score")}, dtype="int64")
         q, c = np.stack(left["v"].to_list()), np.stack(right["v"].to_list())
-        return _best(left["id"].to_numpy(), q, right["id"].to_numpy(), c, shared.value.get(key[2], c[:1]), k)
+        at, ids, scores = _best(left["id"].to_numpy(), q, right["id"].to_numpy(), c, shared.value.get(key[2], c[:1]), k)
+        numbers, copies, names = (left[x].to_numpy()[at] for x in ("query", "copies", "id"))
+        return pd.DataFrame({"query": numbers, "copies": copies, "query_id": names, "vec_id": ids, "score": scores})
 
-    def blocks(n: int, salt: int):
-        return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
+    def blocks(id_: str, n: int, salt: int):
+        return F.pmod(F.xxhash64(id_, F.lit(salt)), F.lit(n))
 
     def every(n: int):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
     key = ["qb", "cb", "dim"]
-    left = queries.select("id", "v", "dim", blocks(q_blocks, 1).alias("qb"), every(c_blocks).alias("cb"))
-    right = candidates.select("id", "v", "dim", every(q_blocks).alias("qb"), blocks(c_blocks, 2).alias("cb"))
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    left = queries.select("id", "v", "dim", "query", "copies", blocks("query", q_blocks, 1).alias("qb"), every(c_blocks).alias("cb"))
+    right = candidates.select("id", "v", "dim", every(q_blocks).alias("qb"), blocks("id", c_blocks, 2).alias("cb"))
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, "query long, copies long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     )
 

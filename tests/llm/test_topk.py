@@ -50,3 +50,12 @@ def test_table(spark):
     folder = "/root/testdata/sf0.001"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
     assert sorted(tuple(r) for r in queries()["op10_pivot_top_k"](spark, folder).collect()) == brute(rows)
+
+
+@pytest.mark.parametrize("blocks", [{}, {"query_block": 2, "candidate_block": 40, "pivots": 3}])
+def test_repeated_query_ids_are_answered_each(spark, blocks):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(8)]) for i in range(100)]
+    # alike, of another vector, and of another length
+    rows += [rows[20]] * 24 + [(40, rows[3][1]), (60, [0.5, 0.25]), (103, [1.0, 0.5]), rows[7]]
+    assert run(spark, rows, **blocks) == brute(rows)
