@@ -7,8 +7,9 @@ corpus. Documents probe that shingle; the position it has in the window gives th
 only possible start (positional bound), the text's end the length bound, and the
 words themselves decide.
 
-Edge cases: a null or wordless text has no words and no hits; null items and items
-without words have no window; repeated rows and repeated items each count as
+Edge cases: a null or wordless text has no words and no hits; items without words have no
+window; items without id have windows that count as hits, but are not listed or counted
+as items; repeated rows and repeated items each count as
 themselves (an item id counts once per document); empty tables give no hits.
 """
 
@@ -58,7 +59,7 @@ def item_windows(benchmark: DataFrame, window: int, item: str = "item_id", text:
                 found = Words([value or b""], ALNUM)
                 total = len(found.start)
                 size = min(window, total)
-                if not size or name is None:
+                if not size:
                     continue
                 width = min(SHINGLE, size)
                 hashes = found.grams(width)[1].view(np.int64)
@@ -123,7 +124,7 @@ def _probe(index: list[tuple[int, np.ndarray, list]], texts: list[bytes]) -> tup
                 begin = at[k] - offset
                 if begin >= low and begin + n <= high and found.bytes_of(begin, begin + n) == words:
                     spans[doc].append((int(begin - low), int(begin - low + n)))
-                    items[doc].update(names)
+                    items[doc].update(name for name in names if name is not None)
     return found.counts(), spans, items
 
 
