@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lines, minhash, mixing, pii, quality, secrets, sharding, suffix, topk
+from . import decontaminate, infill, lines, minhash, mixing, pii, quality, secrets, sharding, suffix, topk, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,8 @@ def queries() -> dict[str, Query]:
             pii.op8_weak_supervision_pii,
             sharding.op9_histogram_sort_sharding,
             topk.op10_pivot_top_k,
+            infill.op11_counted_quantifier_infill,
+            whitening.op13_jacobi_whitening,
         )
     }
 
@@ -38,4 +40,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_low_discrepancy_mixing": mixing.OP7_SQL,
         "op9_histogram_sort_sharding": sharding.OP9_SQL,
         "op10_pivot_top_k": topk.OP10_SQL,
+        "op11_counted_quantifier_infill": infill.OP11_SQL,
     }

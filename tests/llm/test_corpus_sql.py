@@ -46,7 +46,7 @@ def odd_folder(spark, docs_of, odd_rows, tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("name", ["op3_ownership_secret_scan", "op4_line_run_dedup", "op5_lsh_forest_near_dedup", "op6_benchmark_decontamination", "op7_low_discrepancy_mixing", "op9_histogram_sort_sharding"])
+@pytest.mark.parametrize("name", ["op3_ownership_secret_scan", "op4_line_run_dedup", "op5_lsh_forest_near_dedup", "op6_benchmark_decontamination", "op7_low_discrepancy_mixing", "op9_histogram_sort_sharding", "op11_counted_quantifier_infill"])
 def test_odd_rows(spark, odd_folder, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
