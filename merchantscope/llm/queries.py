@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, infill, lines, minhash, mixing, pii, quality, secrets, sharding, suffix, topk, whitening
+from . import decontaminate, infill, lines, minhash, mixing, ngrams, pii, quality, secrets, sharding, suffix, topk, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,7 @@ def queries() -> dict[str, Query]:
             sharding.op9_histogram_sort_sharding,
             topk.op10_pivot_top_k,
             infill.op11_counted_quantifier_infill,
+            ngrams.op12_deleted_interpolation_scores,
             whitening.op13_jacobi_whitening,
         )
     }
