@@ -9,12 +9,13 @@ half is predicted from the counts of the other one. The scores then use the coun
 Work flow: texts become chunks of word numbers, a row each. A chunk asks, per range of
 gram hashes, for the counts of its distinct grams (sorted, as differences, compressed);
 a range's task adds up all chunks and answers each in the order of its question, so that
-answers are lists of counts without grams. Two passes join chunks with their answers: one
-bins the held-out events (probabilities to 1/16 octave) for the expectation maximisation,
-one scores. A gram that is everywhere has one entry per chunk, so there is no hot key;
+answers are lists of counts without grams. Chunks are joined with their answers once; then one
+pass bins the held-out events (probabilities to 1/8 octave) for the expectation maximisation,
+another one scores. A gram that is everywhere has one entry per chunk, so there is no hot key;
 ranges and chunks grow in number, not in size.
 
-Words and grams are told apart by 64-bit hashes. Tokens are words plus one end per text.
+Words are told apart by 64-bit hashes, longer grams by as many bits as give each gram a chance
+of 2^-MARGIN, at most, to share its counts with another one. Tokens are words plus one end per text.
 
 Edge cases: a null text counts as empty (one token); null ids hash as the text "null";
 rows keep repeated ids, and equal rows get equal scores; without training texts all
@@ -33,18 +34,22 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, partitions_of, stage_table, table
+from .common import arrow_type, chunks, free_shuffles, partitions_of, stage_table, table
 from .words import U, Words, gram_hash, mix
 
 ORDER = 3
 #: Tokens of a chunk (more if one text has more) and, about, of a range of grams.
-CHUNK_TOKENS, RANGE_TOKENS = 1 << 19, 1 << 20
+CHUNK_TOKENS, RANGE_TOKENS = 1 << 20, 1 << 20
+#: Tokens that are scored at a time (more if one text has more).
+PART_TOKENS = 1 << 17
+#: Bits of a gram's hash beyond those that number all tokens.
+MARGIN = 24
 #: Far from the hashes of short words, which start from small numbers.
 START, END = mix(np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], np.uint64))
 #: Contexts seen 0 times, once, 2-3 times, 4-7 times, ... and LAST for all above.
 LAST = 16
 #: Steps to an octave, and bits, of a binned probability (0: none).
-STEPS, BITS = 16, 11
+STEPS, BITS = 8, 11
 HELD = -1
 
 
@@ -58,7 +63,7 @@ def pack(values: np.ndarray) -> bytes:
 def unpack(data: bytes) -> np.ndarray:
     size, n = data[0], int.from_bytes(data[1:9], "little")
     planes = np.frombuffer(pa.decompress(data[9:], decompressed_size=size * n, codec="zstd"), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).view(f"u{size}").ravel().astype(np.uint64)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(f"u{size}").ravel()
 
 
 def roles(id_: Column, folds: int = 5, held: int = 1) -> Column:
@@ -105,49 +110,62 @@ def encode(docs: DataFrame, id_: str, text: str, role: Column) -> DataFrame:
 
 
 class _Chunk:
-    """The grams of a chunk: per order the sorted distinct ones, and the place of each token's gram among them."""
+    """Tokens of a chunk, the role of each, and its grams order by order."""
 
-    def __init__(self, row: dict, order: int):
-        words = np.cumsum(unpack(row["words"]), dtype=np.uint64)
-        token = words[unpack(row["tokens"]).astype(np.int64)]
+    def __init__(self, row: dict):
+        self.words = np.cumsum(unpack(row["words"]), dtype=np.uint64)
+        self.places = unpack(row["tokens"]).astype(np.int64)
         self.sizes = np.array(row["sizes"])
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.role = np.repeat(np.array(row["roles"]), self.sizes)
-        inside = np.arange(len(token)) - np.repeat(self.first, self.sizes)
-        lags = [token]
-        for lag in range(1, order):
-            before = np.concatenate((np.full(min(lag, len(token)), START), token[: -lag or None][: max(len(token) - lag, 0)]))
-            lags.append(np.where(inside >= lag, before, START))
-        self.at_start = inside == 0
-        self.distinct, self.place = [], []
-        for k in range(order):
-            grams = token if k == 0 else gram_hash(lags[k::-1])
-            u, p = np.unique(grams, return_inverse=True)
-            self.distinct.append(u)
-            self.place.append(p)
-
-
-def _range_of(grams: np.ndarray, ranges: int) -> np.ndarray:
+        self.role = np.repeat(np.array(row["roles"], np.int8), self.sizes)
+
+    def grams(self, k: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct grams of order k + 1, sorted, and the place of each token's gram among them."""
+        if k == 0:
+            return self.words, self.places
+        token = self.words[self.places]
+        parts = [token]
+        for lag in range(1, k + 1):
+            before = np.full(len(token), START)
+            before[lag:] = token[:-lag]
+            for step in range(min(lag, int(self.sizes.max()))):
+                before[self.first[self.sizes > step] + step] = START
+            parts.insert(0, before)
+        return np.unique(gram_hash(parts) >> U(64 - bits), return_inverse=True)
+
+
+def _range_of(grams: np.ndarray, bits: int, ranges: int) -> np.ndarray:
     """Ranges of equal width over the hashes' order."""
-    return ((grams >> U(40)) * U(ranges) >> U(24)).astype(np.int64)
+    return ((grams >> U(bits - 24)) * U(ranges) >> U(24)).astype(np.int64)
 
 
-def gram_counts(encoded: DataFrame, order: int = ORDER) -> DataFrame:
-    """Stored (order, range, chunk, counts): what each chunk asked, answered with the counts of both halves.
+@dataclass(frozen=True)
+class GramCounts:
+    """Chunks with the counts of their grams, and the numbers of known words (a row per range).
 
-    Rows without chunk hold the numbers of known words: of either half, and of both.
+    ``chunks``: ids, roles, sizes and tokens as encoded; ``counts``: per order, in both
+    halves, those of each distinct word (first) or of each token's gram (higher orders).
     """
+
+    chunks: DataFrame
+    known: DataFrame
+    order: int
+
+
+def gram_counts(encoded: DataFrame, order: int = ORDER) -> GramCounts:
+    """Stored counts of all grams up to ``order``, for the chunks that hold them."""
     tokens = encoded.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     ranges = max(partitions_of(encoded.sparkSession), -(-tokens // RANGE_TOKENS))
+    bits = (64, *[min(64, MARGIN + tokens.bit_length())] * (order - 1))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.select(["chunk", "roles", "sizes", "words", "tokens"]).to_pylist():
-                chunk = _Chunk(row, order)
+                chunk = _Chunk(row)
                 for k in range(order):
-                    grams, place = chunk.distinct[k], chunk.place[k]
+                    grams, place = chunk.grams(k, bits[k])
                     counts = [np.bincount(place[chunk.role == half], minlength=len(grams)) for half in (0, 1)]
-                    owner = _range_of(grams, ranges)
+                    owner = _range_of(grams, bits[k], ranges)
                     start = np.flatnonzero(np.diff(owner, prepend=-1))
                     asked = [(a, b) for a, b in zip(start, np.append(start[1:], len(grams)))]
                     yield pa.RecordBatch.from_arrays(
@@ -177,7 +195,26 @@ def gram_counts(encoded: DataFrame, order: int = ORDER) -> DataFrame:
 
     asked = encoded.mapInArrow(ask, "level int, range long, chunk long, grams binary, counts binary")
     answered = asked.groupBy("level", "range").applyInArrow(answer, "level int, range long, chunk long, counts binary")
-    return stage_table(answered, "gram_counts")
+    rows = stage_table(answered, "answers")
+    free_shuffles(encoded.sparkSession)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.select(["roles", "sizes", "words", "tokens"]).to_pylist()[0]
+        chunk, found = _Chunk(row), [[] for _ in bits]
+        for r in sorted(right.to_pylist(), key=lambda r: r["range"]):
+            found[r["level"]].append(unpack(r["counts"]).reshape(2, -1))
+        counts = []
+        for k, size in enumerate(bits):
+            own = np.concatenate(found[k], axis=1)
+            counts.append(pack((own if k == 0 else own[:, chunk.grams(k, size)[1]]).ravel()))
+        return left.select(["ids", "roles", "sizes", "tokens"]).append_column("counts", pa.array([counts], pa.list_(pa.binary())))
+
+    kind = encoded.schema["ids"].dataType.simpleString()
+    asked_for = rows.filter("chunk IS NOT NULL").groupBy("chunk")
+    joined = encoded.groupBy("chunk").cogroup(asked_for).applyInArrow(meet, f"ids {kind}, roles array<int>, sizes array<int>, tokens binary, counts array<binary>")
+    met = stage_table(joined, "counted_chunks")
+    free_shuffles(encoded.sparkSession)
+    return GramCounts(met, rows.filter("chunk IS NULL").select("counts"), order)
 
 
 @dataclass(frozen=True)
@@ -224,49 +261,68 @@ def _usable(order: int, trained: bool) -> np.ndarray:
     return out
 
 
-def _answered(left: pa.Table, right: pa.Table, order: int) -> tuple[dict, _Chunk, list[np.ndarray]]:
-    """A chunk with the counts (half, token) of each order."""
-    row = left.to_pylist()[0]
-    chunk = _Chunk(row, order)
-    found: list[list] = [[] for _ in range(order)]
-    for r in sorted(right.to_pylist(), key=lambda r: r["range"]):
-        found[r["level"]].append(unpack(r["counts"]).astype(np.int64).reshape(2, -1))
-    return row, chunk, [np.concatenate(x, axis=1)[:, place] for x, place in zip(found, chunk.place)]
+@dataclass(frozen=True)
+class _Counted:
+    """Some rows of a chunk: their sizes, first tokens, tokens' roles and, per order, counts (half, token)."""
+
+    rows: slice
+    sizes: np.ndarray
+    first: np.ndarray
+    role: np.ndarray
+    counts: list[np.ndarray]
+
 
+def _parts(row: dict) -> Iterator[_Counted]:
+    """A chunk's rows in parts of PART_TOKENS (more if one text has more)."""
+    sizes, counts, places = np.array(row["sizes"]), [unpack(x).reshape(2, -1) for x in row["counts"]], unpack(row["tokens"])
+    edges = np.append(0, np.cumsum(sizes))
+    low = 0
+    while low < len(sizes):
+        high = max(low + 1, int(np.searchsorted(edges, edges[low] + PART_TOKENS, "right")) - 1)
+        tokens, own = slice(edges[low], edges[high]), sizes[low:high]
+        found = [counts[0][:, places[tokens]], *(c[:, tokens] for c in counts[1:])]
+        role = np.repeat(np.array(row["roles"][low:high], np.int8), own)
+        yield _Counted(slice(low, high), own, edges[low:high] - edges[low], role, [c.astype(np.int64) for c in found])
+        low = high
 
-def _estimates(chunk: _Chunk, counts: list[np.ndarray], docs: int, tokens: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield batch.slice(at, 1).to_pylist()[0]
+
+
+def _estimates(chunk: _Counted, counts: list[np.ndarray], docs: int, tokens: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Maximum-likelihood estimates of each order (0 without context), and how often each context was seen."""
-    seen = [np.full(len(chunk.at_start), tokens)]
+    seen = [np.full(len(chunk.role), tokens)]
     for lower in counts[:-1]:
-        seen.append(np.where(chunk.at_start, docs, np.concatenate((lower[:1], lower[:-1]))))
+        before = np.concatenate((lower[:1], lower[:-1]))
+        before[chunk.first] = docs
+        seen.append(before)
     return [c / np.maximum(s, 1) for c, s in zip(counts, seen)], seen[1:]
 
 
-def _joined(encoded: DataFrame, counts: DataFrame, fn, schema: str) -> DataFrame:
-    right = counts.filter("chunk IS NOT NULL").groupBy("chunk")
-    return encoded.groupBy("chunk").cogroup(right).applyInArrow(fn, schema)
-
-
-def held_out_bins(encoded: DataFrame, counts: DataFrame, model: Interpolation) -> DataFrame:
+def held_out_bins(counts: GramCounts, model: Interpolation) -> DataFrame:
     """Stored (bin, n): training tokens by half predicted from, bucket and binned estimates from that half."""
     order = model.order
     if buckets(order) * 2 << BITS * order >= 1 << 63:
         raise ValueError(f"order {order} does not fit a bin number")
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        _, chunk, found = _answered(left, right, order)
-        keys = []
-        for half in (0, 1):
-            estimates, contexts = _estimates(chunk, [c[half] for c in found], model.docs[half], model.tokens[half])
-            key = bucket_of(contexts) * 2 + half + np.zeros(len(chunk.role), np.int64)
-            for p in estimates:
-                step = np.round(-STEPS * np.log2(np.where(p > 0, p, 1))).astype(np.int64) + 1
-                key = (key << BITS) + np.where(p > 0, np.minimum(step, (1 << BITS) - 1), 0)
-            keys.append(key[chunk.role == 1 - half])
-        bins, n = np.unique(np.concatenate(keys), return_counts=True)
-        return pa.table({"bin": bins, "n": n})
-
-    return stage_table(_joined(encoded, counts, run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")), "held_out_bins")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in (part for row in _rows(batches) for part in _parts(row)):
+            for half in (0, 1):
+                estimates, contexts = _estimates(chunk, [c[half] for c in chunk.counts], model.docs[half], model.tokens[half])
+                key = bucket_of(contexts) * 2 + half + np.zeros(len(chunk.role), np.int64)
+                for p in estimates:
+                    step = np.round(-STEPS * np.log2(np.where(p > 0, p, 1))).astype(np.int64) + 1
+                    key = (key << BITS) + np.where(p > 0, np.minimum(step, (1 << BITS) - 1), 0)
+                bins, n = np.unique(key[chunk.role == 1 - half], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n)], names=["bin", "n"])
+
+    each = counts.chunks.select("roles", "sizes", "tokens", "counts").mapInArrow(run, "bin long, n long")
+    bins = stage_table(each.groupBy("bin").agg(F.sum("n").alias("n")), "held_out_bins")
+    free_shuffles(counts.chunks.sparkSession)
+    return bins
 
 
 def _expected(bins: DataFrame, model: Interpolation) -> np.ndarray:
@@ -296,23 +352,24 @@ def _expected(bins: DataFrame, model: Interpolation) -> np.ndarray:
     return out.reshape(weights.shape)
 
 
-def fit(encoded: DataFrame, counts: DataFrame, order: int = ORDER, rounds: int = 12, tolerance: float = 1e-3) -> Interpolation:
+def fit(counts: GramCounts, rounds: int = 12, tolerance: float = 1e-3) -> Interpolation:
     """Weights by expectation maximisation, one event a usable estimate ahead (so none becomes 0).
 
     Ends when no weight moves by more than ``tolerance``, or after ``rounds``.
     """
-    each = encoded.select(F.explode(F.arrays_zip("roles", "sizes")).alias("x")).filter(F.col("x.roles") != HELD)
+    order = counts.order
+    each = counts.chunks.select(F.explode(F.arrays_zip("roles", "sizes")).alias("x")).filter(F.col("x.roles") != HELD)
     sums = {r["roles"]: (r["n"], r["tokens"]) for r in each.groupBy(F.col("x.roles").alias("roles")).agg(F.count("*").alias("n"), F.sum("x.sizes").alias("tokens")).collect()}
     docs, tokens = zip(*(sums.get(half, (0, 0)) for half in (0, 1)))
     words = np.zeros(3, np.int64)
-    for r in counts.filter("chunk IS NULL").toLocalIterator() if sum(docs) else ():
+    for r in counts.known.coalesce(1).toLocalIterator() if sum(docs) else ():
         words += unpack(r["counts"]).astype(np.int64)
     usable = _usable(order, sum(tokens) > 0)
     weights = usable / usable.sum(1, keepdims=True)
     model = Interpolation(order, docs, tokens, tuple(int(w) for w in words), weights)
     if not sum(docs):
         return model
-    bins = held_out_bins(encoded, counts, model)
+    bins = held_out_bins(counts, model)
     for _ in range(rounds):
         events = _expected(bins, model) + usable
         weights = events / events.sum(1, keepdims=True)
@@ -332,41 +389,36 @@ def weight_table(spark, model: Interpolation) -> DataFrame:
     return spark.createDataFrame(rows, "bucket int, seen array<int>, weights array<double>")
 
 
-def score(encoded: DataFrame, counts: DataFrame, model: Interpolation) -> DataFrame:
+def score(counts: GramCounts, model: Interpolation) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
     tokens, docs, base = sum(model.tokens), sum(model.docs), 0.5 * (model.words[2] + 1)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row, chunk, found = _answered(left, right, model.order)
-        both = [c.sum(0) for c in found]
-        estimates, contexts = _estimates(chunk, both, docs, tokens)
-        weights = model.weights[bucket_of(contexts) + np.zeros(len(chunk.role), np.int64)]
-        p = weights[:, 0] * model.uniform(2)
-        for k, estimate in enumerate(estimates):
-            p += weights[:, k + 1] * estimate
-        sums = [np.add.reduceat(x, chunk.first) for x in (both[0] > 0, np.log10((both[0] + 0.5) / (tokens + base)), np.log10(p))]
-        return pa.table(
-            {
-                "doc_id": pa.array(row["ids"], left.schema.field("ids").type.value_type),
-                "held_out": np.array(row["roles"]) == HELD,
-                "n_tokens": chunk.sizes.astype(np.int64),
-                "n_known": sums[0].astype(np.int64),
-                "train_tokens": np.full(len(chunk.sizes), tokens, np.int64),
-                "base_score": sums[1],
-                "score": sums[2],
-            }
-        )
-
-    kind = encoded.schema["ids"].dataType.elementType.simpleString()
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return _joined(encoded, counts, run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, chunk in ((row, part) for row in _rows(batches) for part in _parts(row)):
+            both = [c.sum(0) for c in chunk.counts]
+            estimates, contexts = _estimates(chunk, both, docs, tokens)
+            bucket = bucket_of(contexts) + np.zeros(len(chunk.role), np.int64)
+            p = model.weights[bucket, 0] * model.uniform(2)
+            for k, estimate in enumerate(estimates):
+                p += model.weights[bucket, k + 1] * estimate
+            sums = [np.add.reduceat(x, chunk.first) for x in (both[0] > 0, np.log10((both[0] + 0.5) / (tokens + base)), np.log10(p))]
+            columns = [
+                row["ids"][chunk.rows], np.array(row["roles"][chunk.rows]) == HELD, chunk.sizes, sums[0].astype(np.int64), np.full(len(chunk.sizes), tokens), sums[1], sums[2],
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    id_type = counts.chunks.schema["ids"].dataType.elementType
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    types = [arrow_type(id_type), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    schema = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return counts.chunks.mapInArrow(run, schema)
 
 
 def language_model_scores(docs: DataFrame, order: int = ORDER, id_: str = "doc_id", text: str = "text", role: Column | None = None) -> DataFrame:
     """Scores of all rows under the model learned from those whose ``role`` is a half."""
     encoded = encode(docs, id_, text, roles(F.col(id_)) if role is None else role)
     counts = gram_counts(encoded, order)
-    return score(encoded, counts, fit(encoded, counts, order))
+    return score(counts, fit(counts))
 
 
 def op12_deleted_interpolation_scores(spark, sf_dir: str) -> DataFrame:
