@@ -31,8 +31,8 @@ def is_night(ts: Column) -> Column:
     return (F.hour(ts) >= 22) | (F.hour(ts) < 4)
 
 
-def base_features(ok: DataFrame) -> DataFrame:
-    """Counts, sums and ratios of approved rows."""
+def base_features(ok: DataFrame, within: list[Column] | None = None) -> DataFrame:
+    """Counts, sums and ratios of approved rows per merchant (and per ``within``, e.g. a time window)."""
     buy = _purchase()
     bought = F.when(buy, F.col("amount"))
     n = F.count("*").cast("double")
@@ -44,7 +44,7 @@ def base_features(ok: DataFrame) -> DataFrame:
     low = live.MONITORING_THRESHOLD * 0.9
     near = buy & F.col("amount").between(low, live.MONITORING_THRESHOLD)
     rounded = buy & (F.col("amount") >= 5) & (F.col("amount") % 10 == 0)
-    return ok.groupBy(M).agg(
+    return ok.groupBy(M, *(within or [])).agg(
         F.count("*").alias("txn_count"),
         F.count_if(buy).alias("purchase_count"),
         F.coalesce(F.sum(bought), F.lit(0.0)).alias("total_volume"),

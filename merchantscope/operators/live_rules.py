@@ -81,8 +81,8 @@ def _percent(col: str) -> Column:
     return F.format_string("%.0f", F.col(col) * 100)
 
 
-def placeholders() -> dict[str, Column]:
-    """What ``{{name}}`` in a template stands for."""
+def placeholders(columns: list[str]) -> dict[str, Column]:
+    """What ``{{name}}`` in a template stands for, as far as the columns are there."""
     percent = {
         "cardNotPresentPct": "card_not_present_ratio", "nightPct": "night_ratio",
         "cashEquivalentPct": "cash_equivalent_ratio", "walletLoadPct": "wallet_load_ratio",
@@ -97,14 +97,16 @@ def placeholders() -> dict[str, Column]:
         "descriptorEntropy": "descriptor_entropy", "brandMimicScore": "brand_mimic_score",
         "mccDivergence": "mcc_divergence",
     }
-    out = {k: _percent(v) for k, v in percent.items()}
-    out |= {k: F.format_string("%.2f", F.col(v)) for k, v in two.items()}
-    out["manualEntryPct"] = F.format_string(
-        "%.0f", (F.col("manual_entry_ratio") + F.col("fallback_ratio")) * 100
-    )
-    out["declaredMcc"] = F.col("declared_mcc")
-    out["descriptorCount"] = F.col("descriptor_count").cast("string")
-    out["sharedBankAccountCount"] = F.col("shared_bank_account_count").cast("string")
+    plain = {
+        "declaredMcc": "declared_mcc", "descriptorCount": "descriptor_count",
+        "sharedBankAccountCount": "shared_bank_account_count",
+    }
+    out = {k: _percent(v) for k, v in percent.items() if v in columns}
+    out |= {k: F.format_string("%.2f", F.col(v)) for k, v in two.items() if v in columns}
+    out |= {k: F.col(v).cast("string") for k, v in plain.items() if v in columns}
+    if {"manual_entry_ratio", "fallback_ratio"} <= set(columns):
+        manual = F.col("manual_entry_ratio") + F.col("fallback_ratio")
+        out["manualEntryPct"] = F.format_string("%.0f", manual * 100)
     out["threshold"] = F.format_string("%.0f", F.lit(live.MONITORING_THRESHOLD))
     return out
 
@@ -118,7 +120,7 @@ def render(template: str, values: dict[str, Column]) -> Column:
 
 def evaluate_rules(df: DataFrame, rules: list[Rule] = live.DEFAULT_RULES) -> DataFrame:
     """Add ``rule_hits``: one struct per enabled rule whose conditions all hold."""
-    values = placeholders()
+    values = placeholders(df.columns)
     hits = []
     for r in rules:
         if not r.enabled:

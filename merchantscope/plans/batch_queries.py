@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merchantscope import reference as ref
 from merchantscope.operators import activity, features as ft, peers, scoring as sc
 from merchantscope.plans.workbench import Workbench, tidy
-from merchantscope.session import stage_table
+from merchantscope.session import run_folder, stage_table
+from merchantscope.streaming import bursts as sb
 
 M = "merchant_id"
 
@@ -100,6 +103,25 @@ def event_bursts(b: Workbench) -> DataFrame:
     return tidy(rows.select(M, "burst_id", "n", "amt_mean", "amt_cv", "span_sec", "near_share"))
 
 
+def streamed_bursts(b: Workbench) -> DataFrame:
+    """The same bursts from a stream: the events arrive in three parts, in order of time."""
+    events = b.fixture.events()
+    events = events.withColumn("settlement_amount_usd", F.col("settlement_amount_usd").cast("double"))
+    day = F.col("transaction_date")
+    low, high = events.agg(F.min(day), F.max(day)).first()
+    folder = f"{run_folder(b.spark)}/{uuid.uuid4().hex}"
+    source, out, state = (f"{folder}/{x}" for x in ("events", "sessions", "state"))
+    cuts = [low + (high - low) * k / 3 for k in (1, 2)]
+    late = "30 days"
+    for part in (day <= cuts[0], (day > cuts[0]) & (day <= cuts[1]), day > cuts[1]):
+        events.filter(part).write.mode("append").parquet(source)
+        sb.run_sessions(sb.read_events(b.spark, source, events.schema), out, state, late)
+    sb.heartbeat(b.spark, events.schema, f"{high.year + 1}-12-31 00:00:00").write.mode("append").parquet(source)
+    sb.run_sessions(sb.read_events(b.spark, source, events.schema), out, state, late)
+    rows = sb.finished_bursts(b.spark, out, events.schema)
+    return tidy(rows.select(M, "burst_id", "n", "amt_mean", "amt_cv", "span_sec", "near_share"))
+
+
 def event_split_features(b: Workbench) -> DataFrame:
     """Split features of the event table; a wide CV cut keeps the set non-trivial."""
     rows = ft.bursts(ft.card_hour_counts(b.fixture.events()))
@@ -150,6 +172,7 @@ QUERIES = {
     "descriptor_features": descriptors,
     "monthly_modal_descriptor": modal_descriptor,
     "event_bursts": event_bursts,
+    "streamed_bursts": streamed_bursts,
     "split_bursts": event_split_features,
     "merchant_features": whole_features,
     "interchange_gap": category_norms,

@@ -74,6 +74,13 @@ _EVENT = burst_ctes(
 )
 _WIDE = {**_EVENT, "split": _EVENT["split"].replace("0.20", "0.6")}
 
+_BURSTS = with_views(
+    "SELECT merchant_id, CAST(burst_id AS BIGINT) AS burst_id, n, "
+    "round(amt_mean, 6) AS amt_mean, round(amt_cv, 6) AS amt_cv, "
+    "round(span_sec, 6) AS span_sec, round(near_share, 6) AS near_share FROM burst",
+    _EVENT,
+)
+
 ORACLE = {
     "activity_audit": with_views(_AUDIT),
     "volume_features": features(bq.VOLUME),
@@ -96,12 +103,8 @@ ORACLE = {
     "monthly_modal_descriptor": with_views(
         "SELECT merchant_id, month, merchant_descriptor AS descriptor FROM modal"
     ),
-    "event_bursts": with_views(
-        "SELECT merchant_id, CAST(burst_id AS BIGINT) AS burst_id, n, "
-        "round(amt_mean, 6) AS amt_mean, round(amt_cv, 6) AS amt_cv, "
-        "round(span_sec, 6) AS span_sec, round(near_share, 6) AS near_share FROM burst",
-        _EVENT,
-    ),
+    "event_bursts": _BURSTS,
+    "streamed_bursts": _BURSTS,
     "split_bursts": with_views(f"SELECT merchant_id, {cols(bq.SPLIT)} FROM split", _WIDE),
     "merchant_features": features(bq.WHOLE),
     "interchange_gap": features(bq.NORMS),
