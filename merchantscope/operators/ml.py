@@ -267,28 +267,3 @@ def tree_importance(model: GBTClassificationModel, spark) -> DataFrame:
     """Share of the impurity gain per feature of the boosted head."""
     rows = [(f, float(model.featureImportances[i])) for i, f in enumerate(ref.HEAD_FEATURES)]
     return spark.createDataFrame(rows, "feature string, importance double")
-
-
-# --------------------------------------------------------------- artifacts
-def logistic_artifact(
-    spark, model: LogisticRegressionModel, features: list[str], classes: list[str], metrics: dict
-) -> DataFrame:
-    """One row with everything needed to apply the model elsewhere (write as JSON)."""
-    matrix = [[float(x) for x in row] for row in model.coefficientMatrix.toArray()]
-    intercepts = [float(x) for x in model.interceptVector.toArray()]
-    row = (features, classes, matrix, intercepts, {k: float(v) for k, v in metrics.items()})
-    return spark.createDataFrame(
-        [row],
-        "features array<string>, classes array<string>, coef array<array<double>>, "
-        "intercept array<double>, metrics map<string,double>",
-    )
-
-
-def model_bundle(spark, artifacts: dict[str, str], weights: dict[str, float], tiers) -> DataFrame:
-    """One row naming the model artifacts with ensemble weights and tier cuts."""
-    row = ("merchantscope.models/v1", artifacts, dict(weights), {n: float(c) for n, c in tiers})
-    return spark.createDataFrame(
-        [row],
-        "schema string, artifacts map<string,string>, ensemble_weights map<string,double>, "
-        "tier_cuts map<string,double>",
-    )

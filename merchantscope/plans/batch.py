@@ -12,6 +12,7 @@ from merchantscope.operators import activity, anatomy as an, evaluation as ev, e
 from merchantscope.operators import features as ft, overview as ov, registry as rg
 from merchantscope.operators import scoring as sc
 from merchantscope.operators.evaluation import binary_metrics
+from merchantscope.plans import models
 from merchantscope.session import ensure_conf, stage_table
 from merchantscope.sources import readers, writers
 
@@ -23,6 +24,7 @@ class BatchOptions:
     min_txn: int = 3
     lookback_months: int = 12
     min_peers: int = sc.ref.MIN_PEERS
+    trees: int = 100
 
 
 def gated_features(
@@ -56,9 +58,14 @@ def run_batch(
     bands: DataFrame | None = None,
     options: BatchOptions | None = None,
     labels: DataFrame | None = None,
+    offline: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Run the whole batch over ``folder`` and write its tables below ``out``.
 
+    With ``labels`` the models are measured and the integrity model is fitted; with the
+    labelled training features ``offline`` all three models are. Their artifacts are
+    written below ``out``/models, and the scores beside them come from the stored ones.
+
     The written feature and score tables are read back for the steps that follow, so
     the run survives lost executors and never recomputes the fact.
     """
@@ -112,6 +119,14 @@ def run_batch(
         book_ = sc.ScoreBook()
         weights = ev.weight_importance(spark, {**book_.models(), "composite": book_.composite})
         writers.write_document({"models": tables["model_registry"], "weights": weights}, f"{out}/registry_document")
+        clean = ~(F.coalesce("is_integrity_violation", F.lit(False)) | F.coalesce("is_interchange_abuse", F.lit(False)))
+        marked = scores.join(labels, M, "left").withColumn("is_clean", clean)
+        if offline is None:
+            store, z = models.ModelStore(spark, f"{out}/models"), models.export_integrity(marked, f"{out}/models")
+        else:
+            store, z = models.export_models(marked, offline, f"{out}/models", trees=options.trees)
+            tables["head_scores"] = keep(store.score_head(store.score_category(offline)), "head_scores")
+        tables["model_scores"] = keep(store.score_integrity(z), "model_scores")
     writers.write_json(
         ex.run_metadata(
             {"merchants": view, "transactions": slice_},

@@ -8,6 +8,7 @@ from merchantscope import schemas
 from merchantscope.operators import activity, anatomy as an, explorer as ex, features as ft, lanes, ml, overview as ov
 from merchantscope.operators import scoring as sc
 from merchantscope.operators.ranking import join_in_pieces, top_per_key
+from merchantscope.plans import ml_queries as mq, models
 from merchantscope.plans.batch import BatchOptions, queue_quality, run_batch
 from merchantscope.plans.workbench import workbench
 from merchantscope.sources import catalog, readers, writers
@@ -43,10 +44,22 @@ def tables(spark, book_folder, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("out"))
     labels = b.fixture.labels().withColumn("merchant_id", F.col("merchant_id").cast("string"))
     made = run_batch(spark, book_folder, out, b.fixture.mcc_reference(), b.fixture.bands(),
-                     BatchOptions(lookback_months=120), labels)
+                     BatchOptions(lookback_months=120, trees=5), labels, mq.offline(b))
     return out, made
 
 
+def test_batch_stores_and_applies_its_models(spark, tables):
+    out, made = tables
+    store = models.ModelStore(spark, f"{out}/models")
+    assert store.linear("integrity").first().features == models.Z_FEATURES
+    assert store.trees("head").first().depth > 0 and len(store.linear("category").first().classes) > 1
+    assert set(store.bundle().first().artifacts) == {"integrity", "category", "head"}
+    scored = made["model_scores"].toPandas()
+    assert len(scored) == made["merchant_scores"].count() and scored.model_score.between(0, 100).all()
+    heads = made["head_scores"].toPandas()
+    assert heads.head_score.between(0, 100).all() and heads.category.notna().all()
+
+
 def test_batch_matches_the_direct_scores(spark, tables):
     _, made = tables
     want = {str(r.merchant_id): r.integrity_risk_score for r in workbench(spark, FOLDER).scores.collect()}

@@ -3,8 +3,11 @@
 import numpy as np
 import pytest
 
-from merchantscope.operators import ml
-from merchantscope.plans import ml_queries as mq
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.feature import VectorAssembler
+
+from merchantscope.operators import artifacts as art, ml
+from merchantscope.plans import ml_queries as mq, models
 from merchantscope.plans.workbench import workbench
 
 FOLDER = "/root/testdata/sf0.01"
@@ -52,5 +55,41 @@ def test_category_metrics(offline):
     assert got.top3_accuracy == pytest.approx(np.mean([b < 3 for b in better]))
     wrong = [(labels[int(r.prediction)] != r.declared_mcc, r.abuse) for r in rows]
     assert got.mismatch_recall == pytest.approx(np.mean([w for w, a in wrong if a]))
-    artifact = ml.logistic_artifact(offline.sparkSession, model, ["x"] * 7, labels, {"top1": got.top1_accuracy}).first()
-    assert artifact.classes == labels and len(artifact.coef) == len(labels) == len(artifact.intercept)
+
+
+def test_stored_artifacts_score_as_the_models_do(spark, offline, tmp_path):
+    """All three models are fitted, written, read back and applied to every row."""
+    bench = workbench(spark, FOLDER)
+    store, z = models.export_models(mq.clean_merchants(bench), offline, str(tmp_path), trees=5)
+    head, scored = ml.fit_gbt_head(offline, "abuse", trees=5)
+    want = {r.merchant_id: r.score for r in scored.select("merchant_id", "score").collect()}
+    got = {r.merchant_id: r.head_score for r in store.score_head(offline).collect()}
+    assert got.keys() == want.keys() and max(abs(got[m] - want[m]) for m in want) < 1e-9
+    assert len({round(x, 6) for x in got.values()}) > 10 and len(store.trees("head").first().trees) == 5
+    model, labels, scored = ml.fit_mcc_model(offline)
+    best = {r.merchant_id: (labels[int(r.prediction)], max(r.probability)) for r in scored.collect()}
+    for r in store.score_category(offline).collect():
+        assert abs(r.category_probability - best[r.merchant_id][1]) < 1e-9
+        assert r.category == best[r.merchant_id][0]
+    fitted, _ = ml.fit_integrity_model(mq.clean_merchants(bench))
+    same = ["merchant_id", "model_score", "model_percentile", "model_tier", "model_flag"]
+    assert sorted(store.score_integrity(z).select(*same).collect()) == sorted(ml.rescore(fitted, z).select(*same).collect())
+    bundle = store.bundle().first()
+    assert set(bundle.artifacts) == {"integrity", "category", "head"} and bundle.tier_cuts["High"] == 80.0
+
+
+def test_two_class_and_single_leaf_models_apply(spark, tmp_path):
+    rows = spark.createDataFrame([(float(i), float(i % 3), float(i > 9)) for i in range(20)], "a double, b double, label double")
+    ready = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+    linear = LogisticRegression(regParam=0.1).fit(ready)
+    path = str(tmp_path / "linear")
+    art.write_artifact(art.logistic_artifact(spark, linear, ["a", "b"], ["no", "yes"], {}), path)
+    got = art.apply_logistic(rows, art.read_artifact(spark, path, art.LINEAR), ["a", "b"], "p").select("a", "p").collect()
+    want = {r.a: r.probability for r in linear.transform(ready).collect()}
+    assert all(abs(r.p[k] - want[r.a][k]) < 1e-12 for r in got for k in (0, 1))
+    stump = GBTClassifier(maxIter=2, maxDepth=0).fit(ready)
+    path = str(tmp_path / "stump")
+    art.write_artifact(art.tree_artifact(spark, stump, ["a", "b"]), path)
+    got = art.apply_trees(rows, art.read_artifact(spark, path, art.TREES), ["a", "b"], "p").select("a", "p").collect()
+    want = {r.a: r.probability[1] for r in stump.transform(ready).collect()}
+    assert all(abs(r.p - want[r.a]) < 1e-12 for r in got)
