@@ -2,31 +2,36 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def within_lookback(tx: DataFrame, months: int) -> Column:
+def within_lookback(tx: DataFrame, months: int, latest: dt.date | None = None) -> Column:
     """Predicate ``transaction_date > latest date - months``.
 
-    The latest date is an uncorrelated scalar subquery: Spark evaluates it once
-    (one narrow scan) and filters the fact with a literal, without a join.
+    Unless a laid-out fact tells its ``latest`` date, that is an uncorrelated scalar
+    subquery: Spark evaluates it once (one narrow scan) and filters the fact with a
+    literal, without a join.
     """
+    if latest is not None:
+        return F.col("transaction_date") > F.add_months(F.lit(latest), -months)
     cutoff = tx.agg(F.add_months(F.max("transaction_date"), -months)).scalar()
     return F.col("transaction_date") > cutoff
 
 
-def activity_audit(tx: DataFrame, min_txn: int = 3, lookback_months: int = 12) -> DataFrame:
+def activity_audit(tx: DataFrame, min_txn: int = 3, lookback_months: int = 12, latest: dt.date | None = None) -> DataFrame:
     """One row per merchant in the file, with its gate decision and the reason.
 
     Merchants without rows in the lookback are kept through the same grouped
     pass: every sum is conditional, so neither an anti-join nor a second scan of
     the fact is needed.
     """
-    asof = tx.agg(F.max("transaction_date")).scalar()
+    asof = F.lit(latest) if latest is not None else tx.agg(F.max("transaction_date")).scalar()
     flagged = tx.select(
         "merchant_id", "transaction_date", "settlement_amount_usd", "approved_flag",
-        within_lookback(tx, lookback_months).alias("recent"),
+        within_lookback(tx, lookback_months, latest).alias("recent"),
     )
     recent_date = F.when(F.col("recent"), F.col("transaction_date"))
     audit = (

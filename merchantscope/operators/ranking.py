@@ -18,10 +18,11 @@ def join_in_pieces(df: DataFrame, small: DataFrame, keys: list[str], spread: lis
     """Inner join on key and piece, ``small`` repeated for every piece.
 
     A join on the key alone would bring a large key to one task, and what ranks its
-    pieces afterwards would find the rows already there. ``_piece`` stays for that.
+    pieces afterwards would find the rows already there. ``_piece`` stays for that. Rows
+    that come with a piece (a bucketed table) are joined as they lie.
     """
     every = small.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(KEY_PIECES - 1))))
-    return in_pieces(df, spread).join(every, [*keys, "_piece"])
+    return (df if "_piece" in df.columns else in_pieces(df, spread)).join(every, [*keys, "_piece"])
 
 
 def top_per_key(

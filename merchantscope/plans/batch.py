@@ -36,9 +36,12 @@ def gated_features(
     Filtering merchants after aggregation gives the same rows as filtering
     transactions first, and keeps the fact out of a join.
     """
-    recent = book.transactions.filter(
-        activity.within_lookback(book.transactions, options.lookback_months)
-    )
+    if book.latest is not None:
+        recent = book.timeline.recent(options.lookback_months)
+    else:
+        recent = book.transactions.filter(
+            activity.within_lookback(book.transactions, options.lookback_months)
+        )
     features = ft.merchant_features(recent, book.merchants, mcc_reference, bands)
     return features.join(activity.passing_merchants(audit), M, "left_semi")
 
@@ -78,7 +81,9 @@ def run_batch(
         writers.write_parquet(df, f"{out}/{name}")
         return spark.read.schema(df.schema).parquet(f"{out}/{name}")
 
-    audit = activity.activity_audit(book.transactions, options.min_txn, options.lookback_months)
+    audit = activity.activity_audit(
+        book.transactions, options.min_txn, options.lookback_months, book.latest
+    )
     tables = {"filter_audit": keep(audit, "filter_audit")}
     features = gated_features(book, tables["filter_audit"], mcc_reference, bands, options)
     tables["merchant_features"] = keep(features, "merchant_features")

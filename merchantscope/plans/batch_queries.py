@@ -65,6 +65,12 @@ def activity_audit(b: Workbench, months: int = 12) -> DataFrame:
     return tidy(activity.activity_audit(b.tx, min_txn=95, lookback_months=months))
 
 
+def timeline_audit(b: Workbench, months: int = 12) -> DataFrame:
+    """The same audit of the fact laid out by month and day: the latest date comes from the folders."""
+    laid_out = b.timeline
+    return tidy(activity.activity_audit(laid_out.rows, 95, months, laid_out.latest))
+
+
 def base(cols: list[str]):
     def run(b: Workbench) -> DataFrame:
         return tidy(ft.base_features(b.tx).select(M, *cols))
@@ -158,6 +164,7 @@ def exposure_queue(b: Workbench) -> DataFrame:
 
 QUERIES = {
     "activity_audit": activity_audit,
+    "timeline_audit": timeline_audit,
     "volume_features": base(VOLUME),
     "tenure_features": base(TENURE),
     "channel_mix": base(CHANNEL),

@@ -83,7 +83,7 @@ SLICE_COLUMNS = [M, "transaction_datetime_utc", "settlement_amount_usd", "card_t
 
 
 def slice_of(b, **kw):
-    return ex.transaction_slice(b.tx, b.scores, **kw)
+    return ex.transaction_slice(b.explorer_tx, b.scores, **kw)
 
 
 def transaction_slice(b):

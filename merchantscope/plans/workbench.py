@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,9 @@ from merchantscope.operators import features as ft
 from merchantscope.operators import scoring as sc
 from merchantscope.operators.lanes import data_window
 from merchantscope.plans.live import live_feature_table, score_live
-from merchantscope.session import ensure_conf, stage_table
+from merchantscope.session import ensure_conf, run_folder, stage_table
+from merchantscope.sources.buckets import write_bucketed
+from merchantscope.sources.timeline import Timeline, read_timeline, write_timeline
 from starbook.fixtures import LIVE_TX_SQL, StarFixture
 
 
@@ -32,10 +35,24 @@ class Workbench:
         return stage_table(self.fixture.settlement(), "settlement")
 
     @functools.cached_property
+    def timeline(self) -> Timeline:
+        """The joined fact laid out by month and day."""
+        path = f"{run_folder(self.spark)}/{uuid.uuid4().hex}/timeline"
+        write_timeline(self.tx, path)
+        return read_timeline(self.spark, path, self.tx.schema)
+
+    @functools.cached_property
+    def explorer_tx(self) -> DataFrame:
+        """The fact as the explorer reads it, bucketed by merchant and piece."""
+        name = f"explorer_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        spread = ["merchant_id", "transaction_datetime_utc", "settlement_amount_usd", "card_token_id"]
+        return write_bucketed(self.tx, name, f"{run_folder(self.spark)}/{name}", spread, buckets)
+
+    @property
     def named_tx(self) -> DataFrame:
-        """The explorer's transactions: the fact with merchant names, joined once and stored."""
-        named = self.tx.join(self.merchants.select("merchant_id", "merchant_name"), "merchant_id", "left")
-        return stage_table(named, "named_transactions")
+        """The explorer's transactions: the fact with merchant names, joined where a query reads them."""
+        return self.tx.join(self.merchants.select("merchant_id", "merchant_name"), "merchant_id", "left")
 
     @functools.cached_property
     def merchants(self) -> DataFrame:

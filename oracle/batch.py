@@ -83,6 +83,7 @@ _BURSTS = with_views(
 
 ORACLE = {
     "activity_audit": with_views(_AUDIT),
+    "timeline_audit": with_views(_AUDIT),
     "volume_features": features(bq.VOLUME),
     "tenure_features": features(bq.TENURE),
     "channel_mix": features(bq.CHANNEL),

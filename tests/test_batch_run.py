@@ -60,6 +60,19 @@ def test_batch_stores_and_applies_its_models(spark, tables):
     assert heads.head_score.between(0, 100).all() and heads.category.notna().all()
 
 
+def test_a_book_laid_out_by_time_gives_the_same_features(spark, book_folder, tmp_path):
+    plain = readers.load_book(spark, book_folder)
+    for name in ("dim_merchant", "dim_dba", "dim_corp", "dim_acceptance"):
+        (tmp_path / f"{name}.csv").symlink_to(f"{book_folder}/{name}.csv")
+    writers.write_parquet(plain.transactions, f"{tmp_path}/raw_transactions.parquet")
+    readers.lay_out_book(spark, str(tmp_path))
+    laid_out = readers.load_book(spark, str(tmp_path))
+    assert laid_out.latest == plain.transactions.agg(F.max("transaction_date")).first()[0] and plain.latest is None
+    sums = [F.count("*"), F.round(F.sum("settlement_amount_usd"), 2), F.min("transaction_date")]
+    want = plain.transactions.filter(activity.within_lookback(plain.transactions, 12)).agg(*sums).first()
+    assert laid_out.timeline.recent(12).agg(*sums).first() == want
+
+
 def test_batch_matches_the_direct_scores(spark, tables):
     _, made = tables
     want = {str(r.merchant_id): r.integrity_risk_score for r in workbench(spark, FOLDER).scores.collect()}
