@@ -140,7 +140,7 @@ def archetypes(b):
 
 def rule_hits(b):
     return tidy(b.live_records.select(M, F.inline("rule_hits")).select(
-        M, "rule_id", "typology", "severity", "score"))
+        M, "rule_id", "typology", "severity", "score", "explanation"))
 
 
 def rule_overrides(b):
@@ -286,6 +286,24 @@ def share_quality(b):
     return tidy(ql.share_checks(b.features, ["pct_cnp", "refund_rate_count", "volume_spike_ratio"]))
 
 
+def label_quality(b):
+    labels = b.fixture.labels().withColumn(
+        "typology", F.when(F.col("is_interchange_abuse"), "MCC_ABUSE").otherwise("CLEAN"))
+    return tidy(ql.label_checks(labels, "is_integrity_violation", "typology"))
+
+
+def row_quality(b):
+    """The bounds a book of this kind is asked for: merchants, then transactions."""
+    merchants = ql.row_bounds(b.live_records, 1_000, 5_000).withColumn("table", F.lit("merchants"))
+    return tidy(merchants.unionByName(ql.row_bounds(b.live_tx, 1_000).withColumn("table", F.lit("transactions"))))
+
+
+def enum_quality(b):
+    return tidy(ql.enum_checks(b.live_tx, {
+        "authorization_status": ["approved", "declined"], "entry_mode": ["manual", "chip", "contactless"],
+        "dispute_reason": ["other"]}))
+
+
 def missing(b):
     wanted = b.fixture.table("customer").select(F.col("c_custkey").alias(M))
     return tidy(ql.missing_ids(b.live_records, wanted, M))
@@ -338,4 +356,7 @@ QUERIES = {
     "quality_transactions": quality,
     "quality_shares": share_quality,
     "quality_missing_ids": missing,
+    "quality_labels": label_quality,
+    "quality_rows": row_quality,
+    "quality_enums": enum_quality,
 }

@@ -53,6 +53,13 @@ def trend(b):
     return tidy(ov.monthly_trend(b.tx, b.scores))
 
 
+def cohort(b):
+    """Merchants of one family and category, each column that a case list shows."""
+    shown = [M, "merchant_name", "family", "top_category", "risk_tier", "integrity_risk_score",
+             "gross_sales_usd", "flag_for_investigation"]
+    return tidy(ov.cohort(b.scores, "cash", "crypto_cash").select(*shown))
+
+
 def search(b):
     cols = [M, "merchant_name"]
     return tidy(
@@ -337,6 +344,7 @@ QUERIES = {
     "priority_queue": priority_queue,
     "dba_corp_grouping_sets": hierarchy,
     "monthly_trend": trend,
+    "cohort": cohort,
     "scope_totals": mart(lambda s: ov.scope_totals(s, ["factoring", "cash"])),
     "rule_hits": mart(ov.rule_hits),
     "cohort_summary": mart(ov.cohort_summary),

@@ -262,9 +262,34 @@ def _cond(c: live.Condition) -> str:
     return f"{c.feature} {c.operator} {c.value}"
 
 
+def _whole_percent(c: str) -> str:
+    return f"CAST(CAST(round({c} * 100) AS BIGINT) AS VARCHAR)"
+
+
+#: What the placeholders of the default rules' templates show.
+_SHOWN = {
+    "declaredMcc": "declared_mcc",
+    "mccDivergence": "printf('%.2f', round(mcc_divergence, 2))",
+    "cardNotPresentPct": _whole_percent("card_not_present_ratio"),
+    "nightPct": _whole_percent("night_ratio"),
+    "cashEquivalentPct": _whole_percent("cash_equivalent_ratio"),
+    "notRecognizedPct": _whole_percent("not_recognized_dispute_rate"),
+    "disputePct": _whole_percent("dispute_rate"),
+    "refundPct": _whole_percent("refund_rate"),
+    "crossBorderPct": _whole_percent("cross_border_ratio"),
+}
+
+
+def _explanation(template: str) -> str:
+    sql = f"'{template}'"
+    for name, shown in _SHOWN.items():
+        sql = f"replace({sql}, '{{{{{name}}}}}', {shown})"
+    return sql
+
+
 V["hits"] = " UNION ALL ".join(
     f"SELECT merchant_id, '{r.id}' AS rule_id, '{r.typology}' AS typology, '{r.severity}' AS severity, "
-    f"CAST({r.score} AS DOUBLE) AS score FROM lfeat WHERE " + " AND ".join(_cond(c) for c in r.conditions)
+    f"CAST({r.score} AS DOUBLE) AS score, {_explanation(r.template)} AS explanation FROM lfeat WHERE " + " AND ".join(_cond(c) for c in r.conditions)
     for r in live.DEFAULT_RULES
 )
 V["hitsum"] = (
@@ -623,5 +648,15 @@ O["quality_shares"] = q(" UNION ALL ".join(
 ))
 O["quality_missing_ids"] = q("""
 SELECT c_custkey AS merchant_id FROM customer WHERE c_custkey NOT IN (SELECT merchant_id FROM lm)""")
+O["quality_labels"] = q("""
+SELECT count(*) FILTER (WHERE is_integrity_violation IS NULL) AS missing_labels,
+  count(*) FILTER (WHERE is_integrity_violation = NOT is_interchange_abuse) AS inconsistent_labels FROM lab""")
+O["quality_rows"] = q("""
+SELECT 'merchants' AS "table", count(*) AS "rows", count(*) BETWEEN 1000 AND 5000 AS within_bounds FROM lfeat
+UNION ALL SELECT 'transactions', count(*), count(*) >= 1000 FROM ltx""")
+O["quality_enums"] = q("""
+SELECT 'authorization_status' AS "column", count(*) FILTER (WHERE authorization_status NOT IN ('approved', 'declined')) AS violations FROM ltx
+UNION ALL SELECT 'entry_mode', count(*) FILTER (WHERE entry_mode NOT IN ('manual', 'chip', 'contactless')) FROM ltx
+UNION ALL SELECT 'dispute_reason', count(*) FILTER (WHERE dispute_reason <> 'other') FROM ltx""")
 
 ORACLE = O

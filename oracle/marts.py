@@ -607,3 +607,7 @@ SELECT merchant_id, 'surcharge' AS family, top_category, CAST(CASE top_category
 FROM (SELECT scores.*, vio.surcharge_rate_bps AS rate, vio.pct_txn_surcharged AS share, CASE violation
         WHEN 'Over-cap' THEN 'surcharge_over_cap' WHEN 'Undisclosed' THEN 'surcharge_undisclosed' ELSE 'surcharge_prohibited' END
         AS top_category FROM (SELECT * EXCLUDE (top_category) FROM scores) scores JOIN vio USING (merchant_id))""")
+o["cohort"] = q("""
+SELECT merchant_id, merchant_name, family, top_category, risk_tier, round(integrity_risk_score, 6) AS integrity_risk_score,
+  round(gross_sales_usd, 6) AS gross_sales_usd, CAST(flag_for_investigation AS BIGINT) AS flag_for_investigation
+FROM scores WHERE family = 'cash' AND top_category = 'crypto_cash'""")
