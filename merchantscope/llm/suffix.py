@@ -1,4 +1,4 @@
-"""Repeated byte strings by longest-previous-factor arrays over distributed suffix buckets.
+"""Repeated byte strings by groups of equal windows in suffix buckets (no longest-previous-factor array is built).
 
 A string of ``length`` bytes that also starts in a document with a smaller id is removed
 where it occurs again. Suffixes meet in buckets before they are ordered: every window of
