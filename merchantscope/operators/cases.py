@@ -148,3 +148,24 @@ def file_cases(filed: DataFrame) -> DataFrame:
 def newest_cases(state: DataFrame, shown: int = 50) -> DataFrame:
     """What a panel shows of the state: the newest entries."""
     return state.orderBy(F.desc("filed_at"), F.desc("filing_id")).limit(shown)
+
+
+def fold_patches(log: DataFrame) -> DataFrame:
+    """A log of patches to one row per case, as ``merge_patches`` takes it.
+
+    Expects ``case_id``, ``patched_at`` and ``patch_id``. The newest given value of a field
+    stays; notes and audit entries follow each other by time. Every patch counts once, if the
+    log holds each ``patch_id`` once (a state keyed by it does).
+    """
+    age = F.struct("patched_at", "patch_id")
+    fields = [c for c in ("status", "disposition", "recommended_action", "assigned_analyst") if c in log.columns]
+    logs = [c for c in ("notes", "audit") if c in log.columns]
+
+    def entries(c: str) -> Column:
+        given = F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("patched_at", "patch_id", c))))
+        return F.when(F.size(given) > 0, F.flatten(F.transform(given, lambda e: e[c])))
+
+    return log.groupBy("case_id").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), age)).alias(c) for c in fields],
+        *[entries(c).alias(c) for c in logs],
+    )
