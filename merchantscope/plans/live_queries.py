@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,11 @@ from merchantscope.functions import text
 from merchantscope.operators import (
     cases as cs, entity_graph as eg, evaluation as ev, evidence as ed, explorer as ex, lanes,
     live_features as lf,
-    live_rules as lr, mcc_model as mm, quality as ql,
+    live_rules as lr, mcc_model as mm, quality as ql, rule_rows as rr,
 )
 from merchantscope.plans.workbench import Workbench, tidy
+from merchantscope.session import run_folder
+from merchantscope.sources.state import KeyedState
 
 M = "merchant_id"
 FEATURES = [
@@ -143,6 +147,30 @@ def rule_hits(b):
         M, "rule_id", "typology", "severity", "score", "explanation"))
 
 
+def rule_rows(b):
+    """The default rules as rows of a table."""
+    hits = rr.rule_hit_rows(b.live_features, rr.rules_frame(b.spark), [M])
+    return tidy(hits.select(M, "rule_id", "typology", "severity", "score", "explanation"))
+
+
+def category_rules(b):
+    """A rule per category and state, made from the data: the category's busier merchants of other states."""
+    f = b.live_features
+    ranges = f.groupBy("declared_mcc").agg(F.min("txn_count").alias("low"), F.max("txn_count").alias("high"))
+    made = f.select("declared_mcc", "state").distinct().join(ranges, "declared_mcc")
+
+    def condition(feature, operator, number="NULL", texts="NULL"):
+        return F.expr(f"named_struct('feature', '{feature}', 'operator', '{operator}', 'number', CAST({number} AS DOUBLE), "
+                      f"'text', CAST(NULL AS STRING), 'texts', CAST({texts} AS ARRAY<STRING>))")
+
+    rules = made.select(
+        F.concat_ws("-", "declared_mcc", "state").alias("id"), F.lit("busy elsewhere").alias("name"), F.lit("MCC_ABUSE").alias("typology"),
+        F.lit("LOW").alias("severity"), F.lit(5.0).alias("score"), F.lit("").alias("template"), F.lit(True).alias("enabled"),
+        F.array(condition("declared_mcc", "in", texts="array(declared_mcc)"), condition("state", "not-in", texts="array(state)"),
+                condition("txn_count", ">=", number="low + (high - low) DIV 2")).alias("conditions"))
+    return tidy(rr.matches(f, rules, [M]))
+
+
 def rule_overrides(b):
     """Two rules switched off: hits are recomputed from the stored features."""
     rules = lr.apply_overrides(live.DEFAULT_RULES, {"RULE-MCC-002": False, "RULE-GEN-001": False})
@@ -245,6 +273,16 @@ def filed_cases(b):
     return tidy(cs.file_cases(log))
 
 
+def filed_state(b):
+    """The filing log taken into a keyed state in three batches that do not follow time."""
+    log = b.fixture.events().select(
+        M, F.col("transaction_datetime_utc").alias("filed_at"), F.col("event_id").alias("filing_id"))
+    state = KeyedState(b.spark, f"{run_folder(b.spark)}/{uuid.uuid4().hex}/filed", log.schema, (M,), ("filed_at", "filing_id"), slots=16)
+    for batch in range(3):
+        state.upsert(log.filter(F.pmod("filing_id", F.lit(3)) == batch))
+    return tidy(state.rows())
+
+
 def evidence(b):
     return tidy(ed.evidence_rows(b.live_records))
 
@@ -328,6 +366,8 @@ QUERIES = {
     "mcc_prediction": mcc_prediction,
     "archetype_similarity": archetypes,
     "live_rule_hits": rule_hits,
+    "rule_rows": rule_rows,
+    "category_rules": category_rules,
     "rule_overrides": rule_overrides,
     "peer_population_z": peer_population_z,
     "ensemble_scores": ensemble,
@@ -347,6 +387,7 @@ QUERIES = {
     "case_statuses": case_statuses,
     "engine_samples": engine_samples,
     "filed_cases": filed_cases,
+    "filed_state": filed_state,
     "evidence_rows": evidence,
     "evidence_confidence": confidence,
     "corroboration": corroboration,

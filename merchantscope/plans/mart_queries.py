@@ -13,6 +13,7 @@ from merchantscope.operators import (
 from merchantscope.plans.workbench import Workbench, tidy
 from merchantscope.session import stage_table
 from merchantscope.sources import catalog
+from merchantscope.sources import substrings as sb
 
 M = "merchant_id"
 SIGNALS = ["pct_cnp", "pct_quasi_cash", "pct_round_100", "chargeback_rate_bps", "avg_ticket_usd"]
@@ -69,6 +70,20 @@ def search(b):
     )
 
 
+def indexed_search(b):
+    """The same search through the stored trigrams of ids and names."""
+    found = sb.indexed_search(b.merchant_index, b.scores, M, "#00000000", "integrity_risk_score", k=20)
+    return tidy(found.select(M, "merchant_name", "integrity_risk_score"))
+
+
+def part_search(b):
+    """Words of the parts' types and beginnings of their names, each looked up in all names and types."""
+    part = b.fixture.table("part")
+    words = part.select(F.explode(F.split("p_type", " ")).alias("needle"))
+    needles = words.unionByName(part.select(F.substring("p_name", 1, 2).alias("needle"))).distinct()
+    return tidy(b.part_index.find_all(needles).withColumnRenamed("key", "p_partkey"))
+
+
 def queue(b):
     cased = b.scores.filter(F.col(M) % 10 == 0).select(M)
     view = ov.queue_view(
@@ -349,6 +364,8 @@ QUERIES = {
     "rule_hits": mart(ov.rule_hits),
     "cohort_summary": mart(ov.cohort_summary),
     "entity_search": search,
+    "indexed_entity_search": indexed_search,
+    "indexed_part_search": part_search,
     "queue_view": queue,
     "merchant_view": merchant_view,
     "recent_rows_cap": transaction_slice,

@@ -15,6 +15,7 @@ from merchantscope.operators.lanes import data_window
 from merchantscope.plans.live import live_feature_table, score_live
 from merchantscope.session import ensure_conf, run_folder, stage_table
 from merchantscope.sources.buckets import write_bucketed
+from merchantscope.sources.substrings import SubstringIndex, write_index
 from merchantscope.sources.timeline import Timeline, read_timeline, write_timeline
 from starbook.fixtures import LIVE_TX_SQL, StarFixture
 
@@ -58,6 +59,19 @@ class Workbench:
     def merchants(self) -> DataFrame:
         return self.fixture.merchants()
 
+    def _index(self, df: DataFrame, key: str, cols: list[str]) -> SubstringIndex:
+        path = f"{run_folder(self.spark)}/{uuid.uuid4().hex}/substrings"
+        write_index(df, key, cols, path)
+        return SubstringIndex(self.spark, path, df.schema[key].dataType)
+
+    @functools.cached_property
+    def merchant_index(self) -> SubstringIndex:
+        return self._index(self.merchants, "merchant_id", ["merchant_id", "merchant_name"])
+
+    @functools.cached_property
+    def part_index(self) -> SubstringIndex:
+        return self._index(self.fixture.table("part"), "p_partkey", ["p_name", "p_type"])
+
     @functools.cached_property
     def features(self) -> DataFrame:
         made = ft.merchant_features(

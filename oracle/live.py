@@ -457,6 +457,12 @@ def _arch(name: str) -> str:
 
 O["archetype_similarity"] = q(" UNION ALL ".join(_arch(n) for n in live.ARCHETYPES))
 O["live_rule_hits"] = q("SELECT * FROM hits")
+O["rule_rows"] = O["live_rule_hits"]
+O["category_rules"] = q("""
+SELECT f.merchant_id, r.declared_mcc || '-' || r.state AS rule_id FROM lfeat f JOIN (SELECT merchant_id, state FROM lm) lm USING (merchant_id) JOIN (
+  SELECT b.declared_mcc, m.state, min(low) AS low, min(high) AS high FROM lfeat b JOIN (SELECT merchant_id, state FROM lm) m USING (merchant_id) JOIN (
+    SELECT declared_mcc, min(txn_count) AS low, max(txn_count) AS high FROM lfeat GROUP BY 1) USING (declared_mcc) GROUP BY 1, 2) r
+ON r.declared_mcc = f.declared_mcc AND r.state <> lm.state AND f.txn_count >= r.low + (r.high - r.low) // 2""")
 O["rule_overrides"] = q(
     "SELECT v.rule_id, count(merchant_id) AS hits FROM (VALUES "
     + ", ".join(f"('{r.id}')" for r in live.DEFAULT_RULES)
@@ -586,6 +592,7 @@ SELECT merchant_id, strftime(filed_at, '%Y-%m-%d %H:%M:%S.%f') AS filed_at, fili
   SELECT user_id AS merchant_id, ts AS filed_at, event_id AS filing_id, row_number() OVER (
     PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
 WHERE rn = 1""")
+O["filed_state"] = O["filed_cases"]
 _open = " UNION ALL ".join(
     f"SELECT merchant_id, '{name}' AS section FROM topc WHERE id IN ({_list(openers)}) GROUP BY merchant_id"
     for name, (openers, _) in SUPPORTING.items()

@@ -113,6 +113,12 @@ FROM flg GROUP BY ALL""")
 o["entity_search"] = q("""
 SELECT merchant_id, merchant_name, integrity_risk_score FROM scores
 WHERE lower(merchant_name) LIKE '%#00000000%' ORDER BY integrity_risk_score DESC, merchant_id LIMIT 20""")
+o["indexed_entity_search"] = o["entity_search"]
+o["indexed_part_search"] = """
+WITH needles AS (
+  SELECT unnest(string_split(p_type, ' ')) AS needle FROM part UNION SELECT substr(p_name, 1, 2) FROM part)
+SELECT needle, p_partkey FROM needles JOIN part
+ON contains(lower(p_name), lower(trim(needle))) OR contains(lower(p_type), lower(trim(needle))) WHERE trim(needle) <> ''"""
 
 
 def _elevated() -> str:
