@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CARD_TOKEN = r"^C-\d{6}$"
@@ -19,23 +19,33 @@ def pan_violations(card: Column) -> Column:
 
 def transaction_checks(tx: DataFrame, card: str = "card_id", amount: str = "amount") -> DataFrame:
     """Rows, malformed card tokens, card numbers in the clear, negative amounts."""
+    return tx.agg(F.count("*").alias("rows"), *[c.alias(k) for k, c in transaction_gates(card, amount).items()])
+
+
+def transaction_gates(card: str, amount: str) -> dict[str, Column]:
+    """Violation counts of transactions by name, for a pass of its own or one that writes them."""
     token = F.col(card).cast("string")
-    return tx.agg(
-        F.count("*").alias("rows"),
-        token_violations(token).alias("bad_tokens"),
-        pan_violations(token).alias("clear_pans"),
-        F.count_if(F.col(amount) < 0).alias("negative_amounts"),
-    )
+    return {
+        "bad_tokens": token_violations(token),
+        "clear_pans": pan_violations(token),
+        "negative_amounts": F.count_if(F.col(amount) < 0),
+    }
+
+
+def share_gates(cols: list[str], tolerance: float = 1e-9) -> dict[str, Column]:
+    """Per share column: how many values lie outside [0, 1]."""
+    return {c: F.count_if((F.col(c) < -tolerance) | (F.col(c) > 1 + tolerance)) for c in cols}
+
+
+def gate_rows(spark: SparkSession, seen: dict[str, dict[str, int]]) -> DataFrame:
+    """(table, gate, violations) of the gates that were counted while tables were written."""
+    rows = [(t, g, n) for t, gates in seen.items() for g, n in gates.items() if g != "rows"]
+    return spark.createDataFrame(rows, "table string, gate string, violations long")
 
 
 def share_checks(features: DataFrame, cols: list[str], tolerance: float = 1e-9) -> DataFrame:
     """Per share column: values outside [0, 1]."""
-    once = features.agg(
-        *[
-            F.count_if((F.col(c) < -tolerance) | (F.col(c) > 1 + tolerance)).alias(c)
-            for c in cols
-        ]
-    )
+    once = features.agg(*[n.alias(c) for c, n in share_gates(cols, tolerance).items()])
     pairs = F.array(
         *[F.struct(F.lit(c).alias("feature"), F.col(c).alias("violations")) for c in cols]
     )

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merchantscope import schemas
 from merchantscope.operators import activity, anatomy as an, evaluation as ev, explorer as ex
-from merchantscope.operators import features as ft, overview as ov, registry as rg
+from merchantscope.operators import features as ft, overview as ov, quality as ql, registry as rg
 from merchantscope.operators import scoring as sc
 from merchantscope.operators.evaluation import binary_metrics
 from merchantscope.plans import models
-from merchantscope.session import ensure_conf, stage_table
+from merchantscope.session import ensure_conf, observed, stage_table
 from merchantscope.sources import readers, writers
 
 M = "merchant_id"
+#: Feature columns that are shares; the run counts values outside [0, 1] as it writes them.
+SHARES = ["pct_cnp", "refund_rate_count", "volume_spike_ratio"]
 
 
 @dataclass(frozen=True)
@@ -77,8 +79,12 @@ def run_batch(
     book = readers.load_book(spark, folder)
     bands = bands if bands is not None else ft.interchange_bands(spark)
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        writers.write_parquet(df, f"{out}/{name}")
+    seen: dict[str, dict] = {}
+
+    def keep(df: DataFrame, name: str, gates: dict[str, Column] | None = None) -> DataFrame:
+        watched, seen_here = observed(df, **(gates or {}))
+        writers.write_parquet(watched, f"{out}/{name}")
+        seen[name] = seen_here.get
         return spark.read.schema(df.schema).parquet(f"{out}/{name}")
 
     audit = activity.activity_audit(
@@ -86,7 +92,7 @@ def run_batch(
     )
     tables = {"filter_audit": keep(audit, "filter_audit")}
     features = gated_features(book, tables["filter_audit"], mcc_reference, bands, options)
-    tables["merchant_features"] = keep(features, "merchant_features")
+    tables["merchant_features"] = keep(features, "merchant_features", ql.share_gates(SHARES))
     scored = sc.score_merchants(tables["merchant_features"], min_peers=options.min_peers)
     scores = keep(name_entities(scored, book.dba, book.corp), "merchant_scores")
     tables["merchant_scores"] = scores
@@ -98,7 +104,8 @@ def run_batch(
     tables["entity_rollup"] = keep(ov.hierarchy_rollup(scores), "entity_rollup")
     tables["monthly_trend"] = keep(ov.monthly_trend(book.transactions, scores), "monthly_trend")
     view = keep(ex.merchant_view(scores), "explorer/merchants")
-    slice_ = keep(ex.transaction_slice(book.transactions, view), "explorer/transactions")
+    gates = ql.transaction_gates("card_token_id", "settlement_amount_usd")
+    slice_ = keep(ex.transaction_slice(book.transactions, view), "explorer/transactions", gates)
     tables |= {"merchants": view, "transactions": slice_}
     writers.write_json(view, f"{out}/explorer/merchants_json")
     writers.write_document(
@@ -133,12 +140,16 @@ def run_batch(
             tables["head_scores"] = keep(store.score_head(store.score_category(offline)), "head_scores")
         tables["model_scores"] = keep(store.score_integrity(z), "model_scores")
     writers.write_json(
-        ex.run_metadata(
-            {"merchants": view, "transactions": slice_},
+        ex.written_metadata(
+            spark,
+            {"merchants": (view.columns, seen["explorer/merchants"]["rows"]),
+             "transactions": (slice_.columns, seen["explorer/transactions"]["rows"])},
             {"min_txn": str(options.min_txn), "lookback_months": str(options.lookback_months)},
         ),
         f"{out}/run_metadata",
     )
+    tables["quality"] = ql.gate_rows(spark, seen)
+    writers.write_json(tables["quality"], f"{out}/quality")
     return tables
 
 

@@ -135,6 +135,31 @@ def metadata(b):
     return tidy(meta.select("table", "rows"))
 
 
+REVENUE_BY_REGION = """
+SELECT r_name, o_orderpriority, count(*) AS line_items, sum(l_quantity) AS quantity
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE r_name IN ('ASIA', 'EUROPE') GROUP BY r_name, o_orderpriority"""
+
+
+def sql_by_cost(b: Workbench) -> DataFrame:
+    """A console query over catalog tables, its joins ordered by the tables' statistics."""
+    sql = REVENUE_BY_REGION
+    for name, stored in b.catalog_tables.items():
+        sql = sql.replace(f"FROM {name}\n", f"FROM {stored}\n").replace(f"FROM {name} ", f"FROM {stored} ").replace(f"JOIN {name} ", f"JOIN {stored} ")
+    with catalog.by_cost(b.spark):
+        ordered = stage_table(b.spark.sql(sql), "by_cost")
+    return tidy(ordered)
+
+
+def table_statistics(b: Workbench) -> DataFrame:
+    """Rows and NULLs of every column, as the catalog holds them after its measuring pass."""
+    back = {stored: name for name, stored in b.catalog_tables.items()}
+    names = F.create_map(*[F.lit(x) for kv in back.items() for x in kv])
+    stated = catalog.statistics(b.spark, list(back))
+    return tidy(stated.select(names[F.col("table_name")].alias("table_name"), "column_name", "rows", "nulls"))
+
+
 def sample_sql(name):
     def run(b: Workbench) -> DataFrame:
         # Frames go in by name, so that several folders can be open at once.
@@ -374,6 +399,8 @@ QUERIES = {
     "flagged_first": flagged_first,
     "family_volume": family_volume,
     "run_metadata": metadata,
+    "sql_by_cost": sql_by_cost,
+    "catalog_statistics": table_statistics,
     **{f"sql_{name}": sample_sql(name) for name in catalog.SAMPLE_QUERIES},
     "confusion": confusion,
     "threshold_curve": precision_curve,

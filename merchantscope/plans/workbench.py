@@ -15,6 +15,7 @@ from merchantscope.operators.lanes import data_window
 from merchantscope.plans.live import live_feature_table, score_live
 from merchantscope.session import ensure_conf, run_folder, stage_table
 from merchantscope.sources.buckets import write_bucketed
+from merchantscope.sources.catalog import adopt_table
 from merchantscope.sources.substrings import SubstringIndex, write_index
 from merchantscope.sources.timeline import Timeline, read_timeline, write_timeline
 from starbook.fixtures import LIVE_TX_SQL, StarFixture
@@ -59,6 +60,14 @@ class Workbench:
     def merchants(self) -> DataFrame:
         return self.fixture.merchants()
 
+    @functools.cached_property
+    def catalog_tables(self) -> dict[str, str]:
+        """Driver tables as catalog tables with statistics, over their files: name to catalog name."""
+        made = {t: f"{t}_{uuid.uuid4().hex}" for t in ("region", "nation", "customer", "orders", "lineitem")}
+        for name, stored in made.items():
+            adopt_table(self.spark, stored, f"{self.fixture.folder}/{name}.parquet")
+        return made
+
     def _index(self, df: DataFrame, key: str, cols: list[str]) -> SubstringIndex:
         path = f"{run_folder(self.spark)}/{uuid.uuid4().hex}/substrings"
         write_index(df, key, cols, path)

@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings every job assumes. Partition counts are left to the cluster: AQE
 #: coalesces small shuffle partitions and splits skewed ones at run time.
@@ -80,3 +81,19 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{run_folder(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """``df`` whose rows are counted (``rows``) and aggregated as an action goes over them.
+
+    The figures belong to the first action and cost no job. Write the frame as it is: with
+    no exchange between here and the files a repeated task counts once.
+    """
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()]), seen
+
+
+def stage_counted(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``stage_table`` and figures of its rows, taken while they are written."""
+    watched, seen = observed(df, **metrics)
+    return stage_table(watched, name), seen.get

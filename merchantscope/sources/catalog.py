@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from merchantscope.session import stage_counted
 
 DISPLAY_CAP = 2000
 
@@ -50,6 +55,11 @@ SAMPLE_QUERIES = {
 }
 
 
+#: What a join order by cost needs: estimates from column statistics, and the search itself.
+COST_BASED = ["spark.sql.cbo.enabled", "spark.sql.cbo.joinReorder.enabled", "spark.sql.cbo.planStats.enabled"]
+_MEASURED = (T.NumericType, T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+
+
 @dataclass(frozen=True)
 class QueryResult:
     """``rows`` for display (capped), ``table`` with all rows."""
@@ -82,11 +92,66 @@ def describe(spark: SparkSession, views: list[str]) -> DataFrame:
 def run_query(spark: SparkSession, sql: str, cap: int = DISPLAY_CAP) -> QueryResult:
     """Run any SQL; the display is capped, the total counts all rows.
 
-    The result is written once to the shared folder, so counting and showing do not
-    run the query twice.
+    The result is written once to the shared folder and counted as it is written, so
+    counting and showing do not run the query twice.
     """
-    from merchantscope.session import stage_table
-
-    result = stage_table(spark.sql(sql.strip().rstrip(";")), "console_result")
-    total = result.count()
+    result, seen = stage_counted(spark.sql(sql.strip().rstrip(";")), "console_result")
+    total = seen["rows"]
     return QueryResult(result.limit(cap), total, total > cap, result)
+
+
+def measure(spark: SparkSession, name: str) -> None:
+    """Row count and column statistics of a catalog table, one pass over its columns."""
+    columns = [f"`{f.name}`" for f in spark.table(name).schema if isinstance(f.dataType, _MEASURED)]
+    spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS" + (f" FOR COLUMNS {', '.join(columns)}" if columns else ""))
+
+
+def store_table(df: DataFrame, name: str, path: str) -> None:
+    """A persistent table below ``path``, with statistics."""
+    spark = df.sparkSession
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    df.write.mode("overwrite").option("path", path).saveAsTable(name)
+    measure(spark, name)
+
+
+def adopt_table(spark: SparkSession, name: str, path: str) -> None:
+    """Parquet files that are there already as a catalog table with statistics; nothing is copied."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.catalog.createTable(name, path=path, source="parquet")
+    measure(spark, name)
+
+
+def statistics(spark: SparkSession, names: list[str]) -> DataFrame:
+    """(table, column, type, rows, nulls, distinct) as the catalog holds them, without a scan; NULL where not measured."""
+    out = []
+    for name in names:
+        stated = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()}
+        rows = re.search(r"(\d+) rows", stated.get("Statistics") or "")
+        for c in spark.catalog.listColumns(name):
+            info = {r.info_name: r.info_value for r in spark.sql(f"DESCRIBE EXTENDED {name} `{c.name}`").collect()}
+            nulls, distinct = (info.get(k) for k in ("num_nulls", "distinct_count"))
+            number = [int(x) if x and x.isdigit() else None for x in (rows and rows[1], nulls, distinct)]
+            out.append((name, c.name, c.dataType, *number))
+    schema = "table_name string, column_name string, data_type string, rows long, nulls long, distinct_estimate long"
+    return spark.createDataFrame(out, schema)
+
+
+@contextmanager
+def by_cost(spark: SparkSession) -> Iterator[None]:
+    """Queries planned inside order their joins by the tables' statistics."""
+    before = {k: spark.conf.get(k) for k in COST_BASED}
+    for k in COST_BASED:
+        spark.conf.set(k, "true")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def plan_by_cost(spark: SparkSession, sql: str) -> DataFrame:
+    """A query whose join order is settled here, by cost."""
+    with by_cost(spark):
+        df = spark.sql(sql.strip().rstrip(";"))
+        df._jdf.queryExecution().executedPlan()
+    return df

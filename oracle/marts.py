@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from merchantscope import reference as ref
 from merchantscope.plans.mart_queries import SIGNALS, SLICE_COLUMNS
+from merchantscope.plans.mart_queries import REVENUE_BY_REGION
 from merchantscope.sources.catalog import SAMPLE_QUERIES
 from starbook.fixtures import RECORD_SQL, SURCHARGE_SQL
 from oracle.views import Z_FEATURES, _case, _list, _z, with_views
@@ -202,6 +203,16 @@ FROM tx JOIN scores USING (merchant_id) GROUP BY family""")
 o["run_metadata"] = q("""
 SELECT 'merchants' AS "table", count(*) AS "rows" FROM dim
 UNION ALL SELECT 'transactions', count(*) FROM tx""")
+o["sql_by_cost"] = REVENUE_BY_REGION
+o["catalog_statistics"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS nulls FROM {t}"
+    for t, columns in {
+        "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey",
+        "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+        "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+        "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    }.items() for c in columns.split()
+)
 for _name, _sql in SAMPLE_QUERIES.items():
     body = _sql.strip()
     body = body.replace("SELECT t.transaction_date,", "SELECT strftime(t.transaction_date, '%Y-%m-%d') AS transaction_date,")
