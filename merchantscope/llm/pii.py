@@ -6,7 +6,8 @@ is, a check digit or value range, gazetteers, and words around it. Expectation
 maximisation estimates each labeler's reliability from the counts of vote patterns over
 the whole corpus (their number is bounded by the labelers, not by the data); the
 posteriors then train a logistic span classifier on votes and form, which decides what
-candidates join the base spans.
+candidates join the base spans. Every pair of neighbouring capitalised words is a
+candidate for a name; of accepted ones that share a word the better score stays.
 
 Edge cases: a null text is an empty one; repeated rows get a result each; empty tables
 give empty results; without candidates nothing is added.
@@ -15,7 +16,9 @@ give empty results; without candidates nothing is added.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,7 @@ _WIDER = {
     "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?\b"),
     "ipv6": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
-    "person": re.compile(r"(?<!\w)[A-Z][a-z]{1,20}\x20[A-Z][a-z]{1,20}(?!\w)"),
+    "person": re.compile(r"(?<!\w)(?=([A-Z][a-z]{1,20}\x20[A-Z][a-z]{1,20})(?!\w))"),
 }
 _GIVEN_NAMES = frozenset(
     "james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica "
@@ -97,7 +100,7 @@ def votes(kind: str, found: str, before: str, after: str) -> list[int]:
     digits = re.sub(r"[^0-9]", "", found)
     form = {"email": 1, "phone": 1 if re.search(r"[ ()-]", found) else 0, "local_phone": 1 if found[0] == "(" else 0,
             "national_id": 1, "iban": 1 if " " not in found or len(found.split()[0]) == 4 else -1,
-            "person": 0, "written_email": 1}.get(kind, 1)
+            "person": -1 if found.split()[0].lower() in _CONTEXT["person"].split() else 0, "written_email": 1}.get(kind, 1)
     valid = 0
     if kind == "card":
         valid = 1 if luhn(digits) else -1
@@ -141,8 +144,11 @@ def unpack(code: int) -> tuple[int, list[int], int]:
 def spans_of(text: str) -> tuple[list, list]:
     """Base spans, and candidates outside them: (kind, start, end, vote pattern)."""
     base = base_spans(text)
-    wider = [(KINDS.index(k), *m.span()) for k, p in _WIDER.items() for m in p.finditer(text)]
-    wider = [x for x in wider if not any(x[1] < b[2] and b[1] < x[2] for b in base)] if base else wider
+    wider = [(KINDS.index(k), *m.span(p.groups)) for k, p in _WIDER.items() for m in p.finditer(text)]
+    # of the base spans that start before a candidate ends, the one that reaches farthest tells
+    by_start = sorted((b[1], b[2]) for b in base)
+    starts, reach = [s for s, _ in by_start], [0, *accumulate((e for _, e in by_start), max)]
+    wider = [x for x in wider if reach[bisect_left(starts, x[2])] <= x[1]]
 
     def judged(x: tuple[int, int, int]) -> tuple[int, int, int, int]:
         kind, start, end = x
@@ -223,14 +229,31 @@ def span_classifier(counts: dict[int, int], posterior: dict[int, float], rounds:
     return w
 
 
-def accepted_patterns(found: DataFrame, threshold: float = 0.5) -> set[int]:
-    """Patterns whose candidates the trained classifier accepts."""
+def accepted_patterns(found: DataFrame, threshold: float = 0.5) -> dict[int, float]:
+    """Patterns whose candidates the trained classifier accepts, with their scores."""
     rows = found.select(F.explode(F.concat("base", "wider")).alias("s")).groupBy("s.pattern").agg(F.count("*").alias("n")).collect()
     counts = {r["pattern"]: r["n"] for r in rows}  # bounded by kinds x 3^4 votes x 3 lengths
     if not counts:
-        return set()
+        return {}
     w = span_classifier(counts, reliabilities(counts)[0])
-    return {c for c in counts if 1 / (1 + np.exp(-(_features(c) @ w))) >= threshold}
+    scores = {c: float(1 / (1 + np.exp(-(_features(c) @ w)))) for c in counts}
+    return {c: p for c, p in scores.items() if p >= threshold}
+
+
+def settled(spans: list[dict], scores: dict[int, float]) -> list[dict]:
+    """Accepted candidates of a text without overlaps inside a kind: the better score stays, then the earlier start.
+
+    Only neighbours by start can overlap: a name shares a word with the next pair at most, other kinds have no overlaps.
+    """
+    spans = sorted((s for s in spans if s["pattern"] in scores), key=lambda s: (s["kind"], s["start"]))
+    kept = [False] * len(spans)
+
+    def clash(i: int, j: int) -> bool:
+        return 0 <= j < len(spans) and kept[j] and spans[i]["kind"] == spans[j]["kind"] and spans[i]["start"] < spans[j]["end"] and spans[j]["start"] < spans[i]["end"]
+
+    for i in sorted(range(len(spans)), key=lambda i: (-scores[spans[i]["pattern"]], i)):
+        kept[i] = not (clash(i, i - 1) or clash(i, i + 1))
+    return [s for s, k in zip(spans, kept) if k]
 
 
 def personal_spans(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,7 +272,7 @@ def personal_spans(docs: DataFrame, id_: str = "doc_id", text: str = "text") ->
         for batch in batches:
             base, wider = batch.column("base").to_pylist(), batch.column("wider").to_pylist()
             every = [
-                sorted(plain(b) + plain([x for x in w if x["pattern"] in shared.value]), key=lambda s: (s["kind"], s["start"], s["end"]))
+                sorted(plain(b) + plain(settled(w, shared.value)), key=lambda s: (s["kind"], s["start"], s["end"]))
                 for b, w in zip(base, wider)
             ]
             yield pa.RecordBatch.from_arrays(
