@@ -20,57 +20,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate, chunks, stage_table
+from .common import annotate, batch_of, chunks, stage_table
 from .words import ALNUM, Words
 
-#: Windows of one pass; a larger benchmark takes several passes over the documents.
+#: Distinct windows of one pass; a larger benchmark takes several passes over the documents.
 BLOCK_WINDOWS = 200_000
 SHINGLE = 3
 
+#: A set of items by fingerprint; windows with the same items share one.
+ITEM_SET = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 HITS = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
         T.StructField("starts", T.ArrayType(T.LongType())),
         T.StructField("ends", T.ArrayType(T.LongType())),
-        T.StructField("items", T.ArrayType(T.StringType())),
+        T.StructField("sets", T.ArrayType(ITEM_SET)),
     ]
 )
 
 
 def item_windows(benchmark: DataFrame, window: int, item: str = "item_id", text: str = "text") -> DataFrame:
-    """One row per window: item (string), ``words`` (joined by spaces), ``n`` and shingle hashes."""
-    schema = T.StructType(
-        [
-            T.StructField("item", T.StringType()),
-            T.StructField("words", T.BinaryType()),
-            T.StructField("n", T.IntegerType()),
-            T.StructField("shingles", T.ArrayType(T.LongType())),
-        ]
-    )
+    """One row per window: item (string), ``words`` (joined by spaces) and their number ``n``."""
+    kind = pa.schema([("item", pa.string()), ("words", pa.binary()), ("n", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("item", pa.string()), ("words", pa.binary()), ("n", pa.int32()), ("shingles", pa.list_(pa.int64()))])
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = Words([value or b""], ALNUM)
                 total = len(found.start)
                 size = min(window, total)
-                if not size:
-                    continue
-                width = min(SHINGLE, size)
-                hashes = found.grams(width)[1].view(np.int64)
-                rows = [
-                    {"item": name, "words": found.bytes_of(i, i + size), "n": size, "shingles": hashes[i : i + size - width + 1].tolist()}
-                    for i in range(total - size + 1)
-                ]
-                yield pa.RecordBatch.from_pylist(rows, kind)
+                if size:
+                    words = [found.bytes_of(i, i + size) for i in range(total - size + 1)]
+                    yield batch_of(kind, item=[name] * len(words), words=words, n=[size] * len(words))
 
     named = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("binary").alias("text"))
-    return named.mapInArrow(run, schema)
+    return named.mapInArrow(run, "item string, words binary, n int")
+
+
+def window_sets(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored distinct windows with the fingerprint of their items, and the items of each fingerprint.
+
+    The fingerprint (128 bits, null for a window of unnamed items only) comes from a
+    map-side combined aggregation: a passage in very many items is one row, whose items
+    stay on the executors.
+    """
+    places = stage_table(windows.distinct(), "places")
+    marks = [F.when(F.col("item").isNotNull(), F.xxhash64("item", F.lit(seed))) for seed in (1, 2)]
+    distinct = places.groupBy("words", "n").agg(F.bit_xor(marks[0]).alias("a"), F.bit_xor(marks[1]).alias("b"))
+    distinct = stage_table(distinct, "windows")
+    shown = distinct.filter("a IS NOT NULL").groupBy("a", "b").agg(F.min("words").alias("words"))
+    members = shown.join(places.filter("item IS NOT NULL"), "words").select("a", "b", "item")
+    return distinct, members
 
 
 def shingle_counts(docs: DataFrame, wanted: list[tuple[int, np.ndarray]], text: str) -> dict[int, int]:
@@ -91,28 +95,43 @@ def shingle_counts(docs: DataFrame, wanted: list[tuple[int, np.ndarray]], text:
             yield pa.RecordBatch.from_arrays([pa.array(known[some]), pa.array(total[some])], names=["shingle", "n"])
 
     counted = docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(run, "shingle long, n long")
-    return {r["shingle"]: r["n"] for r in counted.groupBy("shingle").agg(F.sum("n").alias("n")).toLocalIterator()}
+    return {r["shingle"]: r["n"] for r in counted.groupBy("shingle").agg(F.sum("n").alias("n")).collect()}  # wanted ones only
+
+
+def _shingles(rows: list) -> list[tuple[int, np.ndarray]]:
+    """Shingle width and hashes of each window."""
+    out: list = [None] * len(rows)
+    width = np.array([min(SHINGLE, r["n"]) for r in rows])
+    for w in np.unique(width).tolist():
+        which = np.flatnonzero(width == w)
+        found = Words([bytes(rows[i]["words"]) for i in which], ALNUM)
+        at, hashes = found.grams(w)
+        cuts = np.searchsorted(found.doc[at], np.arange(len(which) + 1))
+        for i, low, high in zip(which.tolist(), cuts[:-1], cuts[1:]):
+            out[i] = (w, hashes[low:high].view(np.int64))
+    return out
 
 
-def _prefix_index(rows: list, counts: dict[int, int]) -> list[tuple[int, np.ndarray, list]]:
+def _prefix_index(rows: list, shingles: list[tuple[int, np.ndarray]], counts: dict[int, int]) -> list[tuple[int, np.ndarray, list]]:
     """Per shingle width: sorted prefix shingles and the windows that wait for each."""
-    by_width: dict[int, dict[int, dict]] = defaultdict(lambda: defaultdict(lambda: defaultdict(list)))
-    for r in rows:
-        rarest = min(range(len(r["shingles"])), key=lambda i: (counts.get(r["shingles"][i], 0), r["shingles"][i], i))
-        if counts.get(r["shingles"][rarest], 0):  # else no document has it
-            waiting = by_width[r["n"] - len(r["shingles"]) + 1][r["shingles"][rarest]]
-            waiting[(rarest, r["n"], bytes(r["words"]))].append(r["item"])
+    by_width: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+    for r, (width, hashes) in zip(rows, shingles):
+        values = hashes.tolist()
+        rarest = min(range(len(values)), key=lambda i: (counts.get(values[i], 0), values[i], i))
+        if counts.get(values[rarest], 0):  # else no document has it
+            items = None if r["a"] is None else (r["a"], r["b"])
+            by_width[width][values[rarest]].append((rarest, r["n"], bytes(r["words"]), items))
     return [
-        (width, np.array(sorted(known), np.int64), [[(*k, v) for k, v in known[h].items()] for h in sorted(known)])
+        (width, np.array(sorted(known), np.int64), [known[h] for h in sorted(known)])
         for width, known in sorted(by_width.items())
     ]
 
 
 def _probe(index: list[tuple[int, np.ndarray, list]], texts: list[bytes]) -> tuple[np.ndarray, list[list], list[set]]:
-    """Word counts, covered word ranges and items, per text."""
+    """Word counts, covered word ranges and sets of items, per text."""
     found = Words(texts, ALNUM)
     spans: list[list] = [[] for _ in texts]
-    items: list[set] = [set() for _ in texts]
+    sets: list[set] = [set() for _ in texts]
     for width, known, waiting in index:
         at, hashes = found.grams(width)
         hashes = hashes.view(np.int64)
@@ -120,12 +139,13 @@ def _probe(index: list[tuple[int, np.ndarray, list]], texts: list[bytes]) -> tup
         for k in np.flatnonzero(known[slot] == hashes):
             doc = found.doc[at[k]]
             low, high = found.first[doc], found.first[doc + 1]
-            for offset, n, words, names in waiting[slot[k]]:
+            for offset, n, words, items in waiting[slot[k]]:
                 begin = at[k] - offset
                 if begin >= low and begin + n <= high and found.bytes_of(begin, begin + n) == words:
                     spans[doc].append((int(begin - low), int(begin - low + n)))
-                    items[doc].update(name for name in names if name is not None)
-    return found.counts(), spans, items
+                    if items is not None:
+                        sets[doc].add(items)
+    return found.counts(), spans, sets
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -138,6 +158,35 @@ def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def _hits(docs: DataFrame, distinct: DataFrame, text: str, names: list[str], block_windows: int) -> DataFrame:
+    """Rows (struct ``row``) with HITS (struct ``res``), over blocks of the distinct windows."""
+    blocks = max(1, -(-distinct.count() // block_windows))
+    out = None
+    for block in range(blocks):
+        part = distinct if blocks == 1 else distinct.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
+        rows = part.collect()  # each window once: about block_windows rows
+        shingles = _shingles(rows)
+        wanted: dict[int, list] = defaultdict(list)
+        for width, hashes in shingles:
+            wanted[width].append(hashes)
+        counts = shingle_counts(docs, [(w, np.unique(np.concatenate(h))) for w, h in sorted(wanted.items())], text) if rows else {}
+        index = docs.sparkSession.sparkContext.broadcast(_prefix_index(rows, shingles, counts))
+
+        def first(texts: list[bytes], index=index) -> list[dict]:
+            total, spans, sets = _probe(index.value, texts)
+            runs = [_merged(s) for s in spans]
+            return [
+                {"n_words": int(n), "starts": [a for a, _ in r], "ends": [b for _, b in r], "sets": [{"a": a, "b": b} for a, b in sorted(i)]}
+                for n, r, i in zip(total, runs, sets)
+            ]
+
+        found = annotate(docs, text, first, HITS, [*names] if blocks == 1 else [*dict.fromkeys([*names, text])])
+        out = found if out is None else _joined(out, text, first)
+    if blocks > 1:
+        out = out.select(F.struct(*[F.col(f"row.`{c}`") for c in names]).alias("row"), "res")
+    return out
+
+
 def benchmark_hits(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -148,40 +197,28 @@ def benchmark_hits(
 ) -> DataFrame:
     """Per document (struct ``row``) its hits (struct ``res``: n_words, starts, ends, items).
 
-    Starts and ends are word positions of maximal covered runs. The benchmark is
-    handled in blocks of at most about ``block_windows`` windows, each of which is
-    collected and broadcast; documents never move.
+    Starts and ends are word positions of maximal covered runs. The distinct windows are
+    handled in blocks of about ``block_windows``, each of which is collected and broadcast;
+    documents never move. Items are joined to the rows with hits alone.
     """
-    windows = stage_table(item_windows(benchmark, window), "windows")
-    blocks = max(1, -(-windows.count() // block_windows))
+    distinct, members = window_sets(item_windows(benchmark, window))
     names = keep if keep is not None else docs.columns
-    out = None
-    for block in range(blocks):
-        part = windows if blocks == 1 else windows.filter(F.pmod(F.xxhash64("words"), F.lit(blocks)) == block)
-        rows = list(part.toLocalIterator(prefetchPartitions=False))
-        wanted: dict[int, set] = defaultdict(set)
-        for r in rows:
-            wanted[r["n"] - len(r["shingles"]) + 1].update(r["shingles"])
-        counts = shingle_counts(docs, [(w, np.array(sorted(s), np.int64)) for w, s in sorted(wanted.items())], text) if rows else {}
-        index = docs.sparkSession.sparkContext.broadcast(_prefix_index(rows, counts))
+    found = _hits(docs, distinct, text, names, block_windows)
+    found = stage_table(found.withColumn("at", F.monotonically_increasing_id()), "hits")
+    sets = found.select("at", F.inline("res.sets"))
+    items = sets.join(members, ["a", "b"]).groupBy("at").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
-        def first(texts: list[bytes], index=index) -> list[dict]:
-            total, spans, items = _probe(index.value, texts)
-            runs = [_merged(s) for s in spans]
-            return [
-                {"n_words": int(n), "starts": [a for a, _ in r], "ends": [b for _, b in r], "items": sorted(i)}
-                for n, r, i in zip(total, runs, items)
-            ]
+    def result(rows: DataFrame, items: Column) -> DataFrame:
+        return rows.select("row", F.struct("res.n_words", "res.starts", "res.ends", items.alias("items")).alias("res"))
 
-        found = annotate(docs, text, first, HITS, [*names] if blocks == 1 else [*dict.fromkeys([*names, text])])
-        out = found if out is None else _joined(out, index, text, first)
-    if blocks > 1:
-        out = out.select(F.struct(*[F.col(f"row.`{c}`") for c in names]).alias("row"), "res")
-    return out
+    listed = F.size("res.sets") > 0
+    return result(found.filter(listed).join(items, "at"), F.col("items")).unionByName(
+        result(found.filter(~listed), F.expr("cast(array() as array<string>)"))
+    )
 
 
-def _joined(before: DataFrame, index, text: str, fn) -> DataFrame:
-    """One more block on rows that already carry hits: runs and items are united."""
+def _joined(before: DataFrame, text: str, fn) -> DataFrame:
+    """One more block on rows that already carry hits: runs and sets are united."""
     flat = before.select("row", "res", F.col(f"row.`{text}`").alias("text"))
     both = annotate(flat, "text", fn, HITS, ["row", "res"])
 
@@ -206,14 +243,15 @@ def _joined(before: DataFrame, index, text: str, fn) -> DataFrame:
             F.col("res.n_words").alias("n_words"),
             F.transform(runs, lambda x: x["s"]).alias("starts"),
             F.transform(runs, lambda x: x["e"]).alias("ends"),
-            F.array_sort(F.array_union("row.res.items", "res.items")).alias("items"),
+            F.array_union("row.res.sets", "res.sets").alias("sets"),
         ).alias("res"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text") -> DataFrame:
     """Documents without a hit, columns unchanged."""
-    found = benchmark_hits(docs, benchmark, window, text)
+    distinct, _ = window_sets(item_windows(benchmark, window))
+    found = _hits(docs, distinct, text, docs.columns, BLOCK_WINDOWS)
     return found.filter(F.size("res.starts") == 0).select("row.*")
 
 

@@ -22,3 +22,18 @@ def test_items_without_id_count_as_passages(spark, docs_of, tmp_path):
         mine = got[r.doc_id]
         assert (mine.n_words, mine.n_hit, mine.items_sha256, mine.contaminated) == (r.n_words, r.n_hit, r.items_sha256, r.contaminated)
     assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()] == [3]
+
+
+def test_a_passage_in_many_items(spark, docs_of):
+    """Every item of a hot passage is listed; the windows that reach the driver do not grow with the items."""
+    passage = " ".join(f"word{i}" for i in range(12))
+    named = [(i, f"{passage} own{i}") for i in range(500)] + [(None, passage)] * 500 + [(i, f"{passage} own{i}") for i in range(500)]
+    items = spark.createDataFrame(named, "item_id long, text string").repartition(4)
+    distinct, members = decontaminate.window_sets(decontaminate.item_windows(items, 10))
+    assert distinct.count() == 3 + 500 and members.count() == 500 + 500
+    docs = docs_of([(1, passage), (1, passage), (None, f"{passage} own7"), (2, passage.replace("word5", "other")), (3, None)])
+    for block_windows in (200_000, 100):
+        got = decontaminate.benchmark_hits(docs, items, keep=["doc_id"], block_windows=block_windows).collect()
+        every = sorted(str(i) for i in range(500))
+        rows = sorted((str(r.row.doc_id), r.res.starts, r.res.ends, r.res["items"]) for r in got)
+        assert rows == [("1", [0], [12], every), ("1", [0], [12], every), ("2", [], [], []), ("3", [], [], []), ("None", [0], [13], every)]
