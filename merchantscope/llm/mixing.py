@@ -5,7 +5,9 @@ to a source, so every stretch of the schedule holds the sources in their shares.
 are ranked per source, and slot number r of a source takes block r of that source's
 shuffled word stream (equal blocks of words; the stream runs through the source at
 most ``epochs`` times). Everything is DataFrame work: ranks and prefix sums go over
-(source, piece) totals first, so no source is ever ordered in one task.
+(source, piece) totals first, and over totals of runs of pieces before that, so no source
+is ever ordered in one task. Rows alike in id and size are one counted row until their
+places are dealt, so a share of unnamed or repeated rows, however large, fills no piece.
 
 Edge cases: a null text has no words; the null source is a source, in last place;
 rows without words are taken 0 times; repeated rows are rows of their own; an empty
@@ -24,6 +26,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 GOLDEN, POINTS = 1327217885, 1 << 31
 #: Cells of [0, 2^31) by which slots find their source; rows per piece of a stream.
 CELLS, PIECE, SLOT_PIECE = 4096, 256, 8192
+#: Pieces whose totals are summed together before a source's are; counted rows dealt at a time.
+RUN, DEALT = 4096, 65536
 
 
 def word_sizes(docs: DataFrame, id_: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -61,6 +65,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return stage_table(ends.withColumn("high", F.col("low") + F.col("width")).drop("width"), "targets")
 
 
+def before_piece(totals: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """ix, piece and, under new names, the sums over the source's earlier pieces.
+
+    Totals of runs of pieces are summed up per source, single pieces only inside their run.
+    """
+    runs = totals.withColumn("run", F.expr(f"piece div {RUN}"))
+    whole = runs.groupBy("ix", "run").agg(*[F.sum(c).alias(f"_{o}") for o, c in sums.items()])
+    earlier = Window.unboundedPreceding, -1
+    over = Window.partitionBy("ix").orderBy("run").rowsBetween(*earlier)
+    inside = Window.partitionBy("ix", "run").orderBy("piece").rowsBetween(*earlier)
+    offsets = whole.select("ix", "run", *[F.coalesce(F.sum(f"_{o}").over(over), F.lit(0)).alias(f"_{o}") for o in sums])
+    return runs.join(offsets, ["ix", "run"]).select(
+        "ix", "piece", *[(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_{o}")).alias(o) for o, c in sums.items()]
+    )
+
+
 def schedule(targets: DataFrame, block_words: int) -> DataFrame:
     """slot, ix, block: which block of which source stands at each place of the mix."""
     spark = targets.sparkSession
@@ -74,8 +94,7 @@ def schedule(targets: DataFrame, block_words: int) -> DataFrame:
     placed = spark.range(slots).select(F.col("id").alias("slot"), point.alias("u")).withColumn("cell", F.expr(f"u div {step}"))
     owned = placed.join(cells, "cell").filter("u >= low AND u < high").select("slot", "ix", F.expr(f"slot div {SLOT_PIECE}").alias("piece"))
     counts = owned.groupBy("ix", "piece").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("ix").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("ix", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    offsets = before_piece(counts, {"first": "n"})
     rank = F.row_number().over(Window.partitionBy("ix", "piece").orderBy("slot")) - 1
     return owned.join(offsets, ["ix", "piece"]).select("slot", "ix", (F.col("first") + rank).alias("block"))
 
@@ -88,17 +107,31 @@ def source_streams(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     keyed = sizes.join(targets.select("ix", "source", "source_size", "target"), sizes["source"].eqNullSafe(targets["source"])).select(
         "ix", "doc_id", "size", "h", "source_size", "target", F.shiftright("h", shift).alias("piece")
     )
-    totals = keyed.groupBy("ix", "piece").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-    before = Window.partitionBy("ix").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "ix", "piece", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(o) for c, o in (("words", "first"), ("n", "row0"))]
-    )
-    inside = Window.partitionBy("ix", "piece").orderBy("h", "doc_id", "size")
-    earlier = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return keyed.join(offsets, ["ix", "piece"]).select(
-        "ix", "doc_id", "size", "source_size", "target",
-        (F.col("first") + earlier).alias("at"), (F.col("row0") + F.row_number().over(inside)).alias("row"),
+    # rows alike in key, id and size are interchangeable: they are counted first and dealt their places last
+    alike = keyed.groupBy("ix", "piece", "h", "doc_id", "size", "source_size", "target").agg(F.count("*").alias("n"))
+    totals = keyed.groupBy("ix", "piece").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
+    offsets = before_piece(totals, {"first": "words", "row0": "rows"})
+    inside = Window.partitionBy("ix", "piece").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = alike.join(offsets, ["ix", "piece"]).select(
+        "ix", "doc_id", "size", "source_size", "target", "n",
+        (F.col("first") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0))).alias("at"),
+        (F.col("row0") + F.coalesce(F.sum("n").over(inside), F.lit(0)) + 1).alias("row"),
     )
+    return dealt(placed)
+
+
+def dealt(placed: DataFrame) -> DataFrame:
+    """A row for each of the ``n`` rows that a row counts, each with its own ``at`` and ``row``.
+
+    Counts above DEALT are cut and exchanged before they are written out.
+    """
+    first = F.explode(F.expr("sequence(0L, n - 1)"))
+    many = placed.filter(F.col("n") > DEALT).select("*", F.explode(F.expr(f"sequence(0L, n - 1, {DEALT}L)")).alias("_low"))
+    many = many.repartition("ix", "row", "_low").select("*", F.explode(F.expr(f"sequence(_low, least(_low + {DEALT}, n) - 1)")).alias("_k"))
+    every = placed.filter(F.col("n") <= DEALT).select("*", first.alias("_k")).unionByName(many.drop("_low"))
+    return every.select(
+        "ix", "doc_id", "size", "source_size", "target", (F.col("at") + F.col("_k") * F.col("size")).alias("at"), (F.col("row") + F.col("_k")).alias("row")
+    )
 
 
 def stream_blocks(streams: DataFrame, block_words: int, epochs: int = 2) -> DataFrame:
