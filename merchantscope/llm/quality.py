@@ -190,7 +190,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows that the classifier accepts, columns unchanged."""
-    model = fit(document_statistics(docs, id_, text), labels.filter(learnable(id_)), id_)
+    known = labels.filter(learnable(id_))
+    named = known.filter(F.col("quality").isNotNull()).select(F.col(id_).alias("_label"))
+    labelled = docs.select(id_, text).join(named, F.col(id_) == F.col("_label"), "left_semi")
+    model = fit(document_statistics(labelled, id_, text), known, id_)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(texts: list[bytes]) -> list[dict]:

@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 import corpus_pipeline as cp
 from merchantscope.llm import quality
 from merchantscope.llm.common import table
@@ -79,3 +81,29 @@ def test_stages(spark):
 
 def test_run(spark):
     assert set(cp.run(spark, FOLDER).columns) == {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_odd_and_empty_tables(spark, docs_of, odd_rows, tmp_path, empty):
+    """Nulls, repeated rows, very long texts, clashing columns; then no rows at all."""
+    docs = docs_of([] if empty else odd_rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([] if empty else [(0, 1), (None, 1), (1, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    items = [] if empty else [(1, odd_rows[1][1]), (None, "one two three"), (2, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    current = table(spark, str(tmp_path), "documents")
+    for name, stage in cp.STAGES[:-1]:
+        out = cp.stage_table(stage(spark, current, str(tmp_path)), name)
+        assert out.columns == docs.columns
+        if name == "quality":
+            assert out.count() == docs.count()  # labels of one class: all alike
+        if not empty and name == "near_dedup":
+            assert {30, 31, 55} & {r.doc_id for r in out.collect()} == set()
+        if not empty and name == "decontamination":
+            assert {1, 54} & {r.doc_id for r in out.collect()} == set()
+        current = out
+    last = cp.STAGES[-1][1](spark, current, str(tmp_path)).collect()
+    assert len(last) == current.count() and (empty or len(last) > 20)
+    for k in range(8):
+        slots = sorted(r.slot for r in last if r.shard == k)
+        assert slots == list(range(len(slots)))
