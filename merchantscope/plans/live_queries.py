@@ -121,6 +121,19 @@ def graph_nodes(b):
         F.count_if(F.col("type") == "merchant").alias("merchants")))
 
 
+def graph_edge_rows(b):
+    """Every edge of every merchant's bounded graph, with both ends."""
+    m = b.fixture.live_merchants()
+    return tidy(eg.expand(m, m))
+
+
+def graph_node_rows(b):
+    """Every node with its kind, risk and the known-bad mark."""
+    m = b.fixture.live_merchants()
+    risks = b.live_records.select(M, F.col("final_risk_score").alias("risk"))
+    return tidy(eg.graph_nodes(eg.expand(m, m), b.fixture.known_bad(), risks))
+
+
 def keywords(b):
     words = mm.matched_keywords(
         mm.merchant_texts(b.fixture.live_merchants(), b.live_tx), b.fixture.profiles())
@@ -142,6 +155,19 @@ def archetypes(b):
             e["attributions"][0]["share"].alias("top_share"))))))
 
 
+def mcc_candidates(b):
+    """All candidates of each merchant, the best first."""
+    c = b.live_records.select(M, F.posexplode("mcc_candidates").alias("place", "c"))
+    return tidy(c.select(M, (F.col("place") + 1).alias("place"), "c.mcc", "c.category", "c.probability"))
+
+
+def archetype_attributions(b):
+    """Match and share of every axis of every archetype, in the order shown."""
+    each = b.live_records.select(M, F.explode("archetype_matches").alias("e"))
+    axes = each.select(M, "e.archetype", "e.anchor_mcc", "e.similarity", F.posexplode("e.attributions").alias("place", "a"))
+    return tidy(axes.select(M, "archetype", "anchor_mcc", "similarity", (F.col("place") + 1).alias("place"), "a.id", "a.match", "a.share"))
+
+
 def rule_hits(b):
     return tidy(b.live_records.select(M, F.inline("rule_hits")).select(
         M, "rule_id", "typology", "severity", "score", "explanation"))
@@ -362,9 +388,13 @@ QUERIES = {
     "graph_neighbours": neighbours,
     "graph_edges": graph_edges,
     "graph_nodes": graph_nodes,
+    "graph_edge_rows": graph_edge_rows,
+    "graph_node_rows": graph_node_rows,
     "keyword_matches": keywords,
     "mcc_prediction": mcc_prediction,
     "archetype_similarity": archetypes,
+    "mcc_candidates": mcc_candidates,
+    "archetype_attributions": archetype_attributions,
     "live_rule_hits": rule_hits,
     "rule_rows": rule_rows,
     "category_rules": category_rules,

@@ -432,6 +432,16 @@ SELECT center, count(*) AS nodes, count(*) FILTER (WHERE b) AS known_bad, count(
 FROM (SELECT center, node, node IN (SELECT entity_id FROM bad) AS b,
         node IN (SELECT CAST(merchant_id AS VARCHAR) FROM lm) AS m
       FROM (SELECT center, source AS node FROM edges UNION SELECT center, target FROM edges)) GROUP BY center""")
+O["graph_edge_rows"] = q("SELECT center, source, target, type FROM edges")
+O["graph_node_rows"] = q("""
+SELECT center, node, CASE WHEN r.risk IS NOT NULL THEN 'merchant' ELSE k.kind END AS type,
+  coalesce(r.risk, CASE WHEN bad_node THEN k.hot ELSE k.calm END) AS risk, bad_node AS known_bad
+FROM (SELECT center, node, min(type) AS type, node IN (SELECT entity_id FROM bad) AS bad_node
+      FROM (SELECT center, target AS node, type FROM edges UNION ALL SELECT center, source, NULL FROM edges) GROUP BY center, node) n
+LEFT JOIN (SELECT CAST(merchant_id AS VARCHAR) AS node, final_risk_score AS risk FROM records) r USING (node)
+LEFT JOIN (VALUES ('settles-to', 'bank', 20.0::DOUBLE, 95.0::DOUBLE), ('owned-by', 'owner', 25, 95), ('uses-address', 'address', 15, 15),
+  ('uses-domain', 'domain', 20, 20), ('uses-ip', 'ip', 18, 92), ('uses-device', 'device', 18, 92),
+  ('shares-descriptor', 'descriptor', 22, 22), ('processes-through', 'processor', 12, 12)) k(type, kind, calm, hot) USING (type)""")
 O["keyword_matches"] = q("SELECT merchant_id, string_agg(k, '|' ORDER BY k) AS keywords FROM kw GROUP BY 1")
 O["mcc_prediction"] = q("""
 SELECT merchant_id, declared_mcc, predicted_mcc, round(mcc_confidence, 6) AS mcc_confidence,
@@ -456,6 +466,31 @@ def _arch(name: str) -> str:
 
 
 O["archetype_similarity"] = q(" UNION ALL ".join(_arch(n) for n in live.ARCHETYPES))
+O["mcc_candidates"] = q("""
+SELECT merchant_id, rn AS place, r.mcc, p.category, round(prob, 6) AS probability FROM ranked r JOIN prof p USING (mcc) WHERE rn <= 3""")
+
+
+def _axes(name: str) -> str:
+    """One row per axis of an archetype: its match and its share of the weighted total."""
+    anchor, words, axes = live.ARCHETYPES[name]
+    rows = ", ".join(
+        f"{{'axis': {i}, 'id': '{axis}', 'w': {w}::DOUBLE, 'm': CASE WHEN {f} >= {t} THEN 1.0::DOUBLE "
+        f"ELSE exp(-pow({f} - {t}, 2) / (2 * {s} * {s})) END}}"
+        for i, (axis, f, t, s, w) in enumerate(axes)
+    )
+    return (
+        f"SELECT merchant_id, '{name}' AS archetype, '{anchor}' AS anchor_mcc, (SELECT count(*) FROM kw "
+        f"WHERE kw.merchant_id = lfeat.merchant_id AND k IN ({_list(words)})) AS h, unnest([{rows}], recursive := true) FROM lfeat"
+    )
+
+
+O["archetype_attributions"] = q(
+    "SELECT merchant_id, archetype, anchor_mcc, round(100 * (s + (1 - s) * least(0.35, h * 0.12)), 1) AS similarity, "
+    "row_number() OVER (PARTITION BY merchant_id, archetype ORDER BY share DESC, axis) AS place, id, round(m, 3) AS match, share "
+    "FROM (SELECT *, sum(w * m) OVER a / sum(w) OVER a AS s, "
+    "round(CASE WHEN sum(w * m) OVER a > 0 THEN w * m / sum(w * m) OVER a ELSE 0 END, 3) AS share FROM ("
+    + " UNION ALL ".join(_axes(n) for n in live.ARCHETYPES) + ") WINDOW a AS (PARTITION BY merchant_id, archetype))"
+)
 O["live_rule_hits"] = q("SELECT * FROM hits")
 O["rule_rows"] = O["live_rule_hits"]
 O["category_rules"] = q("""
