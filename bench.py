@@ -19,7 +19,7 @@ from merchantscope.plans import driver  # noqa: E402
 from merchantscope.plans.workbench import workbench  # noqa: E402
 from merchantscope.session import build_session  # noqa: E402
 
-STAGES = ["tx", "features", "scored_z", "live_features", "live_records", "explorer_tx"]
+STAGES = ["tx", "features", "scored_z", "live_features", "live_records", "explorer_tx", "split_ceilings"]
 QUERIES = [
     "activity_audit", "volume_features", "ticket_features", "geo_concentration",
     "card_behaviour", "ticket_percentiles", "monthly_velocity", "descriptor_features",

@@ -100,6 +100,11 @@ def merchant_view(b):
                             "label", "txn_count", "integrity_risk_score"))
 
 
+def merchant_view_rows(b):
+    """Every column of the merchant view."""
+    return tidy(explorer_merchants(b))
+
+
 SLICE_COLUMNS = [M, "transaction_datetime_utc", "settlement_amount_usd", "card_token_id",
                  "merchant_descriptor", "channel"]
 
@@ -117,6 +122,12 @@ def small_slice(b):
     return tidy(slice_of(b, flagged_cap=40, clean_sample=15, clean_cap=25).select(*SLICE_COLUMNS))
 
 
+def slice_rows(b):
+    """Every column of the slice that the fact has, with the merchants' names joined to the rows kept."""
+    kept = slice_of(b, flagged_cap=40, clean_sample=15, clean_cap=25)
+    return tidy(kept.join(b.merchants.select(M, "merchant_name"), M, "left").drop("_piece"))
+
+
 def preview(b):
     return tidy(ex.preview(b.tx.select(*SLICE_COLUMNS, "split_group_id"), b.scores)
                 .select(*SLICE_COLUMNS, "family"))
@@ -244,7 +255,7 @@ def evidence_sample(b):
     tagged = an.tagged_rows(
         b.tx.withColumn("recurring_flag", F.when(F.col("channel") == "RECURRING", "Y")),
         b.scores.filter("flag_for_investigation = 1"),
-        ceilings_of(b),
+        b.split_ceilings,
     )
     out = an.evidence_sample(tagged)
     return tidy(out.select(M, "family", "transaction_datetime_utc", "settlement_amount_usd",
@@ -257,6 +268,17 @@ def fingerprint(b):
                            F.col("scores")[0].alias("top_score"), "lit"))
 
 
+def fingerprint_rows(b):
+    """Each shown category of each merchant with its place and score."""
+    shown = an.fingerprint(b.scores).select(M, F.posexplode(F.arrays_zip("categories", "scores")).alias("place", "e"))
+    return tidy(shown.select(M, (F.col("place") + 1).alias("place"), F.col("e.categories").alias("category"), F.col("e.scores").alias("score")))
+
+
+def queue_rules(b):
+    """The rules of each merchant in the priority queue, one row each."""
+    return tidy(ov.priority_queue(b.scores).select(M, F.posexplode("rules").alias("place", "rule")))
+
+
 def interchange_signature(b):
     return tidy(an.interchange_signature(b.scores))
 
@@ -265,13 +287,8 @@ def split_groups(b):
     return tidy(an.split_groups(b.tx))
 
 
-def ceilings_of(b: Workbench) -> DataFrame:
-    groups = stage_table(an.split_groups(b.tx), "split_groups")
-    return an.split_ceilings(an.split_group_amounts(b.tx, groups))
-
-
 def split_ceilings(b):
-    return tidy(ceilings_of(b))
+    return tidy(b.split_ceilings)
 
 
 def sub_merchants(b):
@@ -393,6 +410,10 @@ QUERIES = {
     "indexed_part_search": part_search,
     "queue_view": queue,
     "merchant_view": merchant_view,
+    "merchant_view_rows": merchant_view_rows,
+    "slice_rows": slice_rows,
+    "fingerprint_rows": fingerprint_rows,
+    "queue_rules": queue_rules,
     "recent_rows_cap": transaction_slice,
     "recent_rows_small_cap": small_slice,
     "slice_preview": preview,

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from merchantscope.operators import anatomy as an
 from merchantscope.operators import features as ft
 from merchantscope.operators import scoring as sc
 from merchantscope.operators.lanes import data_window
@@ -43,6 +44,12 @@ class Workbench:
         write_timeline(self.tx, path)
         return read_timeline(self.spark, path, self.tx.schema)
 
+    @functools.cached_property
+    def split_ceilings(self) -> DataFrame:
+        """Ceilings that split groups stay below, per merchant; several drill-downs read them."""
+        groups = stage_table(an.split_groups(self.tx), "split_groups")
+        return stage_table(an.split_ceilings(an.split_group_amounts(self.tx, groups)), "split_ceilings")
+
     @functools.cached_property
     def explorer_tx(self) -> DataFrame:
         """The fact as the explorer reads it, bucketed by merchant and piece."""

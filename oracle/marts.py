@@ -148,6 +148,21 @@ FROM elev WHERE elevated_signals >= 1 AND merchant_id % 10 <> 0
 o["merchant_view"] = q("""
 SELECT merchant_id, merchant_name, corp_name, mcc_group, family, subtype, label, txn_count,
   integrity_risk_score FROM merchants""")
+_VIEW_NUMBERS = [
+    "gross_sales_usd", "avg_ticket_usd", "pct_cnp", "pct_recurring", "pct_quasi_cash", "pct_round_100", "pct_cross_border",
+    "chargeback_rate_bps", "refund_rate_amount", "effective_interchange_bps", "interchange_advantage_bps",
+    "pct_txn_with_sub_merchant", "integrity_risk_score", "integrity_percentile", "exposure_weighted_score",
+]
+o["merchant_view_rows"] = q(
+    "SELECT merchant_id, merchant_name, corp_name, merchant_city, merchant_country, declared_mcc, mcc_group, txn_count, "
+    "CAST(unique_cards AS BIGINT) AS unique_cards, CAST(n_distinct_descriptors AS BIGINT) AS n_distinct_descriptors, risk_tier, "
+    "top_category, top_pattern, CAST(flag_for_investigation AS BIGINT) AS flag_for_investigation, rule_names, flag_reason, family, "
+    "family_label, subtype, label, " + ", ".join(f"{R.format(c)} AS {c}" for c in _VIEW_NUMBERS) + " FROM merchants"
+)
+o["queue_rules"] = q("""
+SELECT merchant_id, generate_subscripts(r, 1) - 1 AS place, unnest(r) AS rule FROM (
+  SELECT merchant_id, list_filter(string_split(rule_names, '|'), lambda x: x <> '') AS r
+  FROM flg ORDER BY exposure_weighted_score DESC, merchant_id LIMIT 12)""")
 _TX_TIES = [
     "transaction_date", "local_hour", "merchant_descriptor", "sub_merchant_id",
     "settlement_amount_usd", "card_token_id", "issuer_country", "channel", "card_present_flag",
@@ -182,6 +197,19 @@ for _name, _view in (("recent_rows_cap", "wanted"), ("recent_rows_small_cap", "w
         f"SELECT {_SLICE_OUT} FROM (SELECT tx.*, cap, {_latest(_TX_TIES)} AS rn "
         f"FROM tx JOIN {_view} USING (merchant_id)) WHERE rn <= cap"
     )
+_SLICE_TEXT = [
+    "merchant_id", "local_hour", "merchant_descriptor", "sub_merchant_id", "card_token_id", "issuer_country", "channel",
+    "card_present_flag", "token_flag", "approved_flag", "refund_flag", "chargeback_flag", "fraud_flag", "domestic_xborder_flag",
+    "split_group_id", "merchant_name",
+]
+_SLICE_NUMBERS = ["settlement_amount_usd", "interchange_fee_usd", "chargeback_amount_usd"]
+o["slice_rows"] = q(
+    f"SELECT {', '.join(_SLICE_TEXT)}, strftime(transaction_datetime_utc, '%Y-%m-%d %H:%M:%S.%f') AS transaction_datetime_utc, "
+    "strftime(transaction_date, '%Y-%m-%d') AS transaction_date, "
+    + ", ".join(f"{R.format(c)} AS {c}" for c in _SLICE_NUMBERS)
+    + f" FROM (SELECT tx.*, cap, {_latest(_TX_TIES)} AS rn FROM tx JOIN wanted_small USING (merchant_id)) "
+    "LEFT JOIN dim USING (merchant_id) WHERE rn <= cap"
+)
 EXTRA["picks"] = """
 SELECT merchant_id, family FROM (SELECT *, row_number() OVER (PARTITION BY family
     ORDER BY exposure_weighted_score DESC, merchant_id) AS rn FROM flg) WHERE rn = 1 UNION ALL
@@ -413,6 +441,9 @@ SELECT merchant_id, string_agg(category, '|' ORDER BY rn) AS categories, max(sco
   count(*) FILTER (WHERE score >= 90) AS lit
 FROM (SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY score DESC, place) AS rn
       FROM cat_long) WHERE rn <= 6 GROUP BY merchant_id""")
+o["fingerprint_rows"] = q("""
+SELECT merchant_id, rn AS place, category, round(score, 6) AS score FROM (SELECT *, row_number() OVER (
+  PARTITION BY merchant_id ORDER BY score DESC, place) AS rn FROM cat_long) WHERE rn <= 6""")
 o["interchange_signature"] = q(
     "SELECT merchant_id, "
     + ", ".join(
