@@ -16,7 +16,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from merchantscope.plans import driver  # noqa: E402
-from merchantscope.plans.workbench import workbench  # noqa: E402
+from starbook.benches import workbench  # noqa: E402
 from merchantscope.session import build_session  # noqa: E402
 
 STAGES = ["tx", "features", "scored_z", "live_features", "live_records", "explorer_tx", "split_ceilings"]

@@ -1,4 +1,4 @@
-"""Shared stages of the driver queries over one data folder."""
+"""Shared stages of the driver queries over one settlement book."""
 
 from __future__ import annotations
 
@@ -19,19 +19,21 @@ from merchantscope.sources.buckets import write_bucketed
 from merchantscope.sources.catalog import adopt_table
 from merchantscope.sources.substrings import SubstringIndex, write_index
 from merchantscope.sources.timeline import Timeline, read_timeline, write_timeline
-from starbook.fixtures import LIVE_TX_SQL, StarFixture
 
 
 class Workbench:
-    """The settlement book of one folder and the tables every job builds on.
+    """A settlement book and the tables every job builds on.
+
+    ``book`` tells where the inputs are: it has a method for each of them (settlement,
+    merchants, live_transactions, ...) and ``table`` for the tables it was made of.
 
     The joined fact, the feature table and the score table are each written once
     per session and then read by many queries, as in a scheduled batch run.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, book):
         self.spark = ensure_conf(spark)
-        self.fixture = StarFixture(spark, folder)
+        self.fixture = book
 
     @functools.cached_property
     def tx(self) -> DataFrame:
@@ -106,7 +108,7 @@ class Workbench:
 
     @functools.cached_property
     def live_tx(self) -> DataFrame:
-        return self.spark.sql(LIVE_TX_SQL.replace("FROM tx", "FROM {tx}"), tx=self.tx)
+        return self.fixture.live_transactions(self.tx)
 
     @functools.cached_property
     def live_window(self) -> tuple[Column, int]:
@@ -123,21 +125,6 @@ class Workbench:
         return stage_table(score_live(self.live_features, self.fixture.profiles()), "live_records")
 
 
-_benches: dict[tuple[str, str], Workbench] = {}
-
-
-def workbench(spark: SparkSession, folder: str) -> Workbench:
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _benches:
-        _benches[key] = Workbench(spark, folder)
-    return _benches[key]
-
-
-def forget() -> None:
-    """Drop the shared stages, so that the next query builds its own."""
-    _benches.clear()
-
-
 def _rounded(x: Column, dp: int) -> Column:
     """Round half away from zero, in two steps, without a negative zero.
 

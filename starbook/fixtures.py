@@ -313,6 +313,10 @@ class StarFixture:
     def known_bad(self) -> DataFrame:
         return self._sql(KNOWN_BAD_SQL, "region")
 
+    def live_transactions(self, tx: DataFrame) -> DataFrame:
+        """The settlement rows in the form of the live engine."""
+        return self.spark.sql(LIVE_TX_SQL.replace("FROM tx", "FROM {tx}"), tx=tx)
+
     def live_labels(self) -> DataFrame:
         return self._sql(LIVE_LABEL_SQL, "supplier")
 

@@ -10,7 +10,7 @@ from merchantscope.operators import scoring as sc
 from merchantscope.operators.ranking import join_in_pieces, top_per_key
 from merchantscope.plans import ml_queries as mq, models
 from merchantscope.plans.batch import BatchOptions, queue_quality, run_batch
-from merchantscope.plans.workbench import workbench
+from starbook.benches import workbench
 from merchantscope.sources import catalog, readers, writers
 
 FOLDER = "/root/testdata/sf0.001"

@@ -3,7 +3,7 @@
 import pytest
 
 from merchantscope.operators import explorer as ex
-from merchantscope.plans.workbench import workbench
+from starbook.benches import workbench
 
 FOLDER = "/root/testdata/sf0.001"
 

@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 
 from merchantscope.operators import artifacts as art, ml
 from merchantscope.plans import ml_queries as mq, models
-from merchantscope.plans.workbench import workbench
+from starbook.benches import workbench
 
 FOLDER = "/root/testdata/sf0.01"
 
