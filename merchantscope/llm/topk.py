@@ -5,9 +5,10 @@ pivots bound d from below: d(q, v) >= max over pivots |d(q, p) - d(v, p)|. So ea
 candidate has an upper bound of its score; candidates are scored in the order of that
 bound until it falls below the k-th best score found.
 
-Queries and candidates meet in blocks of bounded size (the candidates' blocks are
-salted by row, so a vector that many rows share is no hot key); each meeting keeps k
-rows per query and the best k of those remain.
+Queries and candidates meet in blocks of bounded size; each meeting keeps k rows per
+query and the best k of those remain. Candidates alike in id and vector are counted
+before they are dealt, and k of them are all that an answer can hold; blocks go by id and
+vector, so neither an id nor a vector that many rows share is a hot key.
 
 Edge cases: null vectors, null or non-finite components and null ids take no part;
 vectors of different lengths are not compared; ties go to the smaller id; repeated
@@ -93,6 +94,9 @@ def top_k(
     spark = candidates.sparkSession
     alike = queries.groupBy("id", "v", "dim").agg(F.count("*").alias("copies"))
     queries = stage_table(alike.withColumn("query", F.monotonically_increasing_id()), "queries")
+    once = candidates.groupBy("id", "v", "dim").agg(F.count("*").alias("n"))
+    repeats = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n"), F.lit(k).cast("long"))))
+    candidates = stage_table(once.select("id", "v", "dim", repeats.alias("n")).drop("n"), "candidates")
     sizes = {r["side"]: r["n"] for r in queries.select(F.lit("q").alias("side")).union(candidates.select(F.lit("c"))).groupBy("side").agg(F.count("*").alias("n")).collect()}
     q_blocks, c_blocks = (max(1, -(-sizes.get(s, 0) // size)) for s, size in (("q", query_block), ("c", candidate_block)))
     chosen = candidates.orderBy(F.xxhash64("id"), "id").limit(4 * pivots).collect()
@@ -109,15 +113,15 @@ def top_k(
         numbers, copies, names = (left[x].to_numpy()[at] for x in ("query", "copies", "id"))
         return pd.DataFrame({"query": numbers, "copies": copies, "query_id": names, "vec_id": ids, "score": scores})
 
-    def blocks(id_: str, n: int, salt: int):
-        return F.pmod(F.xxhash64(id_, F.lit(salt)), F.lit(n))
+    def blocks(names: list[str], n: int, salt: int):
+        return F.pmod(F.xxhash64(*names, F.lit(salt)), F.lit(n))
 
     def every(n: int):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
     key = ["qb", "cb", "dim"]
-    left = queries.select("id", "v", "dim", "query", "copies", blocks("query", q_blocks, 1).alias("qb"), every(c_blocks).alias("cb"))
-    right = candidates.select("id", "v", "dim", every(q_blocks).alias("qb"), blocks("id", c_blocks, 2).alias("cb"))
+    left = queries.select("id", "v", "dim", "query", "copies", blocks(["query"], q_blocks, 1).alias("qb"), every(c_blocks).alias("cb"))
+    right = candidates.select("id", "v", "dim", every(q_blocks).alias("qb"), blocks(["id", "v"], c_blocks, 2).alias("cb"))
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(meet, "query long, copies long, query_id long, vec_id long, score long")
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     return (

@@ -59,3 +59,12 @@ def test_repeated_query_ids_are_answered_each(spark, blocks):
     # alike, of another vector, and of another length
     rows += [rows[20]] * 24 + [(40, rows[3][1]), (60, [0.5, 0.25]), (103, [1.0, 0.5]), rows[7]]
     assert run(spark, rows, **blocks) == brute(rows)
+
+
+def test_an_id_and_a_row_of_very_many_rows(spark):
+    """A row 200 times and an id with 150 vectors: answers hold up to k of them."""
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(4)]) for i in range(60)]
+    rows += [(70, [0.9, 0.9, 0.9, 0.9])] * 200 + [(71, [rng.gauss(0, 0.2) for _ in range(4)]) for _ in range(150)]
+    for k in (5, 20):
+        assert run(spark, rows, k, candidate_block=40) == brute(rows, k)
