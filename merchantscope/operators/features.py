@@ -10,12 +10,18 @@ all tasks:
 * ``amount_counts``        (merchant, amount): distinct amounts and exact percentiles
 * ``month_descriptor_counts`` (merchant, month, descriptor): velocity and descriptors
 
+The finer the key and the more tasks, the less a map side combines. ``per_merchant``
+therefore exchanges the rows of ordinary merchants once, pruned, by merchant, after
+which nothing of theirs moves again; only crowded merchants take the spread form.
+
 Joining the fact to the merchant dimension or to the activity gate is not needed:
 both happen on the merchant grain.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +32,8 @@ from merchantscope.operators.ordering import exact_percentiles
 from merchantscope.session import stage_table
 
 M = "merchant_id"
+#: Rows of a merchant beyond which they are not brought together in one task.
+CROWD_ROWS = 500_000
 
 
 # ------------------------------------------------------------------ row flags
@@ -73,6 +81,33 @@ def with_flags(tx: DataFrame, *names: str) -> DataFrame:
     return tx.withColumns({n: flags[n] for n in (names or flags)})
 
 
+# ------------------------------------------------- ordinary and crowded merchants
+def crowded_merchants(tx: DataFrame, limit: int = CROWD_ROWS) -> DataFrame | None:
+    """Merchants of more than ``limit`` rows (and the missing id); None if there are none.
+
+    At most one per ``limit`` rows of the fact, hence small beside it.
+    """
+    sizes = tx.groupBy(M).agg(F.count("*").alias("n"))
+    found = stage_table(sizes.filter((F.col("n") > limit) | F.col(M).isNull()).select(M), "crowded_merchants")
+    return None if found.isEmpty() else found
+
+
+def per_merchant(
+    tx: DataFrame, crowded: DataFrame | None, make: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """``make`` of the fact, whose result is grouped by merchant or finer.
+
+    Rows of ordinary merchants meet in one task per merchant first, so that groupings
+    and windows below the merchant need no exchange of their own. Those of ``crowded``
+    merchants stay where they are and are combined on the map side.
+    """
+    if crowded is None:
+        return make(tx.repartition(M))
+    same = tx[M].eqNullSafe(crowded[M])
+    ordinary = tx.join(F.broadcast(crowded), same, "left_anti").repartition(M)
+    return make(ordinary).unionByName(make(tx.join(F.broadcast(crowded), same, "left_semi")))
+
+
 # ------------------------------------------------------------- pass 1: base
 _SHARES = {
     "pct_cnp": "is_cnp",
@@ -164,10 +199,16 @@ _DIMENSIONS = {
 
 
 def dimension_counts(tx: DataFrame) -> DataFrame:
-    """(merchant, dim, value) -> n, every dimension out of a single scan."""
-    named = tx.select(M, *[make(d).cast("string").alias(d) for d, make in _DIMENSIONS.items()])
+    """(merchant, dim, value) -> n, every dimension out of a single scan.
+
+    Generated rows, unlike unpivoted ones, keep the partitioning by merchant.
+    """
+    named = [
+        F.struct(F.lit(d).alias("dim"), make(d).cast("string").alias("val"))
+        for d, make in _DIMENSIONS.items()
+    ]
     return (
-        named.unpivot([M], list(_DIMENSIONS), "dim", "val")
+        tx.select(M, F.inline(F.array(*named)))
         .filter(F.col("val").isNotNull())
         .groupBy(M, "dim", "val")
         .agg(F.count("*").alias("n"))
@@ -470,20 +511,25 @@ def interchange_bands(spark, bands: dict[str, float] | None = None) -> DataFrame
 
 # ------------------------------------------------------------------ assembly
 def merchant_features(
-    tx: DataFrame, merchants: DataFrame, mcc_reference: DataFrame, bands: DataFrame
+    tx: DataFrame,
+    merchants: DataFrame,
+    mcc_reference: DataFrame,
+    bands: DataFrame,
+    crowd: int = CROWD_ROWS,
 ) -> DataFrame:
-    """The full feature row per merchant.
+    """The full feature row per merchant. ``crowd`` only routes (see ``per_merchant``).
 
     The two pre-aggregates that feed several features are stored first: Spark prunes
     each use differently and would not share their exchange, but scan the fact again.
     The parts are hash-partitioned by merchant already, so assembling them adds no
     exchange of its own.
     """
+    crowded = crowded_merchants(tx, crowd)
     months = stage_table(month_descriptor_counts(tx), "month_descriptor_counts")
-    amounts = stage_table(amount_counts(tx), "amount_counts")
+    amounts = stage_table(per_merchant(tx, crowded, amount_counts), "amount_counts")
     parts = [
-        dimension_features(dimension_counts(tx)),
-        card_burst_features(card_hour_counts(tx)),
+        per_merchant(tx, crowded, lambda t: dimension_features(dimension_counts(t))),
+        per_merchant(tx, crowded, lambda t: card_burst_features(card_hour_counts(t))),
         amount_features(amounts),
         monthly_features(months),
         descriptor_features(months, merchants),

@@ -79,15 +79,17 @@ def base(cols: list[str]):
 
 
 def dimensions(b: Workbench) -> DataFrame:
-    return tidy(ft.dimension_features(ft.dimension_counts(b.tx)))
+    return tidy(ft.per_merchant(b.tx, b.crowded, lambda t: ft.dimension_features(ft.dimension_counts(t))))
 
 
 def cards(b: Workbench) -> DataFrame:
-    return tidy(ft.card_burst_features(ft.card_hour_counts(b.tx)).select(M, *CARDS))
+    rows = ft.per_merchant(b.tx, b.crowded, lambda t: ft.card_burst_features(ft.card_hour_counts(t)))
+    return tidy(rows.select(M, *CARDS))
 
 
 def percentiles(b: Workbench) -> DataFrame:
-    return tidy(ft.amount_features(stage_table(ft.amount_counts(b.tx), "amount_counts")))
+    amounts = stage_table(ft.per_merchant(b.tx, b.crowded, ft.amount_counts), "amount_counts")
+    return tidy(ft.amount_features(amounts))
 
 
 def velocity(b: Workbench) -> DataFrame:

@@ -98,3 +98,36 @@ def test_change_point(spark, hot):
         remote = [(x.issuer_country == "US").mean() for x in (a, b)]
         want = min(1, abs(remote[1] - remote[0]) + abs(pay[1] - pay[0]) / 300)
         assert got.change_point_score[m] == pytest.approx(want)
+
+
+def test_ordinary_and_crowded_merchants_give_the_same(spark, hot):
+    _, df = hot
+    null_ids = df.limit(50).withColumn("merchant_id", F.lit(None).cast("string"))
+    rows = df.unionByName(null_ids)
+    names = ["issuer_bin", "acquirer_bin", "card_acceptor_id", "local_hour"]
+    rows = rows.withColumns({c: F.lit(None).cast("string") for c in names})
+    crowded = ft.crowded_merchants(rows, 1000)
+    assert {r.merchant_id for r in crowded.collect()} == {"HOT", None}
+    assert ft.crowded_merchants(df, 10**6) is None
+    makes = {
+        "dims": lambda t: ft.dimension_features(ft.dimension_counts(t)),
+        "cards": lambda t: ft.card_burst_features(ft.card_hour_counts(t)),
+        "amounts": ft.amount_counts,
+    }
+    for make in makes.values():
+        want = make(rows).toPandas()
+        keys = list(want.columns[:2])
+        for few in (crowded, None, rows.select("merchant_id").distinct()):
+            got = ft.per_merchant(rows, few, make).toPandas()[want.columns]
+            pd.testing.assert_frame_equal(
+                got.sort_values(keys, ignore_index=True), want.sort_values(keys, ignore_index=True))
+
+
+def test_ordinary_merchants_move_once(spark, hot):
+    _, df = hot
+    stored = df.withColumns({c: F.lit(None).cast("string") for c in ["issuer_bin", "acquirer_bin", "card_acceptor_id", "local_hour"]})
+    for make in (lambda t: ft.card_burst_features(ft.card_hour_counts(t)),
+                 lambda t: ft.dimension_features(ft.dimension_counts(t))):
+        plain, once = (ft.per_merchant(stored, None, make), make(stored))
+        exchanges = [d._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(") for d in (plain, once)]
+        assert exchanges[0] == 1 < exchanges[1]
