@@ -11,9 +11,10 @@ moves as a unit (about one per 18 bytes).
 2. Buckets are exchanged once. Equal stretches are one interval of the suffix order with
    a common prefix over their whole length: all but the smallest id are previous factors.
 3. Stretches that differ but share a key (the borders of matches) fetch their bytes, and
-   each bucket gets a suffix order of its windows, by doubling ranks. Inside an interval
-   of common prefix >= ``length``, ordered by id, the previous smaller position exists
-   for all but the first id: their longest previous factor reaches ``length``.
+   each bucket gets a suffix order of its windows, 8 bytes at a time; windows that are
+   alone in their interval leave. Inside an interval of common prefix >= ``length`` a
+   previous smaller position exists for all but the smallest id: their longest previous
+   factor reaches ``length``.
 
 A key that very many different stretches share (seen on a fixed share of the documents;
 this only routes) has its stretches cut into single windows keyed by their own hash.
@@ -257,29 +258,30 @@ def _suffix_order(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
     whole = pa.Table.from_batches(held)
     doc, key, hash_ = (whole.column(c).to_numpy() for c in ("doc", "key", "hash"))
     texts = whole.column("bytes").to_pylist()
-    raw = b"".join(texts) + bytes(2 * length + 16)
+    raw = b"".join(texts)
     edges = np.cumsum([0] + [len(t) for t in texts])
     windows = np.diff(edges) - length + 1
     owner = np.repeat(np.arange(len(texts)), windows)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + edges[owner]
-    # ranks of prefixes: 8 bytes as they are, then doubled; two overlapping halves give the full length
-    rank, size = np.ndarray(len(raw) - 7, np.dtype(">u8"), raw, strides=(1,)).astype(np.uint64), 8
-    while 2 * size <= length:
-        n = len(rank) - size
-        order = np.lexsort((rank[size:], rank[:n]))
-        left, right = rank[:n][order], rank[size:][order]
-        step = np.ones(n, np.uint64)
-        step[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(step)
-        size *= 2
-    left, right = rank[at], rank[at + length - size]
-    order = np.lexsort((doc[owner], right, left))  # the suffix order, an interval's ids ascending
-    left, right, ids = left[order], right[order], doc[owner][order]
-    new = np.ones(len(order), bool)
-    new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
-    earlier = np.empty(len(order), bool)
-    earlier[order] = ids > ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+    # equal windows share a key: intervals of one key are refined by 8 bytes at a time, the last
+    # of them overlapping; a window that is alone in its interval has no previous factor
+    eight = np.ndarray(max(0, len(raw) - 7), np.dtype(">u8"), raw, strides=(1,))
+    order = np.argsort(np.repeat(key, windows), kind="stable")
+    interval = key[owner[order]]
+    for step in [*range(0, length - 8, 8), length - 8]:
+        word = eight[at[order] + step].astype(np.uint64)
+        within = np.lexsort((word, interval))
+        order, interval, word = order[within], interval[within], word[within]
+        new = np.ones(len(order) + 1, bool)
+        new[1:-1] = (interval[1:] != interval[:-1]) | (word[1:] != word[:-1])
+        several = ~(new[:-1] & new[1:])
+        order, interval = order[several], np.cumsum(new[:-1])[several]
+    earlier = np.zeros(len(owner), bool)
+    if len(order):
+        ids = doc[owner[order]]
+        first = np.flatnonzero(np.concatenate(([True], interval[1:] != interval[:-1])))
+        least = np.minimum.reduceat(ids, first)
+        earlier[order] = ids > np.repeat(least, np.diff(np.append(first, len(order))))
     hit = np.flatnonzero(earlier)
     if not len(hit):
         return

@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from merchantscope.llm import suffix
@@ -73,5 +74,21 @@ def test_stretches_cover_every_window():
     assert all(sorted(seen[i]) == list(range(len(t) - 49)) for i, t in enumerate(texts) if len(t) >= 50)
 
 
+def test_suffix_order_sorts_windows_and_lets_lone_ones_go(monkeypatch):
+    """Sorting starts with one row a window; those whose first 8 bytes are theirs alone are not sorted again."""
+    rng = np.random.default_rng(5)
+    shared = bytes(rng.integers(97, 123, 60, dtype=np.uint8))
+    texts = [bytes(rng.integers(97, 123, 64, dtype=np.uint8)) for _ in range(300)] + [b"head" + shared, shared + b"tail!"]
+    ids = [*range(300), 400, 350]
+    columns = [pa.array(ids), pa.array([i % 3 for i in range(300)] + [7, 7]), pa.array(range(302)), pa.array(texts, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["doc", "key", "hash", "bytes"])
+    rows, once = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: rows.append(len(keys[0])) or once(keys))
+    got = [r for b in suffix._suffix_order(iter([batch]), 50) for r in b.to_pylist()]
+    assert [(r["doc"], r["kind"], r["a"], r["b"]) for r in got] == [(400, suffix.PART, 4, 64)]
+    windows = sum(len(t) - 49 for t in texts)
+    assert max(rows) <= windows and sum(rows[1:]) < windows
+
+
 def test_empty(docs_of):
     assert run(docs_of([])) == []
