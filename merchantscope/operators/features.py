@@ -13,6 +13,8 @@ all tasks:
 The finer the key and the more tasks, the less a map side combines. ``per_merchant``
 therefore exchanges the rows of ordinary merchants once, pruned, by merchant, after
 which nothing of theirs moves again; only crowded merchants take the spread form.
+``ticket_flow`` and ``month_flow`` are passes 4 and 5 for ordinary merchants: counts,
+ranks and months in one go over those rows, nothing stored in between.
 
 Joining the fact to the merchant dimension or to the activity gate is not needed:
 both happen on the merchant grain.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from merchantscope import reference as ref
 from merchantscope.functions import text
 from merchantscope.functions.numeric import any_within, entropy_from_sums, flag, share
-from merchantscope.operators.ordering import exact_percentiles
+from merchantscope.operators.ordering import exact_percentiles, small_key_percentiles
 from merchantscope.session import stage_table
 
 M = "merchant_id"
@@ -93,19 +95,23 @@ def crowded_merchants(tx: DataFrame, limit: int = CROWD_ROWS) -> DataFrame | Non
 
 
 def per_merchant(
-    tx: DataFrame, crowded: DataFrame | None, make: Callable[[DataFrame], DataFrame]
+    tx: DataFrame,
+    crowded: DataFrame | None,
+    make: Callable[[DataFrame], DataFrame],
+    spread: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``make`` of the fact, whose result is grouped by merchant or finer.
 
     Rows of ordinary merchants meet in one task per merchant first, so that groupings
     and windows below the merchant need no exchange of their own. Those of ``crowded``
-    merchants stay where they are and are combined on the map side.
+    merchants stay where they are and are combined on the map side, by ``spread`` where
+    ``make`` would order a merchant in one task.
     """
     if crowded is None:
         return make(tx.repartition(M))
     same = tx[M].eqNullSafe(crowded[M])
     ordinary = tx.join(F.broadcast(crowded), same, "left_anti").repartition(M)
-    return make(ordinary).unionByName(make(tx.join(F.broadcast(crowded), same, "left_semi")))
+    return make(ordinary).unionByName((spread or make)(tx.join(F.broadcast(crowded), same, "left_semi")))
 
 
 # ------------------------------------------------------------- pass 1: base
@@ -147,6 +153,10 @@ def base_features(tx: DataFrame) -> DataFrame:
     def sum_if(cond: Column, col: str) -> Column:
         return F.coalesce(F.sum(F.when(cond, F.col(col))), F.lit(0.0))
 
+    def mean(flagged: str) -> Column:
+        # Flags are never missing: all share one row count, where avg() exchanges one each.
+        return F.sum(flagged) / F.count("*")
+
     approved_amount = F.when(ok, F.col("abs_amt"))
     gross = sum_if(ok & ~refund, "abs_amt")
     aggs = t.groupBy(M).agg(
@@ -160,11 +170,11 @@ def base_features(tx: DataFrame) -> DataFrame:
         F.coalesce(F.stddev_samp(approved_amount), F.lit(0.0)).alias("ticket_std_usd"),
         F.min("transaction_date").alias("first_txn_date"),
         F.max("transaction_date").alias("last_txn_date"),
-        *[F.avg(src).alias(name) for name, src in _SHARES.items()],
+        *[mean(src).alias(name) for name, src in _SHARES.items()],
         share(F.col("abs_amt") > 500).alias("pct_ticket_gt_500"),
         share(F.col("abs_amt") < 20).alias("pct_ticket_lt_20"),
-        (F.avg("is_chargeback") * 10000).alias("chargeback_rate_bps"),
-        (F.avg("is_fraud") * 10000).alias("fraud_rate_bps"),
+        (mean("is_chargeback") * 10000).alias("chargeback_rate_bps"),
+        (mean("is_fraud") * 10000).alias("fraud_rate_bps"),
         F.coalesce(F.sum("fraud_amount_usd"), F.lit(0.0)).alias("fraud_usd"),
         F.coalesce(F.sum("chargeback_amount_usd"), F.lit(0.0)).alias("cb_usd"),
         sum_if(ok, "interchange_fee_usd").alias("interchange_fee_usd"),
@@ -389,6 +399,14 @@ def amount_features(counts: DataFrame) -> DataFrame:
     return distinct.join(quantiles, M, "left").na.fill(0.0, ["median_ticket_usd", "p95_ticket_usd"])
 
 
+def ticket_flow(tx: DataFrame) -> DataFrame:
+    """``amount_features`` of the fact for merchants that fit one task."""
+    return small_key_percentiles(
+        amount_counts(tx).filter(F.col("abs_amt").isNotNull()), [M], "abs_amt",
+        {"median_ticket_usd": 0.5, "p95_ticket_usd": 0.95}, n="n_approved", distinct="n_distinct_amounts",
+    ).na.fill(0.0, ["median_ticket_usd", "p95_ticket_usd"])
+
+
 # ------------------------------------------- pass 5: months and descriptors
 def month_descriptor_counts(tx: DataFrame) -> DataFrame:
     """(merchant, month, descriptor) -> rows and absolute volume."""
@@ -456,6 +474,58 @@ def descriptor_features(
     return variety.join(churn, M)
 
 
+def month_flow(
+    tx: DataFrame, merchants: DataFrame, generic: list[str] = ref.DESCRIPTOR_GENERIC_TOKENS
+) -> DataFrame:
+    """``monthly_features`` and ``descriptor_features`` for merchants that fit one task.
+
+    Every window holds the merchant, so all follow one exchange. A month is told by its
+    modal row, a descriptor by its first one.
+    """
+    by_month = Window.partitionBy(M, "month")
+    by_descriptor = Window.partitionBy(M, "descriptor")
+    rows = (
+        month_descriptor_counts(tx)
+        .withColumn("modal", F.row_number().over(by_month.orderBy(F.desc("n"), "descriptor")) == 1)
+        .withColumn("month_amt", F.sum("amt").over(by_month))
+        .withColumn("first", F.row_number().over(by_descriptor.orderBy("month")) == 1)
+        .withColumn("uses", F.sum("n").over(by_descriptor))
+    )
+    # Modal rows come first, in the order of their months.
+    months = Window.partitionBy(M).orderBy(F.desc("modal"), "month")
+    rows = rows.withColumn("prev", F.lag("month_amt").over(months)).withColumn(
+        "before", F.lag("descriptor").over(months)
+    )
+    # Months count once for a merchant that is listed repeatedly.
+    copy = F.row_number().over(Window.partitionBy(M).orderBy("merchant_name"))
+    names = merchants.select(M, "merchant_name").withColumn("copy", copy)
+    named = rows.join(names, M, "left")
+    month = F.col("modal") & (F.coalesce("copy", F.lit(1)) == 1)
+    amt, first, text_of = F.when(month, F.col("month_amt")), F.col("first"), F.col("descriptor")
+    growth = F.when(month, (F.col("month_amt") - F.col("prev")) / F.greatest(F.col("prev"), F.lit(1.0)))
+    return named.groupBy(M).agg(
+        F.count_if(month).alias("active_months"),
+        F.max(amt).alias("max_month_sales_usd"),
+        F.median(amt).alias("median_month_sales_usd"),
+        F.try_divide(F.max(amt), F.sum(amt)).alias("pct_sales_in_top_month"),
+        F.coalesce(F.max(growth), F.lit(0.0)).alias("max_mom_growth"),
+        F.count_if(first).alias("n_distinct_descriptors"),
+        (
+            F.sum(F.when(first & text.has_generic_token(text_of, generic), F.col("uses")).otherwise(0))
+            / F.sum(F.when(first, F.col("uses")))
+        ).alias("pct_generic_descriptor"),
+        F.max(F.when(first, flag(text.looks_like_url(text_of)))).alias("has_url_descriptor"),
+        F.max(F.when(first, text.name_overlap(F.col("merchant_name"), text_of))).alias("descriptor_name_jaccard"),
+        F.count_if(month & (F.col("before") != text_of)).alias("descriptor_changes"),
+    ).withColumn("volume_spike_ratio", F.try_divide("max_month_sales_usd", "median_month_sales_usd"))
+
+
+def month_spread(tx: DataFrame, merchants: DataFrame) -> DataFrame:
+    """The columns of ``month_flow`` for merchants of any size; the counts are stored, as several passes read them."""
+    months = stage_table(month_descriptor_counts(tx), "month_descriptor_counts")
+    return monthly_features(months).join(descriptor_features(months, merchants), M)
+
+
 # ------------------------------------------------------------- category norms
 def with_category_norms(
     features: DataFrame, mcc_reference: DataFrame, bands: DataFrame
@@ -519,20 +589,20 @@ def merchant_features(
 ) -> DataFrame:
     """The full feature row per merchant. ``crowd`` only routes (see ``per_merchant``).
 
-    The two pre-aggregates that feed several features are stored first: Spark prunes
-    each use differently and would not share their exchange, but scan the fact again.
-    The parts are hash-partitioned by merchant already, so assembling them adds no
-    exchange of its own.
+    Tickets and months, whose crowded merchants take jobs of their own, are stored per
+    merchant first. The other parts are hash-partitioned by merchant already, so
+    assembling them adds no exchange of its own.
     """
     crowded = crowded_merchants(tx, crowd)
-    months = stage_table(month_descriptor_counts(tx), "month_descriptor_counts")
-    amounts = stage_table(per_merchant(tx, crowded, amount_counts), "amount_counts")
+    tickets = per_merchant(
+        tx, crowded, ticket_flow, lambda t: amount_features(stage_table(amount_counts(t), "amount_counts"))
+    )
+    months = per_merchant(tx, crowded, lambda t: month_flow(t, merchants), lambda t: month_spread(t, merchants))
     parts = [
         per_merchant(tx, crowded, lambda t: dimension_features(dimension_counts(t))),
         per_merchant(tx, crowded, lambda t: card_burst_features(card_hour_counts(t))),
-        amount_features(amounts),
-        monthly_features(months),
-        descriptor_features(months, merchants),
+        stage_table(tickets, "ticket_features"),
+        stage_table(months, "month_features"),
     ]
     wide = base_features(tx)
     for part in parts:
