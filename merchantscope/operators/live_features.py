@@ -2,17 +2,22 @@
 
 Same construction as the batch features: one base pass plus pre-aggregates on
 (merchant, dimension), (merchant, card, slice), (merchant, amount) and
-(merchant, hour), each map-side combined.
+(merchant, hour), each map-side combined. The finer the key, the less that combines:
+the rows of ordinary merchants are exchanged once instead, for all of these
+(``merchant_flow``), and only crowded merchants take the pre-aggregates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merchantscope import live_reference as live
 from merchantscope.functions import text
 from merchantscope.functions.numeric import entropy_from_sums, flag, ratio0, round_half_up
+from merchantscope.operators.features import CROWD_ROWS, crowded_merchants, per_merchant
 from merchantscope.operators.ordering import exact_percentiles
 from merchantscope.session import stage_table
 
@@ -149,8 +154,12 @@ def ticket_features(ok: DataFrame) -> DataFrame:
         counts, [M], "amount", {"median_ticket": 0.5},
         floor={"p95_ticket": 0.95, "_q1": 0.25, "_q3": 0.75},
     )
+    return _with_bimodality(q)
+
+
+def _with_bimodality(quantiles: DataFrame) -> DataFrame:
     spread = (F.col("_q3") - F.col("_q1")) / (F.col("median_ticket") + 1)
-    return q.withColumn(
+    return quantiles.withColumn(
         "ticket_bimodality",
         F.when(F.col("median_ticket") > 0, F.least(F.lit(1.0), spread)).otherwise(F.lit(0.0)),
     ).drop("_q1", "_q3")
@@ -196,6 +205,91 @@ def change_point(ok: DataFrame) -> DataFrame:
     return at.select(M, F.least(F.lit(1.0), score).alias("change_point_score"))
 
 
+def merchant_flow(ok: DataFrame, seconds: int = live.RAPID_REPEAT_SECONDS) -> DataFrame:
+    """Diversity, card, ticket and change features of merchants that fit one task.
+
+    Every window holds the merchant, so all follow one exchange and nothing is stored in
+    between. A descriptor, signal or card is told by its first row, an hour by the first
+    row of its time; tickets and the median instant by the place of a row in its order.
+    """
+    us = F.unix_micros(F.col("event_ts").cast("timestamp"))
+    rows = ok.select(
+        M, "card_id", "amount", "ecommerce", F.coalesce(_purchase(), F.lit(False)).alias("buy"), us.alias("us"),
+        F.col("merchant_descriptor").alias("descriptor"), F.col("product_signal").alias("signal"),
+    )
+    for dim in ("descriptor", "signal"):
+        same = Window.partitionBy(M, dim)
+        first = F.row_number().over(same.orderBy("us")) == 1
+        rows = rows.withColumn(f"{dim}_n", F.when(first, F.count("*").over(same).cast("double"))).drop(dim)
+    card = Window.partitionBy(M, "card_id").orderBy("us")
+    gap = F.col("us") - F.lag("us").over(card)
+    rows = rows.withColumns({"use": F.row_number().over(card), "gap": gap}).drop("card_id")
+    bought = Window.partitionBy(M, "buy")
+    rows = rows.withColumns({
+        "place": F.row_number().over(bought.orderBy("amount")) - 1, "bought": F.count("*").over(bought),
+    })
+    whole = Window.partitionBy(M)
+    hour = F.floor(F.col("us") / F.lit(3_600_000_000))
+    before = F.lag(hour).over(whole.orderBy("us"))
+    at = F.row_number().over(whole.orderBy("us")) - 1
+    rows = rows.withColumns({"at": at, "new_hour": (at == 0) | ~before.eqNullSafe(hour), "all": F.count("*").over(whole)})
+    middle = F.max(F.when(F.col("at") == F.floor(F.col("all") / 2), F.col("us"))).over(whole)
+    rows = rows.withColumn("middle", middle)
+
+    n = F.count("*").cast("double")
+
+    def entropy(dim: str) -> Column:
+        x = F.col(f"{dim}_n")
+        return entropy_from_sums(F.sum(x), F.sum(x * F.ln(x)), F.count(x), base=2.0)
+
+    def ticket(p: float, side: Callable[[Column], Column]) -> Column:
+        wanted = side(F.lit(float(p)) * (F.col("bought") - 1))
+        return F.max(F.when(F.col("buy") & (F.col("place") == wanted), F.col("amount")))
+
+    position = F.lit(0.5) * (F.max(F.when(F.col("buy"), F.col("bought"))) - 1)
+    low, high = ticket(0.5, F.floor), ticket(0.5, F.ceil)
+    # Rows of one card without a time follow each other; they come first in its order.
+    rapid = (F.col("use") > 1) & (F.col("us").isNull() | (F.col("gap") <= seconds * 1_000_000))
+    early = F.col("us").isNull() | (F.col("us") < F.col("middle"))
+    positive = F.col("amount") > 0
+
+    def halves(x: Column) -> list[Column]:
+        part = F.coalesce(F.sum(F.when(early, x)), F.lit(0)).cast("double")
+        return [part, F.coalesce(F.sum(x), F.lit(0)).cast("double") - part]
+
+    counted = halves(F.lit(1))
+    remote, paid = halves(flag(F.col("ecommerce"))), halves(flag(positive))
+    amount = halves(F.when(positive, F.col("amount")))
+
+    def shift(num: list[Column], den: list[Column]) -> Column:
+        return F.abs(ratio0(num[1], den[1]) - ratio0(num[0], den[0]))
+
+    score = F.least(F.lit(1.0), shift(remote, counted) + shift(amount, paid) / 300)
+    cards = F.count_if(F.col("use") == 1)
+    return _with_bimodality(rows.groupBy(M).agg(
+        F.count("descriptor_n").alias("descriptor_count"),
+        entropy("descriptor").alias("descriptor_entropy"),
+        entropy("signal").alias("category_diversity"),
+        (n / F.count_if("new_hour")).alias("velocity_per_active_hour"),
+        (cards / n).alias("unique_card_ratio"),
+        (F.count_if(F.col("use") == 2) / cards).alias("repeat_card_ratio"),
+        (F.sum(flag(rapid)) / n).alias("rapid_repeat_ratio"),
+        (low + (position - F.floor(position)) * (high - low)).alias("median_ticket"),
+        ticket(0.95, F.floor).alias("p95_ticket"),
+        ticket(0.25, F.floor).alias("_q1"),
+        ticket(0.75, F.floor).alias("_q3"),
+        F.when(F.max("middle").isNotNull(), score).alias("change_point_score"),
+    ))
+
+
+def merchant_spread(ok: DataFrame) -> DataFrame:
+    """The columns of ``merchant_flow`` for merchants of any size."""
+    wide = diversity_features(ok)
+    for part in (card_features(card_slices(ok)), ticket_features(ok), change_point(ok)):
+        wide = wide.join(part, M, "left")
+    return wide
+
+
 def profile_array(profiles: DataFrame) -> DataFrame:
     """All category profiles as one array in one row.
 
@@ -266,15 +360,17 @@ _ROUND = {
 }
 
 
-def merchant_features(tx: DataFrame, merchants: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Profile plus all transaction features; a merchant without rows gets zeros."""
+def merchant_features(
+    tx: DataFrame, merchants: DataFrame, profiles: DataFrame, crowd: int = CROWD_ROWS
+) -> DataFrame:
+    """Profile plus all transaction features; a merchant without rows gets zeros.
+
+    ``crowd`` only routes (see ``per_merchant``).
+    """
     ok = approved(tx)
     parts = [
         base_features(ok),
-        diversity_features(ok),
-        card_features(card_slices(ok)),
-        ticket_features(ok),
-        change_point(ok),
+        per_merchant(ok, crowded_merchants(ok, crowd), merchant_flow, merchant_spread),
     ]
     wide = profile_text_features(merchants)
     made: list[str] = []
