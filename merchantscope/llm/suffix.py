@@ -348,6 +348,8 @@ def removed_spans(docs: DataFrame, length: int = 50, id_: str = "doc_id", text:
     )
     parts = asked.repartition(2 * n, "key").mapInArrow(lambda batches: _suffix_order(batches, length), _FIND)
     result = stage_table(found.filter(F.col("kind") != WANTED).union(parts), "removed")
+    # The texts are exchanged once more below: not beside those that fetched the stretches.
+    free_shuffles(spark)
     apply = apply or (lambda _, runs: ([{"a": a, "b": b} for a, b in runs],))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
