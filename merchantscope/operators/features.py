@@ -31,6 +31,7 @@ from merchantscope import reference as ref
 from merchantscope.functions import text
 from merchantscope.functions.numeric import any_within, entropy_from_sums, flag, share
 from merchantscope.operators.ordering import exact_percentiles, small_key_percentiles
+from merchantscope.operators.ranking import PIECE, WHOLE
 from merchantscope.session import stage_table
 
 M = "merchant_id"
@@ -97,16 +98,23 @@ def crowded_merchants(tx: DataFrame, limit: int = CROWD_ROWS) -> DataFrame | Non
 def per_merchant(
     tx: DataFrame,
     crowded: DataFrame | None,
-    make: Callable[[DataFrame], DataFrame],
+    make: Callable[..., DataFrame],
     spread: Callable[[DataFrame], DataFrame] | None = None,
+    laid: DataFrame | None = None,
 ) -> DataFrame:
     """``make`` of the fact, whose result is grouped by merchant or finer.
 
     Rows of ordinary merchants meet in one task per merchant first, so that groupings
     and windows below the merchant need no exchange of their own. Those of ``crowded``
     merchants stay where they are and are combined on the map side, by ``spread`` where
-    ``make`` would order a merchant in one task.
+    ``make`` would order a merchant in one task. ``laid`` is the fact as it lies in buckets by
+    merchant and piece (``sources.buckets``), if it is stored that way: then nothing is
+    exchanged, and ``make`` is asked to group by both.
     """
+    if laid is not None:
+        whole = F.col(PIECE) == WHOLE
+        ordinary = make(laid.filter(whole), (M, PIECE)).drop(PIECE)
+        return ordinary if crowded is None else ordinary.unionByName((spread or make)(laid.filter(~whole).drop(PIECE)))
     if crowded is None:
         return make(tx.repartition(M))
     same = tx[M].eqNullSafe(crowded[M])
@@ -208,7 +216,7 @@ _DIMENSIONS = {
 }
 
 
-def dimension_counts(tx: DataFrame) -> DataFrame:
+def dimension_counts(tx: DataFrame, by: tuple[str, ...] = (M,)) -> DataFrame:
     """(merchant, dim, value) -> n, every dimension out of a single scan.
 
     Generated rows, unlike unpivoted ones, keep the partitioning by merchant.
@@ -218,14 +226,14 @@ def dimension_counts(tx: DataFrame) -> DataFrame:
         for d, make in _DIMENSIONS.items()
     ]
     return (
-        tx.select(M, F.inline(F.array(*named)))
+        tx.select(*by, F.inline(F.array(*named)))
         .filter(F.col("val").isNotNull())
-        .groupBy(M, "dim", "val")
+        .groupBy(*by, "dim", "val")
         .agg(F.count("*").alias("n"))
     )
 
 
-def dimension_features(counts: DataFrame) -> DataFrame:
+def dimension_features(counts: DataFrame, by: tuple[str, ...] = (M,)) -> DataFrame:
     """Distinct counts, concentration and entropy out of the dimension counts."""
 
     def of(dim: str, x: Column) -> Column:
@@ -245,7 +253,7 @@ def dimension_features(counts: DataFrame) -> DataFrame:
         )
 
     country = total("issuer_country")
-    return counts.groupBy(M).agg(
+    return counts.groupBy(*by).agg(
         distinct("issuer_country").alias("n_issuer_countries"),
         distinct("issuer_bin").alias("n_issuer_bins"),
         (F.sum(of("issuer_country", n * n)) / (country * country)).alias("issuer_country_hhi"),
@@ -261,7 +269,9 @@ def dimension_features(counts: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------- pass 3: cards and bursts
-def card_hour_counts(tx: DataFrame, gap_seconds: int = ref.BURST_GAP_SECONDS) -> DataFrame:
+def card_hour_counts(
+    tx: DataFrame, gap_seconds: int = ref.BURST_GAP_SECONDS, by: tuple[str, ...] = (M,)
+) -> DataFrame:
     """Mergeable moments per (merchant, card, slice of one burst gap).
 
     Rows inside one slice are less than ``gap_seconds`` apart, hence always in the
@@ -274,7 +284,7 @@ def card_hour_counts(tx: DataFrame, gap_seconds: int = ref.BURST_GAP_SECONDS) ->
     )
     return (
         t.withColumn("slice", F.floor(F.col("us") / F.lit(gap_seconds * 1_000_000)))
-        .groupBy(M, "card_token_id", "slice")
+        .groupBy(*by, "card_token_id", "slice")
         .agg(
             F.count("*").alias("n"),
             F.sum("abs_amt").alias("amt"),
@@ -286,13 +296,15 @@ def card_hour_counts(tx: DataFrame, gap_seconds: int = ref.BURST_GAP_SECONDS) ->
     )
 
 
-def bursts(slices: DataFrame, gap_seconds: int = ref.BURST_GAP_SECONDS) -> DataFrame:
+def bursts(
+    slices: DataFrame, gap_seconds: int = ref.BURST_GAP_SECONDS, by: tuple[str, ...] = (M,)
+) -> DataFrame:
     """One row per burst: a run of a card's transactions with gaps <= gap_seconds.
 
     ``span_sec`` sums all gaps of the burst's rows *including* the idle time before
     its first row (0 for the card's first burst); ``inner_span_sec`` leaves it out.
     """
-    by_card = Window.partitionBy(M, "card_token_id").orderBy("slice")
+    by_card = Window.partitionBy(*by, "card_token_id").orderBy("slice")
     gap = (F.col("first_us") - F.lag("last_us").over(by_card)) / F.lit(1_000_000.0)
     marked = (
         slices.filter(F.col("card_token_id").isNotNull())
@@ -304,7 +316,7 @@ def bursts(slices: DataFrame, gap_seconds: int = ref.BURST_GAP_SECONDS) -> DataF
     n = F.sum("n")
     mean = F.sum("amt") / n
     variance = F.greatest(F.sum("amt_sq") - n * mean * mean, F.lit(0.0)) / (n - 1)
-    return marked.groupBy(M, "card_token_id", "burst_id").agg(
+    return marked.groupBy(*by, "card_token_id", "burst_id").agg(
         n.alias("n"),
         mean.alias("amt_mean"),
         F.when(n > 1, F.try_divide(F.sqrt(F.when(n > 1, variance)), mean)).alias("amt_cv"),
@@ -337,13 +349,13 @@ def burst_features(split: DataFrame) -> DataFrame:
     )
 
 
-def card_burst_features(slices: DataFrame) -> DataFrame:
+def card_burst_features(slices: DataFrame, by: tuple[str, ...] = (M,)) -> DataFrame:
     """Card use and split features in one flow over the slices.
 
     Bursts are folded into their card and cards into their merchant; window and
     both first groupings share the partitioning by (merchant, card).
     """
-    rows = bursts(slices)
+    rows = bursts(slices, by=by)
     split = (F.col("n") >= ref.BURST_MIN_SIZE) & (
         F.coalesce("amt_cv", F.lit(0.0)) < ref.BURST_MAX_CV
     )
@@ -351,14 +363,14 @@ def card_burst_features(slices: DataFrame) -> DataFrame:
     def sum_if(col: str) -> Column:
         return F.coalesce(F.sum(F.when(split, F.col(col))), F.lit(0)).cast("double")
 
-    per_card = rows.groupBy(M, "card_token_id").agg(
+    per_card = rows.groupBy(*by, "card_token_id").agg(
         F.sum("n").cast("double").alias("n"),
         F.count_if(split).alias("events"),
         *[sum_if(c).alias(f"_{c}") for c in ("n", "span_sec", "inner_span_sec", "near_share")],
     )
     total, events, split_n = F.sum("n"), F.sum("events"), F.sum("_n")
     zero = F.lit(0.0)
-    return per_card.groupBy(M).agg(
+    return per_card.groupBy(*by).agg(
         F.count("*").alias("unique_cards"),
         share(F.col("n") > 1).alias("pct_cards_multi_use"),
         F.max("n").cast("long").alias("max_txn_single_card"),
@@ -377,11 +389,11 @@ def card_burst_features(slices: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ pass 4: amounts
-def amount_counts(tx: DataFrame) -> DataFrame:
+def amount_counts(tx: DataFrame, by: tuple[str, ...] = (M,)) -> DataFrame:
     """(merchant, absolute amount) -> rows and approved rows."""
     return (
         with_flags(tx, "abs_amt", "approved")
-        .groupBy(M, "abs_amt")
+        .groupBy(*by, "abs_amt")
         .agg(F.count("*").alias("n"), F.sum("approved").alias("n_approved"))
     )
 
@@ -399,10 +411,10 @@ def amount_features(counts: DataFrame) -> DataFrame:
     return distinct.join(quantiles, M, "left").na.fill(0.0, ["median_ticket_usd", "p95_ticket_usd"])
 
 
-def ticket_flow(tx: DataFrame) -> DataFrame:
+def ticket_flow(tx: DataFrame, by: tuple[str, ...] = (M,)) -> DataFrame:
     """``amount_features`` of the fact for merchants that fit one task."""
     return small_key_percentiles(
-        amount_counts(tx).filter(F.col("abs_amt").isNotNull()), [M], "abs_amt",
+        amount_counts(tx, by).filter(F.col("abs_amt").isNotNull()), [*by], "abs_amt",
         {"median_ticket_usd": 0.5, "p95_ticket_usd": 0.95}, n="n_approved", distinct="n_distinct_amounts",
     ).na.fill(0.0, ["median_ticket_usd", "p95_ticket_usd"])
 
@@ -586,8 +598,9 @@ def merchant_features(
     mcc_reference: DataFrame,
     bands: DataFrame,
     crowd: int = CROWD_ROWS,
+    laid: DataFrame | None = None,
 ) -> DataFrame:
-    """The full feature row per merchant. ``crowd`` only routes (see ``per_merchant``).
+    """The full feature row per merchant. ``crowd`` and ``laid`` only route (see ``per_merchant``).
 
     Tickets and months, whose crowded merchants take jobs of their own, are stored per
     merchant first. The other parts are hash-partitioned by merchant already, so
@@ -595,12 +608,12 @@ def merchant_features(
     """
     crowded = crowded_merchants(tx, crowd)
     tickets = per_merchant(
-        tx, crowded, ticket_flow, lambda t: amount_features(stage_table(amount_counts(t), "amount_counts"))
+        tx, crowded, ticket_flow, lambda t: amount_features(stage_table(amount_counts(t), "amount_counts")), laid
     )
     months = per_merchant(tx, crowded, lambda t: month_flow(t, merchants), lambda t: month_spread(t, merchants))
     parts = [
-        per_merchant(tx, crowded, lambda t: dimension_features(dimension_counts(t))),
-        per_merchant(tx, crowded, lambda t: card_burst_features(card_hour_counts(t))),
+        per_merchant(tx, crowded, lambda t, by=(M,): dimension_features(dimension_counts(t, by), by), laid=laid),
+        per_merchant(tx, crowded, lambda t, by=(M,): card_burst_features(card_hour_counts(t, by=by), by), laid=laid),
         stage_table(tickets, "ticket_features"),
         stage_table(months, "month_features"),
     ]

@@ -11,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merchantscope.operators.ranking import WHOLE, in_pieces
+from merchantscope.operators.ranking import PIECE, WHOLE, in_pieces
 
 M = "merchant_id"
-PIECE = "_piece"
 
 
 def write_bucketed(
