@@ -22,3 +22,8 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+def pytest_collection_modifyitems(items):
+    """Models first: Spark cannot send a freshly fitted two-class model to tasks once its session has observed a frame."""
+    items.sort(key=lambda item: item.path.name != "test_models.py")
